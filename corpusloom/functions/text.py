@@ -228,4 +228,4 @@ def citation_context(before: Column, max_chars: int = 400) -> Column:
     cut back to the last sentence end or line break, and its last characters are kept.
     """
     t = rstrip(_sub(before, r"\[SOURCE-[0-9]+\]"))
-    return F.right(strip(_sub(t, f"(?s)^.*(?:[.!?。](?=[{WS}])|\n)")), F.lit(max_chars))
+    return F.right(strip(_sub(t, f"(?sU)^.*(?:[.!?。](?=[{WS_JAVA}])|\n)")), F.lit(max_chars))

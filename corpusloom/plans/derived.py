@@ -56,3 +56,70 @@ SELECT event_id AS line_id, ts,
   END AS line
 FROM {events}
 """
+
+# Spreadsheet cells: status, a formula with or without a cached value, and a far column.
+DERIVED["cells"] = """
+SELECT o_custkey AS doc_id, o_orderkey AS row, 2 AS col, o_orderstatus AS value,
+       CAST(NULL AS STRING) AS cached, FALSE AS is_formula FROM {orders}
+UNION ALL
+SELECT o_custkey, o_orderkey, 4, '=SUM(A1:B2)',
+       CASE WHEN o_orderstatus = 'F' THEN NULL ELSE CAST(o_totalprice AS STRING) END, TRUE FROM {orders}
+UNION ALL
+SELECT o_custkey, o_orderkey, 30, CASE WHEN o_orderstatus = 'P' THEN concat(' ', o_orderpriority, chr(10), 'x ') END,
+       NULL, FALSE FROM {orders}
+"""
+
+DERIVED["row_ranges"] = """
+SELECT s_nationkey AS doc_id, s_name AS name, s_suppkey AS ordinal, s_suppkey AS min_row,
+       s_suppkey + s_nationkey AS max_row FROM {supplier}
+"""
+
+# Document blocks in order, with headings and section breaks.
+DERIVED["blocks"] = """
+SELECT o_custkey AS doc_id, o_orderkey AS block_index, o_orderstatus = 'P' AS ends_section,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN 'heading' ELSE 'paragraph' END AS unit_type,
+       CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice < 100000 THEN ' '
+            ELSE concat(' T', o_orderkey, ' ') END AS text,
+       CASE WHEN o_orderstatus = 'O' THEN 2 WHEN o_orderstatus = 'F' THEN 0 END AS heading_level
+FROM {orders}
+"""
+
+# Unit metadata of every file type, as an open JSON map.
+DERIVED["unit_meta"] = """
+SELECT l_orderkey, l_linenumber, l_linenumber - 1 AS unit_index, l_extendedprice,
+  CASE WHEN l_returnflag = 'R' THEN 'txt' WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'pdf'
+       WHEN l_returnflag = 'A' THEN 'docx' WHEN l_linestatus = 'O' THEN 'pptx' ELSE 'xlsx' END AS file_type,
+  l_linenumber - 2 AS page_number, l_linenumber - 3 AS slide_number, l_linenumber - 1 AS section_index,
+  l_linenumber - 4 AS block_index, l_linenumber AS line_number,
+  CASE WHEN l_quantity > 25 THEN ' 1.2 ' WHEN l_quantity > 20 THEN ' ' END AS shape_path,
+  CASE WHEN l_quantity > 10 THEN 'shape' END AS unit_type,
+  CASE WHEN l_quantity > 30 THEN 'Sheet1' END AS sheet_name,
+  CASE WHEN l_quantity > 40 THEN 'A1:B2' END AS cell_range,
+  concat('{"page_number":', CASE WHEN l_quantity < 5 THEN 'true' WHEN l_quantity < 10 THEN '"3"' WHEN l_quantity < 15 THEN '2.5' ELSE CAST(l_linenumber - 2 AS STRING) END,
+    CASE WHEN l_quantity > 45 THEN ',"page":9' ELSE '' END,
+    CASE WHEN l_tax > 0.05 THEN concat(',"slide_number":', l_linenumber - 1) ELSE '' END,
+    CASE WHEN l_discount > 0.05 THEN ',"sheet_name":" S 1 ","sheet_index":0' ELSE '' END,
+    CASE WHEN l_quantity > 20 THEN ',"shape_path":"1.2"' ELSE '' END,
+    CASE WHEN l_quantity > 30 THEN ',"content_origin":"ocr"' ELSE '' END,
+    CASE WHEN l_discount > 0.03 THEN concat(',"image_index":', l_linenumber) ELSE '' END,
+    ',"line_start_number":', l_linenumber + 3, ',"line_end":', CAST(l_quantity AS INT),
+    ',"location_kind":"', CASE WHEN l_tax > 0.04 THEN 'pptx_shape' ELSE 'elsewhere' END,
+    '","ocr_mean_confidence":', l_discount, ',"section_index":', l_linenumber - 1, '}') AS meta_json
+FROM {lineitem}
+"""
+
+# Recognised text lines of images; an image is an order, its page the line number.
+DERIVED["image_lines"] = """
+SELECT l_orderkey AS doc_id, l_linenumber AS image_id, l_partkey * 100000 + l_suppkey AS ordinal,
+       concat(l_returnflag, ' ', l_quantity, ' ', l_linestatus) AS text, l_quantity / 50.0E0 AS confidence
+FROM {lineitem}
+"""
+
+# Image candidates of each customer's documents.
+DERIVED["images"] = """
+SELECT o_custkey AS doc_id, o_orderkey AS ordinal, CAST(floor(o_totalprice / 4) AS BIGINT) AS n_bytes,
+  CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderpriority = '1-URGENT' THEN 40 ELSE 640 END AS width,
+  CASE WHEN o_orderpriority = '2-HIGH' THEN 20 ELSE 480 END AS height,
+  concat(o_orderstatus, CAST(floor(o_totalprice / 50000) AS BIGINT)) AS sha256
+FROM {orders}
+"""

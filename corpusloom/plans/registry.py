@@ -42,6 +42,9 @@ class Tables:
     def sql(self, text: str) -> DataFrame:
         names = set(_PLACEHOLDER.findall(text))
         text = _EPOCH_US.sub(_SPARK_EPOCH_US, text)
+        # Braces that are no placeholder are literal text.
+        parts = re.split(r"(\{\w+\})", text)
+        text = "".join(p if i % 2 else p.replace("{", "{{").replace("}", "}}") for i, p in enumerate(parts))
         return self.spark.sql(text, **{name: self(name) for name in names})
 
 
