@@ -123,3 +123,62 @@ SELECT o_custkey AS doc_id, o_orderkey AS ordinal, CAST(floor(o_totalprice / 4)
   concat(o_orderstatus, CAST(floor(o_totalprice / 50000) AS BIGINT)) AS sha256
 FROM {orders}
 """
+
+# Indexed points: a vector is a chunk, its label is the file it belongs to.
+DERIVED["points"] = """
+SELECT vec_id AS chunk_id, CASE WHEN label = 9 THEN 2 ELSE 1 END AS users_idx, label AS file_idx,
+       vec_id % 11 <> 3 AS is_active, embedding FROM {embeddings}
+"""
+
+# Search hits: the turns of a conversation in order, roles as files.
+DERIVED["hits"] = """
+SELECT conv_id AS request_id, turn + 1 AS rank, conv_id * 1000 + turn AS chunk_id,
+       CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS file_idx,
+       CASE WHEN turn = 5 THEN 0.9E0 ELSE 1.0E0 / (turn + 1) END AS score, concat(text, ' ') AS content
+FROM {conversations}
+"""
+
+# Answers with inline citations, some declared, some of unknown sources.
+DERIVED["answers"] = """
+SELECT conv_id * 100 + turn AS request_id, conv_id, turn,
+       concat(replace(text, '. ', ' [SOURCE-2]. '), ' [SOURCE-', turn, '] end') AS answer,
+       CASE turn WHEN 1 THEN 'SOURCE-2,SOURCE-1' WHEN 3 THEN 'SOURCE-3' END AS declared,
+       CASE WHEN turn = 5 THEN ' INSUFFICIENT_evidence' WHEN turn = 7 THEN 'maybe' ELSE 'Answered ' END AS status
+FROM {conversations} WHERE role = 'assistant'
+"""
+
+DERIVED["prompt_sources"] = """
+SELECT request_id, 'SOURCE-1' AS source_id, request_id * 10 + 1 AS chunk_id, 1 AS file_idx FROM {answers}
+UNION ALL SELECT request_id, 'SOURCE-2', request_id * 10 + 2, 2 FROM {answers}
+UNION ALL SELECT request_id, 'SOURCE-3', request_id * 10 + 3, 3 FROM {answers}
+UNION ALL SELECT request_id, CASE WHEN turn = 7 THEN 'SOURCE-1' ELSE 'SOURCE-4' END, request_id * 10 + 4, 1 FROM {answers}
+"""
+
+# Generation calls of a request with what they asked for and used.
+DERIVED["calls"] = """
+SELECT conv_id AS request_id, turn AS call_index, length(text) * 100 AS estimated_input,
+       CASE WHEN role = 'user' THEN NULL ELSE 9000 END AS requested_output,
+       length(text) * 90 AS input_tokens, length(text) * 5 AS output_tokens
+FROM {conversations}
+"""
+
+# The file catalog: an order is a file of its customer, in one of the customer's folders.
+DERIVED["files"] = """
+SELECT o_orderkey AS file_idx, o_custkey AS users_idx,
+  CASE WHEN o_totalprice < 60000 THEN NULL WHEN o_totalprice < 300000 THEN 1000 + o_custkey ELSE 100000000 + o_custkey END AS folder_idx,
+  CAST(floor(o_orderkey / 3) AS BIGINT) AS uploads_idx,
+  concat('Order_', o_orderkey, '%', o_orderpriority, CASE o_orderstatus WHEN 'P' THEN '.PDF' WHEN 'F' THEN '.docx' ELSE '.txt' END) AS name,
+  CASE o_orderstatus WHEN 'P' THEN 'pdf' WHEN 'F' THEN 'docx' ELSE 'txt' END AS file_type,
+  CAST(floor(o_totalprice) AS BIGINT) AS size_bytes,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'UPLOADED' WHEN '2-HIGH' THEN 'PROCESSING' WHEN '5-LOW' THEN 'FAILED' ELSE 'READY' END AS status,
+  o_orderpriority = '3-MEDIUM' AS star, o_orderdate AS created_at,
+  CASE WHEN o_totalprice > 420000 THEN o_orderdate + INTERVAL 90 DAY WHEN o_totalprice > 400000 THEN TIMESTAMP '2001-01-01 00:00:00' END AS deleted_at
+FROM {orders}
+"""
+
+# The chunks of the files: one per order line.
+DERIVED["chunks"] = """
+SELECT concat(l_orderkey, ':', l_linenumber, ':', l_partkey, ':', l_suppkey) AS chunk_id, l_orderkey AS file_idx, o_custkey AS users_idx,
+       l_linenumber AS chunk_index, CAST(l_quantity AS INT) AS index_version, concat('Part ', l_partkey, ' of ', l_suppkey) AS content
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+"""
