@@ -17,6 +17,23 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 4096
 
 
+def _running(df, keys, order, exprs, block, inclusive, total, combine):
+    """Running aggregate per key, block totals first; ``combine`` merges base and inner part."""
+    block = F.floor(F.col(order) / BLOCK_ROWS) if block is None else block
+    rows = df.withColumn("_block", block.cast("long"))
+    totals = rows.groupBy(*keys, "_block").agg(*[total(e).alias(f"_t_{n}") for n, e in exprs.items()])
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(
+        *keys, "_block", *[total(F.col(f"_t_{n}")).over(before).alias(f"_b_{n}") for n in exprs]
+    )
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    inside = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return rows.join(bases, [*keys, "_block"]).select(
+        *df.columns,
+        *[combine(F.col(f"_b_{n}"), total(e).over(inside)).alias(n) for n, e in exprs.items()],
+    )
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -30,26 +47,23 @@ def running_sums(
     ``order`` must be unique inside a key. ``block`` maps rows to blocks that follow the
     order; by default an integer order column is cut every ``BLOCK_ROWS`` values.
     """
-    block = F.floor(F.col(order) / BLOCK_ROWS) if block is None else block
-    rows = df.withColumn("_block", block.cast("long"))
-    totals = rows.groupBy(*keys, "_block").agg(
-        *[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()]
-    )
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(
-        *keys, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums]
-    )
-    inside = Window.partitionBy(*keys, "_block").orderBy(order)
-    inside = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = rows.join(bases, [*keys, "_block"])
-    out = out.select(
-        *df.columns,
-        *[
-            (F.col(f"_b_{n}") + F.coalesce(F.sum(e).over(inside), F.lit(0))).alias(n)
-            for n, e in sums.items()
-        ],
-    )
-    return out
+
+    def plus(base: Column, inner: Column) -> Column:
+        return F.coalesce(base, F.lit(0)) + F.coalesce(inner, F.lit(0))
+
+    return _running(df, keys, order, sums, block, inclusive, F.sum, plus)
+
+
+def running_max(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    maxima: dict[str, Column],
+    block: Column | None = None,
+    inclusive: bool = False,
+) -> DataFrame:
+    """Add, per key, the running maximum of each expression; null before any value."""
+    return _running(df, keys, order, maxima, block, inclusive, F.max, F.greatest)
 
 
 def forward_fill(

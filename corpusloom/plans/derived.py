@@ -172,7 +172,7 @@ SELECT o_orderkey AS file_idx, o_custkey AS users_idx,
   CAST(floor(o_totalprice) AS BIGINT) AS size_bytes,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'UPLOADED' WHEN '2-HIGH' THEN 'PROCESSING' WHEN '5-LOW' THEN 'FAILED' ELSE 'READY' END AS status,
   o_orderpriority = '3-MEDIUM' AS star, o_orderdate AS created_at,
-  CASE WHEN o_totalprice > 420000 THEN o_orderdate + INTERVAL 90 DAY WHEN o_totalprice > 400000 THEN TIMESTAMP '2001-01-01 00:00:00' END AS deleted_at
+  CASE WHEN o_totalprice > 420000 THEN o_orderdate + INTERVAL 90 DAY WHEN o_totalprice > 400000 THEN TIMESTAMP_NTZ '2001-01-01 00:00:00' END AS deleted_at
 FROM {orders}
 """
 
@@ -182,3 +182,116 @@ SELECT concat(l_orderkey, ':', l_linenumber, ':', l_partkey, ':', l_suppkey) AS
        l_linenumber AS chunk_index, CAST(l_quantity AS INT) AS index_version, concat('Part ', l_partkey, ' of ', l_suppkey) AS content
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 """
+
+# Three levels of folders: regions, nations, customers. Some are in the trash.
+DERIVED["folders"] = """
+SELECT CAST(r_regionkey + 1 AS BIGINT) AS folder_idx, CAST(NULL AS BIGINT) AS parent_folder_idx, r_name AS name,
+       CAST(0 AS BIGINT) AS users_idx, CAST(NULL AS TIMESTAMP_NTZ) AS deleted_at FROM {region}
+UNION ALL
+SELECT n_nationkey + 100, n_regionkey + 1, n_name, 0,
+       CASE n_nationkey WHEN 3 THEN TIMESTAMP_NTZ '2001-01-01 00:00:00' WHEN 5 THEN TIMESTAMP_NTZ '2002-01-01 00:00:00' END FROM {nation}
+UNION ALL
+SELECT c_custkey + 1000, c_nationkey + 100, c_name, c_custkey,
+       CASE WHEN c_acctbal < 0 OR c_nationkey = 3 THEN TIMESTAMP_NTZ '2001-01-01 00:00:00' END FROM {customer}
+"""
+
+DERIVED["users"] = """
+SELECT c_custkey AS users_idx, c_name AS name, c_acctbal AS created_at FROM {customer}
+"""
+
+DERIVED["file_metadata"] = """
+SELECT o_orderkey AS file_idx, CASE WHEN o_totalprice < 250000 THEN concat('About ', o_orderpriority) END AS summary,
+  CASE o_orderpriority WHEN '1-URGENT' THEN '["report","ta"]' WHEN '2-HIGH' THEN '["tag"]' WHEN '3-MEDIUM' THEN '["oops' WHEN '5-LOW' THEN '{"a":1}' END AS tags,
+  CASE o_orderstatus WHEN 'P' THEN '["Alpha","beta"]' END AS keywords,
+  CASE o_orderstatus WHEN 'P' THEN '{"dates":["2001"],"project":"x"}' WHEN 'F' THEN 'bad' END AS entities,
+  CASE WHEN o_totalprice < 100000 THEN 'contract' WHEN o_totalprice < 200000 THEN '' ELSE 'invoice' END AS document_type,
+  CASE o_orderstatus WHEN 'P' THEN 'PROCESSING' WHEN 'F' THEN 'GENERATING' ELSE 'READY' END AS extraction_status,
+  CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN CAST(floor(o_totalprice / 100000) AS INT) END AS index_version,
+  o_orderdate AS updated_at
+FROM {orders}
+"""
+
+DERIVED["jobs"] = """
+SELECT o_orderkey AS job_idx, CAST(floor(o_orderkey / 2) AS BIGINT) AS file_idx,
+  CASE WHEN o_totalprice < 200000 THEN 'INGEST' ELSE 'METADATA' END AS job_type,
+  CASE WHEN o_orderstatus = 'P' THEN CASE WHEN o_totalprice < 200000 THEN 'PENDING' ELSE 'RETRY_WAIT' END
+       WHEN o_orderstatus = 'F' THEN CASE WHEN o_totalprice < 200000 THEN 'RUNNING' ELSE 'WAITING_CALLBACK' END
+       ELSE CASE WHEN o_totalprice < 200000 THEN 'SUCCESS' WHEN o_totalprice < 450000 THEN 'FAILED' ELSE 'LOST' END END AS job_status,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 9 WHEN '2-HIGH' THEN 5 ELSE 1 END AS priority,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '5-LOW' THEN 4 ELSE 0 END AS attempts,
+  3 AS max_attempts, o_orderdate AS created_at, o_orderdate + INTERVAL 1 DAY AS next_attempt_at,
+  CASE WHEN o_totalprice > 50000 THEN o_orderdate + INTERVAL 2 DAY END AS ownership_expires_at
+FROM {orders}
+"""
+
+DERIVED["tasks"] = """
+SELECT o_orderkey AS task_idx, o_orderkey AS file_idx,
+  CASE o_orderstatus WHEN 'P' THEN 'PENDING' WHEN 'F' THEN 'PROCESSING' ELSE 'DONE' END AS status,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 5 ELSE 8 END AS attempts,
+  CASE WHEN o_totalprice > 20000 THEN o_orderdate END AS next_attempt_at,
+  CASE WHEN o_totalprice < 100000 THEN 408 WHEN o_totalprice < 200000 THEN 503 WHEN o_totalprice < 300000 THEN 404 WHEN o_totalprice < 400000 THEN 200 ELSE 410 END AS http_status
+FROM {orders}
+"""
+
+DERIVED["uploads"] = """
+SELECT CAST(floor(o_orderkey / 3) AS BIGINT) AS uploads_idx, max(o_custkey) AS users_idx, max(o_orderdate) AS created_at,
+  CASE WHEN max(o_totalprice) > 300000 THEN 'UPLOADING' ELSE 'SUCCESS' END AS status
+FROM {orders} GROUP BY CAST(floor(o_orderkey / 3) AS BIGINT)
+"""
+
+DERIVED["upload_batches"] = """
+SELECT o_custkey AS users_idx, o_orderkey AS arrival, CAST(floor(o_totalprice) AS BIGINT) AS incoming_bytes,
+  CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderpriority END AS idempotency_key
+FROM {orders}
+"""
+
+DERIVED["sanctions"] = """
+SELECT o_orderkey AS sanction_idx, o_custkey AS users_idx, o_orderdate AS started_at,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'TEMP_SUSPEND' WHEN '2-HIGH' THEN 'PERMANENT_SUSPEND' WHEN '3-MEDIUM' THEN 'ACCOUNT_DELETE' ELSE 'WARNING' END AS sanction_type,
+  CASE WHEN o_orderstatus = 'F' THEN 'RELEASED' ELSE 'ACTIVE' END AS status
+FROM {orders}
+"""
+
+# Reorganisation proposals: new folders in chains, some of them circular or broken.
+DERIVED["proposed"] = """
+SELECT proposal_id, temp_id, name, CASE WHEN prev IS NOT NULL THEN concat('t', prev) WHEN loops THEN concat('t', final_key) END AS parent_temp_id, parent_folder_id
+FROM (SELECT o_custkey AS proposal_id, CASE WHEN o_totalprice > 490000 THEN 'dup' ELSE concat('t', o_orderkey) END AS temp_id,
+  CASE WHEN o_totalprice < 20000 THEN ' ' ELSE concat('Folder ', o_orderkey) END AS name,
+  lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS prev,
+  max(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS final_key, o_totalprice BETWEEN 100000 AND 130000 AS loops,
+  CASE WHEN o_totalprice > 480000 THEN 1000 + o_custkey WHEN o_totalprice > 470000 THEN 1001 + o_custkey END AS parent_folder_id
+  FROM {orders}) p
+"""
+
+DERIVED["mappings"] = """
+SELECT o_custkey AS proposal_id,
+  CASE WHEN o_totalprice < 3000 THEN NULL WHEN o_totalprice < 20000 THEN o_orderkey + 1
+       WHEN o_totalprice < 30000 THEN min(o_orderkey) OVER (PARTITION BY o_custkey) ELSE o_orderkey END AS file_id,
+  CASE WHEN o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN CASE WHEN o_totalprice > 450000 THEN 1001 + o_custkey ELSE 1000 + o_custkey END
+       WHEN o_totalprice > 460000 THEN 1000 + o_custkey END AS target_folder_id,
+  CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN concat('t', o_orderkey) WHEN o_orderpriority = '3-MEDIUM' AND o_totalprice > 200000 THEN 'none' END AS target_temp_id,
+  CASE o_orderstatus WHEN 'P' THEN '  ' WHEN 'F' THEN concat(' new ', o_orderkey, ' ') END AS new_name,
+  o_totalprice / 400000.0E0 AS confidence
+FROM {orders}
+"""
+
+# Index documents: several versions per (user, file), with their runs and chunks.
+DERIVED["index_documents"] = """
+SELECT o_orderkey AS rag_document_idx, o_custkey AS users_idx, o_custkey * 10 + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 WHEN o_orderpriority = '2-HIGH' THEN 2 ELSE 3 END AS file_idx,
+  md5(concat('h', o_orderpriority)) AS file_hash, '1.0' AS parser_version, 'm64' AS embedding_model, CAST(floor(o_totalprice / 100000) AS INT) AS index_version,
+  CASE o_orderstatus WHEN 'P' THEN 'INDEXING' ELSE 'INDEXED' END AS index_status, concat('f', o_orderkey) AS file_name, 4 AS chunk_count,
+  CASE WHEN o_totalprice > 450000 THEN TIMESTAMP_NTZ '2001-01-01 00:00:00' END AS deleted_at
+FROM {orders}
+"""
+
+DERIVED["index_runs"] = """
+SELECT l_orderkey * 10 + l_linenumber AS run_id, l_orderkey AS rag_document_idx, max(users_idx) AS users_idx, max(file_idx) AS file_idx,
+  CASE max(l_returnflag) WHEN 'A' THEN 'SUCCESS' WHEN 'N' THEN 'RUNNING' ELSE CASE WHEN max(l_quantity) > 40 THEN 'SUCCESS' ELSE 'RUNNING' END END AS status
+FROM {lineitem} JOIN {index_documents} ON l_orderkey = rag_document_idx GROUP BY l_orderkey, l_linenumber
+"""
+
+DERIVED["index_chunks"] = """
+SELECT concat(l_orderkey, ':', l_partkey) AS chunk_id, l_orderkey AS rag_document_idx, CASE WHEN l_tax > 0.06 THEN 99 ELSE index_version END AS index_version,
+  l_linenumber - 1 AS chunk_index, concat('Part ', l_partkey) AS content
+FROM {lineitem} JOIN {index_documents} ON l_orderkey = rag_document_idx
+"""

@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 COVERS: dict[str, tuple[str, ...]] = {}
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
-# The one spelling that differs between the engines in the derived tables.
+# The spellings that differ between the engines in the derived tables.
 _EPOCH_US = re.compile(r"EPOCH_US\(([^()]+)\)")
 _SPARK_EPOCH_US = (
     r"unix_micros(CAST(convert_timezone('UTC', current_timezone(), \1) AS TIMESTAMP))"
@@ -65,7 +65,7 @@ def _oracle_with_derived(sql: str) -> str:
     if not ctes:
         return body
     head = ",\n".join(f"{name} AS ({text})" for name, text in ctes.items())
-    head = _EPOCH_US.sub(r"epoch_us(\1)", head)
+    head = _EPOCH_US.sub(r"epoch_us(\1)", head).replace("TIMESTAMP_NTZ", "TIMESTAMP")
     if body.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {head},\n{body[len('WITH RECURSIVE'):]}"
     if body.upper().startswith("WITH"):
