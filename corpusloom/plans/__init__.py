@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "corpus_queries", "retrieval_queries", "catalog_queries")
+MODULES = ("text_queries", "corpus_queries", "retrieval_queries", "catalog_queries", "telemetry_queries")
 
 
 def load_all():

@@ -295,3 +295,49 @@ SELECT concat(l_orderkey, ':', l_partkey) AS chunk_id, l_orderkey AS rag_documen
   l_linenumber - 1 AS chunk_index, concat('Part ', l_partkey) AS content
 FROM {lineitem} JOIN {index_documents} ON l_orderkey = rag_document_idx
 """
+
+# Requests of a load run: one per event, the value as its duration.
+DERIVED["records"] = """
+SELECT event_id AS request_id, event_id AS request_index, CASE WHEN event_type IN ('click', 'view', 'error') THEN 'search' ELSE 'ingest' END AS operation,
+  CASE WHEN value > 80 THEN 'warmup' ELSE 'concurrency' END AS phase, CAST(floor(user_id / 10) + 1 AS INT) AS concurrency,
+  concat('soak-window-', EXTRACT(DAY FROM ts)) AS case_id, concat('stage-', EXTRACT(DAY FROM ts)) AS stage_id,
+  EPOCH_US(ts) / 1.0E6 AS started_epoch, EPOCH_US(ts) / 1.0E6 + value / 1.0E3 AS completed_epoch, value AS duration_ms,
+  NOT ((event_type = 'error' AND value > 20) OR (event_type = 'signup' AND value > 60)) AS success,
+  CASE WHEN value > 20 THEN 500 ELSE 200 END AS status_code, event_id AS request_bytes, user_id AS response_bytes,
+  CASE WHEN event_type <> 'view' THEN event_id END AS input_tokens, CASE WHEN event_type = 'click' THEN user_id END AS output_tokens,
+  CASE WHEN event_type = 'error' AND value > 60 THEN 'ReadTimeout' WHEN event_type = 'error' AND value > 40 THEN NULL WHEN event_type = 'error' THEN 'ConnectError'
+       WHEN event_type = 'signup' AND value > 90 THEN 'RuntimeError' WHEN event_type = 'signup' THEN 'Other' END AS error_type,
+  CASE WHEN event_type = 'signup' THEN 'CUDA OOM, no memory' END AS error_message,
+  CASE WHEN event_type = 'signup' THEN 'pdf' END AS file_type, CASE WHEN user_id < 50 THEN 'text' WHEN user_id < 100 THEN 'ocr' END AS content_origin,
+  CAST(floor(value * 1000) AS BIGINT) AS fixture_size_bytes, CAST(floor(value) AS BIGINT) AS declared_text_units,
+  CASE WHEN event_type = 'signup' THEN user_id END AS declared_image_count, user_id * 3 AS chunk_count
+FROM {events}
+"""
+
+# Resource samples, one per event.
+DERIVED["samples"] = """
+SELECT event_id, ts, EPOCH_US(ts) AS at_us, EPOCH_US(ts) / 1.0E6 AS epoch, concat('soak-window-', EXTRACT(DAY FROM ts)) AS case_id,
+  CASE WHEN event_type = 'purchase' THEN 'idle' ELSE event_type END AS operation, 'concurrency' AS phase, CAST(floor(user_id / 50) AS INT) AS concurrency,
+  CASE WHEN event_type <> 'view' THEN value / 5.0E0 END AS system_memory_percent, value / 8.0E0 AS gpu_memory_percent,
+  event_id * 1000 AS target_rss_bytes, CASE WHEN value > 10 THEN event_id * 10 END AS target_gpu_bytes, user_id AS threads, user_id * 2 AS handles,
+  value AS system_cpu_percent, event_id AS system_memory_used_bytes, value / 2 AS target_cpu_percent, user_id * 7 AS target_private_bytes,
+  value / 4 AS gpu_utilization_percent, event_id * 3 AS gpu_memory_used_bytes, CASE WHEN value > 1000 THEN value END AS embedder_cpu_percent,
+  user_id AS embedder_memory_used_bytes, value / 16 AS store_cpu_percent, event_id + user_id AS store_memory_used_bytes
+FROM {events}
+"""
+
+# Load stages: one per day.
+DERIVED["stages"] = """
+SELECT concat('stage-', day) AS stage_id, day AS sequence, CASE WHEN day <= 20 THEN 'ramp' WHEN day = 30 THEN 'idle' ELSE 'burst' END AS mode,
+  CASE WHEN day <= 10 OR day > 25 THEN 'search' ELSE 'ingest' END AS operation, day AS concurrency, n AS submitted, start_us, end_us
+FROM (SELECT CAST(EXTRACT(DAY FROM ts) AS INT) AS day, count(*) AS n, min(EPOCH_US(ts)) AS start_us, max(EPOCH_US(ts)) AS end_us FROM {events} GROUP BY CAST(EXTRACT(DAY FROM ts) AS INT)) d
+"""
+
+# Stage events as time spans that overlap each other.
+DERIVED["stage_spans"] = """
+SELECT event_id, user_id AS file_idx, event_type AS stage, EPOCH_US(ts) - CAST(floor(value * 100000000) AS BIGINT) AS start_us, EPOCH_US(ts) AS end_us FROM {events}
+"""
+
+DERIVED["cpu_times"] = """
+SELECT event_type AS target, CAST(floor(EPOCH_US(ts) / 3.6E9) AS BIGINT) AS sampled_at, user_id AS pid, max(value) AS cpu_time FROM {events} GROUP BY 1, 2, 3
+"""

@@ -61,6 +61,7 @@ def _oracle_with_derived(sql: str) -> str:
         sql = sql.replace(token, chars)
     visit(sql)
     body = _PLACEHOLDER.sub(lambda m: m.group(1) if m.group(1) in DERIVED or m.group(1) in BASE_TABLES else m.group(0), sql).strip()
+    body = body.replace("TIMESTAMP_NTZ", "TIMESTAMP")
     body = _EPOCH_US.sub(r"epoch_us(\1)", body)
     if not ctes:
         return body
