@@ -4,7 +4,14 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "corpus_queries", "retrieval_queries", "catalog_queries", "telemetry_queries")
+MODULES = (
+    "text_queries",
+    "corpus_queries",
+    "retrieval_queries",
+    "catalog_queries",
+    "telemetry_queries",
+    "index_queries",
+)
 
 
 def load_all():
