@@ -137,3 +137,22 @@ def ordered_fold(
 
     sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return sorted_rows.mapInPandas(run, schema)
+
+
+def gap_segments(
+    df: DataFrame, keys: Sequence[str], at: str, tie: str, gap: int, block: int, at_gap: bool = False
+) -> DataFrame:
+    """Number the stretches of each key that a pause longer than ``gap`` separates.
+
+    Adds ``_segment`` and ``_o`` (the order, time then ``tie``). State that expires within
+    ``gap`` never crosses a stretch, so stretches of one key can run on different tasks.
+    With ``at_gap`` a pause of exactly ``gap`` separates too. ``block`` is the time span
+    of one block of the running count.
+    """
+    cells = F.floor(F.col(at) / block)
+    df = df.withColumn("_o", F.struct(at, tie))
+    df = previous(df, keys, "_o", [at], cells)
+    pause = F.col(at) - F.col(f"prev_{at}")
+    starts = F.coalesce(pause >= gap if at_gap else pause > gap, F.lit(False))
+    df = df.withColumn("_starts", starts.cast("int")).drop(f"prev_{at}")
+    return running_sums(df, keys, "_o", {"_segment": F.col("_starts")}, block=cells, inclusive=True).drop("_starts")

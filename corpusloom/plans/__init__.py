@@ -11,6 +11,7 @@ MODULES = (
     "catalog_queries",
     "telemetry_queries",
     "index_queries",
+    "stream_queries",
 )
 
 

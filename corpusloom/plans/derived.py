@@ -341,3 +341,14 @@ SELECT event_id, user_id AS file_idx, event_type AS stage, EPOCH_US(ts) - CAST(f
 DERIVED["cpu_times"] = """
 SELECT event_type AS target, CAST(floor(EPOCH_US(ts) / 3.6E9) AS BIGINT) AS sampled_at, user_id AS pid, max(value) AS cpu_time FROM {events} GROUP BY 1, 2, 3
 """
+
+# Hand-offs (clicks) and completions (the event right after, when it is a view).
+DERIVED["callback_events"] = """
+SELECT CASE WHEN event_type = 'click' THEN event_id ELSE event_id - 1 END AS job_id, CASE WHEN event_type = 'click' THEN 'handoff' ELSE 'completed' END AS kind, ts
+FROM {events} WHERE event_type IN ('click', 'view')
+"""
+
+# Requests with an idempotency key that is sometimes blank.
+DERIVED["apply_requests"] = """
+SELECT event_id, EPOCH_US(ts) AS at_us, CAST(floor(user_id / 10) AS BIGINT) AS user_id, CASE event_type WHEN 'click' THEN NULL WHEN 'view' THEN ' ' ELSE event_type END AS idempotency_key FROM {events}
+"""

@@ -390,8 +390,8 @@ def _(t):
 @query(
     "text_files",
     "S2 N6 N7",
-    """SELECT 'text' AS kind, lang, count(*) AS files FROM {documents} WHERE lang NOT IN ('es', 'de') GROUP BY 2
-       UNION ALL SELECT 'binary_content', lang, count(*) FROM {documents} WHERE lang IN ('es', 'de') GROUP BY 2""",
+    """SELECT CASE WHEN lang = 'de' OR (lang = 'es' AND 1 + length(text) - length(replace(text, 'a', '')) > 0.05 * (length(text) + 1)) THEN 'binary_content' ELSE 'text' END AS kind,
+       lang, count(*) AS files FROM {documents} GROUP BY 1, 2""",
 )
 def _(t):
     raw = t("raw_files").join(t("documents").select("doc_id", "lang"), "doc_id")
