@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from corpusloom.constants import (
     WS_CHARS,
 )
 from corpusloom.functions.identity import chunk_id, content_hash
+from corpusloom.functions.text import unify_newlines
 from corpusloom.operators.ordered import running_sums
 
 STRATEGY_NAME = "structure-preserving-character"
@@ -55,42 +57,54 @@ def chunk_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
     return spans
 
 
-def chunk_bounds(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
-    """``array<struct<start,end>>`` of the chunks of a text.
+_PIECES = "array<struct<start:int,end:int,content:string>>"
+
+
+def _piece_lists(rows: list[list[tuple] | None], fields: list[tuple[str, pa.DataType]]) -> pa.Array:
+    """Nested Arrow array of per-row tuples."""
+    offsets = np.cumsum([0, *[len(r or ()) for r in rows]]).astype(np.int32)
+    flat = [piece for r in rows for piece in r or ()]
+    columns = list(zip(*flat)) or [()] * len(fields)
+    struct = pa.StructArray.from_arrays(
+        [pa.array(c, t) for c, (_, t) in zip(columns, fields)], fields=[pa.field(n, t) for n, t in fields]
+    )
+    return pa.ListArray.from_arrays(pa.array(offsets), struct)
+
+
+def chunk_pieces(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """``array<struct<start,end,content>>`` of the chunks of a text.
 
     A text of at most ``size`` characters is one trimmed chunk and is answered in the
-    JVM; only longer texts cross to Python, and only offsets come back.
+    JVM; only longer texts cross to Python, in Arrow batches.
     """
     _check(size, overlap)
 
-    def bounds(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else chunk_spans(t, size, overlap))
+    def pieces(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts.to_pylist():
+            spans = chunk_spans(t, size, overlap) if t is not None else []
+            rows.append([(a, b, t[a:b]) for a, b in zip(spans[::2], spans[1::2])])
+        return _piece_lists(rows, [("start", pa.int32()), ("end", pa.int32()), ("content", pa.string())])
 
     short = F.length(text) <= size
     lead = F.length(text) - F.length(F.ltrim(text, F.lit(WS_CHARS)))
-    body = F.length(F.btrim(text, F.lit(WS_CHARS)))
-    one = F.when(body > 0, F.array(lead, lead + body)).otherwise(F.array().cast("array<int>"))
-    flat = F.when(short, one).otherwise(
-        F.pandas_udf(bounds, "array<int>")(F.when(~short, text))
-    )
-    starts = F.filter(flat, lambda _, i: i % 2 == 0)
-    ends = F.filter(flat, lambda _, i: i % 2 == 1)
-    return F.arrays_zip(starts.alias("start"), ends.alias("end"))
+    body = F.btrim(text, F.lit(WS_CHARS))
+    one = F.array(F.struct(lead.alias("start"), (lead + F.length(body)).alias("end"), body.alias("content")))
+    one = F.when(body != "", one).otherwise(F.array().cast(_PIECES))
+    return F.when(short, one).otherwise(F.arrow_udf(pieces, _PIECES)(F.when(~short, text)))
 
 
 def chunk_text(
     docs: DataFrame, key: str, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 ) -> DataFrame:
     """Chunks of one text per row: (key, slice_index, start_offset, end_offset, content)."""
-    df = docs.select(key, text, chunk_bounds(F.col(text), size, overlap).alias("_b"))
-    df = df.select(key, text, F.posexplode("_b").alias("slice_index", "_s"))
-    content = F.substring(F.col(text), F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start"))
+    df = docs.select(key, F.posexplode(chunk_pieces(F.col(text), size, overlap)).alias("slice_index", "_s"))
     return df.select(
         key,
         "slice_index",
         F.col("_s.start").alias("start_offset"),
         F.col("_s.end").alias("end_offset"),
-        content.alias("content"),
+        F.col("_s.content").alias("content"),
     )
 
 
@@ -107,28 +121,25 @@ def chunk_units(
     of each other; document offsets and the contiguous chunk_index come from running sums
     over unit totals, cut into blocks so that one huge document spreads over many tasks.
     """
-    text = F.col("text")
-    present = F.length(text) > 0
-    sized = units.where(present).select(
-        doc, "unit_index", "text", *carry, chunk_bounds(text, size, overlap).alias("_b")
-    )
+    sized = units.where(F.length("text") > 0).select(
+        doc, "unit_index", F.length("text").alias("_length"), *carry,
+        chunk_pieces(F.col("text"), size, overlap).alias("_b"),
+    )
     placed = running_sums(
         sized,
         [doc],
         "unit_index",
         {
-            "_offset": (F.length("text") + UNIT_SEPARATOR_LENGTH).cast("long"),
+            "_offset": (F.col("_length") + UNIT_SEPARATOR_LENGTH).cast("long"),
             "_first": F.size("_b").cast("long"),
         },
     )
-    rows = placed.select(
-        doc, "unit_index", "text", *carry, "_offset", "_first", F.posexplode("_b").alias("_i", "_s")
-    )
+    rows = placed.select(doc, "unit_index", *carry, "_offset", "_first", F.posexplode("_b").alias("_i", "_s"))
     start, end = F.col("_s.start"), F.col("_s.end")
     return rows.select(
         doc,
         (F.col("_first") + F.col("_i")).alias("chunk_index"),
-        F.substring(F.col("text"), start + 1, end - start).alias("content"),
+        F.col("_s.content").alias("content"),
         (F.col("_offset") + start).alias("start_offset"),
         (F.col("_offset") + end).alias("end_offset"),
         "unit_index",
@@ -138,6 +149,57 @@ def chunk_units(
     )
 
 
+_LINE_PIECES = (
+    "array<struct<unit_index:int,unit_start:int,unit_end:int,line_start:bigint,offset:bigint,content:string>>"
+)
+
+
+def _line_chunks(text: str, size: int, overlap: int) -> list[tuple]:
+    """Chunks of every line of a text file, with the offsets the general path computes."""
+    out, line_start, offset = [], 0, 0
+    for index, raw in enumerate(text.split("\n")):
+        line = raw.rstrip()
+        if line:
+            spans = chunk_spans(line, size, overlap)
+            out += [(index, a, b, line_start, offset, line[a:b]) for a, b in zip(spans[::2], spans[1::2])]
+            offset += len(line) + UNIT_SEPARATOR_LENGTH
+        line_start += len(raw) + 1
+    return out
+
+
+def chunk_line_documents(
+    docs: DataFrame, doc: str, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Line units and their chunks in one pass, for text files held as one row each.
+
+    Gives the rows of ``text_to_line_units`` followed by ``chunk_units``. As a document
+    never leaves its row, nothing is shuffled.
+    """
+    _check(size, overlap)
+    kinds = [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.string()]
+    names = ["unit_index", "unit_start", "unit_end", "line_start", "offset", "content"]
+
+    def pieces(texts: pa.Array) -> pa.Array:
+        rows = [_line_chunks(t, size, overlap) if t is not None else [] for t in texts.to_pylist()]
+        return _piece_lists(rows, list(zip(names, kinds)))
+
+    found = F.arrow_udf(pieces, _LINE_PIECES)(unify_newlines(F.col(text)))
+    df = docs.select(doc, *carry, F.posexplode(found).alias("_i", "_s"))
+    s = F.col("_s")
+    return df.select(
+        doc,
+        F.col("_i").cast("long").alias("chunk_index"),
+        s["content"].alias("content"),
+        (s["offset"] + s["unit_start"]).alias("start_offset"),
+        (s["offset"] + s["unit_end"]).alias("end_offset"),
+        s["unit_index"].alias("unit_index"),
+        s["unit_start"].alias("unit_start_offset"),
+        s["unit_end"].alias("unit_end_offset"),
+        s["line_start"].alias("text_char_start"),
+        *carry,
+    )
+
+
 def with_identity(
     chunks: DataFrame,
     owner: Column,

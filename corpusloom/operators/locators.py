@@ -49,55 +49,55 @@ TEXT_FIELDS = (
 )
 
 
-def meta_int(meta: Column, key: str, minimum: int) -> Column:
-    """A JSON integer of at least ``minimum``; booleans, floats and texts give null."""
-    value = F.try_variant_get(meta, f"$.{key}", "variant")
-    kind = F.schema_of_variant(value)
-    number = F.when(kind == "BIGINT", F.try_variant_get(meta, f"$.{key}", "bigint"))
+def meta_fields(meta: Column, keys) -> Column:
+    """The values of all ``keys`` as one struct of variants, in a single walk of the object."""
+    names = ",".join(f"`{k}`:variant" for k in dict.fromkeys(keys))
+    return F.try_variant_get(meta, "$", f"struct<{names}>")
+
+
+def as_int(value: Column, minimum: int) -> Column:
+    """A JSON integer of at least ``minimum``; booleans, fractions and texts give null."""
+    is_int = F.schema_of_variant(value) == "BIGINT"
+    number = F.when(is_int, F.try_variant_get(value, "$", "bigint"))
     return F.when(number >= minimum, number)
 
 
-def meta_float(meta: Column, key: str) -> Column:
+def as_float(value: Column) -> Column:
     """A finite JSON number; booleans and texts give null."""
-    kind = F.schema_of_variant(F.try_variant_get(meta, f"$.{key}", "variant"))
+    kind = F.schema_of_variant(value)
     is_number = (kind == "BIGINT") | (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))
-    number = F.when(is_number, F.try_variant_get(meta, f"$.{key}", "double"))
+    number = F.when(is_number, F.try_variant_get(value, "$", "double"))
     return F.when(F.abs(number) < float("inf"), number)
 
 
-def meta_text(meta: Column, key: str, max_length: int | None = None) -> Column:
+def as_string(value: Column) -> Column:
+    """A JSON string as it is; other values give null."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def as_text(value: Column, max_length: int | None = None) -> Column:
     """A non-blank JSON string, stripped."""
-    kind = F.schema_of_variant(F.try_variant_get(meta, f"$.{key}", "variant"))
-    value = strip(F.when(kind == "STRING", F.try_variant_get(meta, f"$.{key}", "string")))
-    value = F.when(value != "", value)
-    return value if max_length is None else F.left(value, F.lit(max_length))
+    text = F.nullif(strip(as_string(value)), F.lit(""))
+    return text if max_length is None else F.left(text, F.lit(max_length))
 
 
-def meta_texts(meta: Column, key: str) -> Column:
+def as_texts(value: Column) -> Column:
     """The non-blank strings of a JSON array; null when there are none."""
-    values = F.try_variant_get(meta, f"$.{key}", "array<string>")
+    values = F.try_variant_get(value, "$", "array<string>")
     kept = F.filter(F.transform(values, strip), lambda x: x != "")
     return F.when(F.size(kept) > 0, kept)
 
 
-# Integer keys outside INT_FIELDS.
-_PLACE_KEYS = (
-    "page_number", "page", "slide_number", "slide_no", "sheet_number", "sheet_index",
-)
-
-
-def integers(meta: Column) -> Column:
-    """Every integer key of the metadata in one pass.
-
-    The JSON reader accepts only integer tokens for a bigint field, so booleans, texts
-    and fractions come back null, as in ``meta_int``.
-    """
-    keys = {k: None for names, _ in INT_FIELDS.values() for k in names} | dict.fromkeys(_PLACE_KEYS)
-    return F.from_json(F.to_json(meta), ", ".join(f"`{k}` bigint" for k in keys))
+def first_int(fields: Column, keys: tuple[str, ...], minimum: int) -> Column:
+    return F.coalesce(*[as_int(fields[k], minimum) for k in keys])
 
 
-def first_int(ints: Column, keys: tuple[str, ...], minimum: int) -> Column:
-    return F.coalesce(*[F.when(ints[k] >= minimum, ints[k]) for k in keys])
+# Metadata keys a locator reads besides INT_FIELDS and TEXT_FIELDS.
+_OTHER_KEYS = (
+    "page_number", "page", "slide_number", "slide_no", "sheet_number", "sheet_index", "sheet_name",
+    "section_title", "content_origin", "ocr_mean_confidence", "cell_coordinates",
+    "merged_cell_ranges", "merged_ranges", "location_kind", "structure_path",
+)
 
 
 def build_source_locator(
@@ -116,33 +116,34 @@ def build_source_locator(
     """
     none_int, none_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     kind_of = F.lower(strip(file_type))
-    df = df.withColumn("_i", integers(meta))
-    ints = F.col("_i")
-    f = {name: first_int(ints, keys, low) for name, (keys, low) in INT_FIELDS.items()}
-    f |= {name: meta_text(meta, name) for name in TEXT_FIELDS}
+    int_keys = [k for keys, _ in INT_FIELDS.values() for k in keys]
+    df = df.withColumn("_i", meta_fields(meta, [*int_keys, *TEXT_FIELDS, *_OTHER_KEYS]))
+    m = F.col("_i")
+    f = {name: first_int(m, keys, low) for name, (keys, low) in INT_FIELDS.items()}
+    f |= {name: as_text(m[name]) for name in TEXT_FIELDS}
     f["file_type"] = kind_of
-    f["page"] = F.coalesce(first_int(ints, ("page_number", "page"), 1), none_int if page is None else page)
+    f["page"] = F.coalesce(first_int(m, ("page_number", "page"), 1), none_int if page is None else page)
     f["slide_no"] = F.coalesce(
-        first_int(ints, ("slide_number", "slide_no"), 1), none_int if slide_no is None else slide_no
+        first_int(m, ("slide_number", "slide_no"), 1), none_int if slide_no is None else slide_no
     )
-    f["sheet_name"] = F.coalesce(meta_text(meta, "sheet_name"), none_text if sheet_name is None else sheet_name)
+    f["sheet_name"] = F.coalesce(as_text(m["sheet_name"]), none_text if sheet_name is None else sheet_name)
     f["section_title"] = F.coalesce(
-        meta_text(meta, "section_title"), none_text if section_title is None else section_title
+        as_text(m["section_title"]), none_text if section_title is None else section_title
     )
     f["sheet_number"] = F.coalesce(
-        first_int(ints, ("sheet_number",), 1), first_int(ints, ("sheet_index",), 0) + 1
+        first_int(m, ("sheet_number",), 1), first_int(m, ("sheet_index",), 0) + 1
     )
-    ocr = (meta_text(meta, "content_origin") == "ocr") | (f["unit_type"] == "ocr_image")
+    ocr = (as_text(m["content_origin"]) == "ocr") | (f["unit_type"] == "ocr_image")
     f["content_origin"] = F.when(ocr, F.lit("ocr")).otherwise(F.lit("text"))
-    f["ocr_mean_confidence"] = meta_float(meta, "ocr_mean_confidence")
-    f["cell_coordinates"] = meta_texts(meta, "cell_coordinates")
-    f["merged_cell_ranges"] = F.coalesce(meta_texts(meta, "merged_cell_ranges"), meta_texts(meta, "merged_ranges"))
+    f["ocr_mean_confidence"] = as_float(m["ocr_mean_confidence"])
+    f["cell_coordinates"] = as_texts(m["cell_coordinates"])
+    f["merged_cell_ranges"] = F.coalesce(as_texts(m["merged_cell_ranges"]), as_texts(m["merged_ranges"]))
     f["image_index"] = f["image_ordinal"]
 
     # Fields first, so that what depends on them reads columns instead of repeating reads.
     fields = df.withColumn("_l", F.struct(*[c.alias(n) for n, c in f.items()]))
     loc = F.col("_l")
-    declared = meta_text(meta, "location_kind")
+    declared = as_text(m["location_kind"])
     kind = F.coalesce(
         F.when(declared.isin(*LOCATOR_KINDS), declared),
         F.when(loc["file_type"] == "pdf", F.lit("pdf_page"))
@@ -175,7 +176,7 @@ def build_source_locator(
         )
         .when(loc["file_type"] == "txt", lines)
     )
-    path = F.coalesce(meta_text(meta, "structure_path"), fallback)
+    path = F.coalesce(as_text(m["structure_path"]), fallback)
     full = loc.withField("kind", kind).withField("structure_path", path)
     return fields.withColumn(out, full).drop("_l", "_i")
 

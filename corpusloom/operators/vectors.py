@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.constants import EMBEDDING_BATCH, MAX_TOP_K
 from corpusloom.functions.text import query_from_content, strip
 from corpusloom.functions.vector import is_finite_vector
-from corpusloom.operators.locators import first_int, integers, meta_float, meta_text
+from corpusloom.operators.locators import as_float, as_text, first_int, meta_fields
 
 # Bounds of one scoring task: its two matrices and the score matrix between them.
 POINTS_PER_BLOCK = 8192
@@ -92,15 +92,16 @@ def build_payload(chunks: DataFrame, meta: str = "meta") -> DataFrame:
 
     Chunk columns that the input lacks come out null, so every index has one schema.
     """
-    df = chunks.withColumn("_i", integers(F.col(meta)))
-    m, ints = F.col(meta), F.col("_i")
+    int_keys = [k for keys, _ in PAYLOAD_INTS.values() for k in keys]
+    df = chunks.withColumn("_m", meta_fields(F.col(meta), [*int_keys, *PAYLOAD_FLOATS, *PAYLOAD_TEXTS]))
+    m = F.col("_m")
     own = [F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in PAYLOAD_COLUMNS]
     return df.select(
         *own,
-        *[first_int(ints, keys, low).alias(n) for n, (keys, low) in PAYLOAD_INTS.items()],
-        *[meta_float(m, n).alias(n) for n in PAYLOAD_FLOATS],
-        *[meta_text(m, n).alias(n) for n in PAYLOAD_TEXTS],
-        m.alias("source_metadata"),
+        *[first_int(m, keys, low).alias(n) for n, (keys, low) in PAYLOAD_INTS.items()],
+        *[as_float(m[n]).alias(n) for n in PAYLOAD_FLOATS],
+        *[as_text(m[n]).alias(n) for n in PAYLOAD_TEXTS],
+        F.col(meta).alias("source_metadata"),
     )
 
 

@@ -99,6 +99,20 @@ def _(t):
     )
 
 
+@query(
+    "chunk_line_documents",
+    "C2 C3 C5 U1",
+    _UNIT_CHUNKS
+    + """ SELECT doc_id, chunk_index, content, start_offset, end_offset, unit_index, content_hash, text_char_start FROM unit_chunks""",
+)
+def _(t):
+    df = ch.chunk_line_documents(t("documents"), "doc_id", "text")
+    return df.select(
+        "doc_id", "chunk_index", "content", "start_offset", "end_offset", "unit_index",
+        content_hash(F.col("content")).alias("content_hash"), "text_char_start",
+    )
+
+
 @query(
     "chunk_ids",
     "C4",
@@ -161,12 +175,8 @@ def _(t):
       FROM unit_chunks c JOIN {documents} d ON c.doc_id = d.doc_id GROUP BY lang""",
 )
 def _(t):
-    lines = units.text_to_line_units(t("documents"), "doc_id", "text")
-    langs = t("documents").select("doc_id", "lang")
-    chunks = ch.chunk_units(lines, "doc_id").select(
-        "doc_id", F.length("content").alias("n"), content_hash(F.col("content")).alias("h")
-    )
-    df = chunks.join(langs, "doc_id")
+    chunks = ch.chunk_line_documents(t("documents"), "doc_id", "text", carry=("lang",))
+    df = chunks.select("lang", "doc_id", F.length("content").alias("n"), content_hash(F.col("content")).alias("h"))
     # Distinct counts as two-step aggregates: no per-language set, no single hot reducer.
     sizes = df.groupBy("lang", "doc_id").agg(
         F.count("*").alias("c"), F.sum("n").alias("s"), F.min("n").alias("lo"), F.max("n").alias("hi")

@@ -10,7 +10,7 @@ from corpusloom import schemas
 from corpusloom.constants import STAGE_EVENTS
 from corpusloom.functions import binary
 from corpusloom.functions.text import strip
-from corpusloom.operators.locators import meta_float, meta_int
+from corpusloom.operators.locators import as_float, as_int, as_string, meta_fields
 
 
 def read_corpus(
@@ -90,25 +90,24 @@ def parse_stage_log(lines: DataFrame, text: str = "value", keep: tuple[str, ...]
     numeric duration are dropped. ``arrived`` is the completion time of events without a
     usable timestamp.
     """
+    counts = ("chunk_count", "structure_unit_count", "text_unit_count", "size_bytes")
+    names = ("event", "file_idx", "duration_ms", "total_duration_ms", "stage", "file_type", "timestamp", *counts)
+    # A line that names none of the events cannot be kept; testing that is cheaper than parsing it.
+    named = F.array_contains(F.array(*[F.col(text).contains(e) for e in STAGE_EVENTS]), True)
+    df = lines.where(named).withColumn("_v", meta_fields(F.try_parse_json(F.col(text)), names))
     v = F.col("_v")
-    df = lines.withColumn("_v", F.try_parse_json(F.col(text)))
-
-    def string(key: str) -> Column:
-        kind = F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
-        return F.when(kind == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
-
-    declared = F.try_variant_get(v, "$.duration_ms", "variant").isNotNull()
-    duration = F.when(declared, meta_float(v, "duration_ms")).otherwise(meta_float(v, "total_duration_ms"))
-    event, stage = string("event"), string("stage")
+    declared = v["duration_ms"].isNotNull()
+    duration = F.when(declared, as_float(v["duration_ms"])).otherwise(as_float(v["total_duration_ms"]))
+    event, stage = as_string(v["event"]), as_string(v["stage"])
     done = F.when(event == "file_processing_completed", F.lit("file_processing")).otherwise(event)
-    when = F.try_to_timestamp(string("timestamp"))
+    when = F.try_to_timestamp(as_string(v["timestamp"]))
     return df.select(
         *keep,
-        meta_int(v, "file_idx", 1).alias("file_idx"),
-        F.coalesce(string("file_type"), F.lit("unknown")).alias("file_type"),
+        as_int(v["file_idx"], 1).alias("file_idx"),
+        F.coalesce(as_string(v["file_type"]), F.lit("unknown")).alias("file_type"),
         F.coalesce(F.when(stage != "", stage), done).alias("stage"),
         event.alias("event"),
         (when if arrived is None else F.coalesce(when, arrived.cast("timestamp"))).alias("completed_at"),
         duration.alias("duration_ms"),
-        *[meta_int(v, n, 0).alias(n) for n in ("chunk_count", "structure_unit_count", "text_unit_count", "size_bytes")],
+        *[as_int(v[n], 0).alias(n) for n in counts],
     ).where(F.col("event").isin(*STAGE_EVENTS) & F.col("file_idx").isNotNull() & F.col("duration_ms").isNotNull())

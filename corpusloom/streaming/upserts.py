@@ -27,12 +27,16 @@ def _log(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def chunk_state(base: DataFrame, path: str) -> DataFrame:
-    """Chunks of each file at its highest version; of equal versions the later batch wins."""
-    log = _log(base.sparkSession, path, base.schema)
-    every = base.withColumn("batch", F.lit(-1).cast("long")).unionByName(log.select(*base.columns, "batch"))
-    best = every.groupBy("file_idx").agg(F.max(F.struct("index_version", "batch")).alias("_v"))
+    """Chunks after all batches.
+
+    The log holds accepted documents only, so a logged file is replaced by its highest
+    logged version (of equal ones by the later batch); other files are untouched.
+    """
+    log = _log(base.sparkSession, path, base.schema).select(*base.columns, "batch")
+    best = log.groupBy("file_idx").agg(F.max(F.struct("index_version", "batch")).alias("_v"))
     best = best.select("file_idx", "_v.index_version", "_v.batch")
-    return every.join(best, ["file_idx", "index_version", "batch"], "left_semi").select(*base.columns)
+    current = log.join(best, ["file_idx", "index_version", "batch"], "left_semi").select(*base.columns)
+    return base.join(best.select("file_idx"), "file_idx", "left_anti").select(*base.columns).unionByName(current)
 
 
 def versioned_chunk_batch(base: DataFrame, path: str, outcomes: str) -> Callable[[DataFrame, int], None]:
