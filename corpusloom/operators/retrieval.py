@@ -36,7 +36,9 @@ SOURCE_ID = r"^SOURCE-[1-9][0-9]*\z"
 # Fixed value: tokens added to every estimate.
 TOKEN_OVERHEAD = 32
 
-_BY_RANK = Window.partitionBy("request_id").orderBy("rank")
+
+def _by_rank():
+    return Window.partitionBy("request_id").orderBy("rank")
 
 
 def classify_query(query: Column, n_files: Column) -> Column:
@@ -100,9 +102,9 @@ def pack_context_lookup(
     text = strip(F.col("content"))
     df = hits.withColumn("_text", text).where(F.col("_text") != "")
     n = F.length("_text")
-    before = F.coalesce(F.sum(F.least(n, F.lit(per_chunk))).over(_BY_RANK.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.least(n, F.lit(per_chunk))).over(_by_rank().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     df = df.withColumn("_limit", F.least(F.lit(per_chunk), F.lit(total) - before)).withColumn(
-        "_n", F.row_number().over(_BY_RANK)
+        "_n", F.row_number().over(_by_rank())
     )
     marker_only = (F.col("_n") > 1) & (F.length("_text") > F.col("_limit")) & (F.col("_limit") <= len(ELLIPSIS))
     df = df.where((F.col("_limit") > 0) & ~marker_only)
