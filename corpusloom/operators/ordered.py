@@ -149,10 +149,25 @@ def gap_segments(
     With ``at_gap`` a pause of exactly ``gap`` separates too. ``block`` is the time span
     of one block of the running count.
     """
-    cells = F.floor(F.col(at) / block)
-    df = df.withColumn("_o", F.struct(at, tie))
-    df = previous(df, keys, "_o", [at], cells)
-    pause = F.col(at) - F.col(f"prev_{at}")
-    starts = F.coalesce(pause >= gap if at_gap else pause > gap, F.lit(False))
-    df = df.withColumn("_starts", starts.cast("int")).drop(f"prev_{at}")
-    return running_sums(df, keys, "_o", {"_segment": F.col("_starts")}, block=cells, inclusive=True).drop("_starts")
+    rows = df.withColumn("_o", F.struct(at, tie)).withColumn("_block", F.floor(F.col(at) / block).cast("long"))
+    inside = Window.partitionBy(*keys, "_block").orderBy("_o")
+
+    def pauses(before: Column) -> Column:
+        pause = F.col(at) - before
+        return F.coalesce(pause >= gap if at_gap else pause > gap, F.lit(False)).cast("int")
+
+    # Per block: its ends, and the pauses that lie wholly inside it.
+    marked = rows.select(*keys, "_block", "_o", at, pauses(F.lag(at).over(inside)).alias("_p"))
+    totals = marked.groupBy(*keys, "_block").agg(F.min(at).alias("_a"), F.max(at).alias("_z"), F.sum("_p").alias("_n"))
+    blocks = Window.partitionBy(*keys).orderBy("_block")
+    entered = F.coalesce(
+        (F.col("_a") - F.lag("_z").over(blocks) >= gap) if at_gap else (F.col("_a") - F.lag("_z").over(blocks) > gap),
+        F.lit(False),
+    ).cast("int")
+    totals = totals.withColumn("_entered", entered)
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum(F.col("_n") + F.col("_entered")).over(earlier), F.lit(0)) + F.col("_entered")
+    bases = totals.select(*keys, "_block", base.alias("_base"))
+    joined = rows.join(bases, [*keys, "_block"]).withColumn("_p", pauses(F.lag(at).over(inside)))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return joined.select(*df.columns, "_o", (F.col("_base") + F.sum("_p").over(upto)).alias("_segment"))

@@ -20,7 +20,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, percents: dict
     """
     group = keys or ["_all"]
     if not keys:
-        df = df.withColumn("_all", F.lit(0))
+        # One group: a key that the optimizer does not fold, so that the joins stay equi-joins.
+        df = df.withColumn("_all", F.pmod(F.xxhash64(value), F.lit(1)))
     v = F.col(value).cast("double")
     counted = (
         df.select(*group, v.alias("_v"))
@@ -33,7 +34,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, percents: dict
     )
     share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0))
-    placed = counted.join(stats, group).withColumn("_cell", cell.cast("int"))
+    # Without keys the statistics are one row.
+    placed = counted.join(stats if keys else F.broadcast(stats), group).withColumn("_cell", cell.cast("int"))
 
     cells = placed.groupBy(*group, "_cell").agg(F.sum("_c").alias("_in"), F.max("_n").alias("_n"))
     upto = Window.partitionBy(*group).orderBy("_cell")

@@ -262,7 +262,6 @@ def soak_windows(records: DataFrame, samples: DataFrame, prefix: str = "soak-win
         F.avg("_ms").alias("latency_mean_ms"),
         F.max("_ms").alias("latency_max_ms"),
     )
-    latency = exact_percentiles(rows, ["case_id"], "_ms", {f"latency_p{q}_ms": q for q in (50, 95, 99)})
     bounds = w.select("case_id", "started_epoch", "completed_epoch")
     inside = samples.join(bounds, "case_id").where(F.col("epoch").between(F.col("started_epoch"), F.col("completed_epoch")))
     metrics = {"rss": "target_rss_bytes", "vram": "target_gpu_bytes", "thread": "threads", "handle": "handles"}
@@ -271,14 +270,14 @@ def soak_windows(records: DataFrame, samples: DataFrame, prefix: str = "soak-win
         *[F.avg(c).alias(f"{n}_mean") for n, c in metrics.items()],
         *[F.max(c).alias(f"{n}_max") for n, c in metrics.items()],
     )
-    out = w.join(latency, "case_id", "left").join(res, "case_id", "left")
-    long = inside.select(
-        "case_id", F.explode(F.array(*[F.struct(F.lit(n).alias("m"), F.col(metrics[n]).cast("double").alias("v")) for n in ("rss", "vram")])).alias("e")
-    ).select("case_id", "e.m", "e.v")
+    # All percentiles in one pass over (window, metric, value).
+    entries = [F.struct(F.lit(n).alias("m"), F.col(metrics[n]).cast("double").alias("v")) for n in ("rss", "vram")]
+    long = inside.select("case_id", F.explode(F.array(*entries)).alias("e")).select("case_id", "e.m", "e.v")
+    long = long.unionByName(rows.select("case_id", F.lit("latency").alias("m"), F.col("_ms").alias("v")))
     q = exact_percentiles(long, ["case_id", "m"], "v", {"p50": 50, "p95": 95, "p99": 99})
-    for n in ("rss", "vram"):
-        one = q.where(F.col("m") == n).select("case_id", *[F.col(f"p{i}").alias(f"{n}_p{i}") for i in (50, 95, 99)])
-        out = out.join(one, "case_id", "left")
+    names = {"latency": "latency_p{}_ms", "rss": "rss_p{}", "vram": "vram_p{}"}
+    wide = [F.max(F.when(F.col("m") == m, F.col(f"p{i}"))).alias(n.format(i)) for m, n in names.items() for i in (50, 95, 99)]
+    out = w.join(res, "case_id", "left").join(q.groupBy("case_id").agg(*wide), "case_id", "left")
     elapsed = F.greatest(F.col("completed_epoch") - F.col("started_epoch"), F.lit(MIN_ELAPSED))
     return (
         out.withColumn("window_index", F.regexp_extract("case_id", "([0-9]+)\\z", 1).try_cast("int"))
@@ -423,17 +422,19 @@ def cpu_percent(times: DataFrame, target: str, block: Column) -> DataFrame:
 
 def run_summary(records: DataFrame, stages: DataFrame, samples: DataFrame) -> DataFrame:
     """Totals of a run in one row."""
-    r = records.agg(
-        F.count("*").alias("request_count"),
-        F.count_if("success").alias("success_count"),
-        F.count_if(~F.col("success")).alias("failure_count"),
-    )
-    s = stages.agg(F.count("*").alias("stage_count"))
-    m = samples.agg(F.count("*").alias("sample_count"))
-    one = F.lit(1)
-    return (
-        r.withColumn("_k", one).join(s.withColumn("_k", one), "_k").join(m.withColumn("_k", one), "_k").drop("_k")
-    )
+    ok = F.col("success")
+    counts = {
+        "request_count": records.agg(F.count("*").alias("n")),
+        "success_count": records.agg(F.count_if(ok).alias("n")),
+        "failure_count": records.agg(F.count_if(~ok).alias("n")),
+        "stage_count": stages.agg(F.count("*").alias("n")),
+        "sample_count": samples.agg(F.count("*").alias("n")),
+    }
+    rows = None
+    for name, df in counts.items():
+        row = df.select(F.lit(name).alias("name"), "n")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in counts])
 
 
 def is_slow_stage(duration_ms: Column, threshold_ms: float) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,7 +16,7 @@ from corpusloom.functions.text import (
     strip,
     unify_newlines,
 )
-from corpusloom.operators.ordered import forward_fill, ordered_fold, running_sums
+from corpusloom.operators.ordered import BLOCK_ROWS, ordered_fold, running_sums
 
 
 def _starts(lengths: pa.Array) -> pa.Array:
@@ -156,7 +154,10 @@ def value_to_text(value: Column, data_type: str) -> Column:
 
 
 def table_rows_to_text(cells: DataFrame, table: list[str]) -> DataFrame:
-    """Table cells to text: cells joined by tabs, rows by line feeds."""
+    """Table cells to text: cells joined by tabs, rows by line feeds.
+
+    A table is part of one uploaded file, whose size limit bounds the collected rows.
+    """
     rows = cells.groupBy(*table, "row").agg(
         F.array_sort(
             F.collect_list(F.struct("col", normalize_inline_text(F.col("value")).alias("v")))
@@ -189,22 +190,39 @@ def carry_heading(units: DataFrame, doc: str, order: str) -> DataFrame:
     Expects unit_type, text, heading_level and section_index. A section change, or a
     missing section, starts over.
     """
-    valid = F.col("section_index") >= 1
-    section = F.when(valid, F.col("section_index"))
-    marked = units.withColumn("_section", section).withColumn("_o", F.col(order))
-    from corpusloom.operators.ordered import BLOCK_ROWS, previous
-
-    marked = marked.withColumn("_seen", F.lit(True))
-    marked = previous(marked, [doc], order, ["_section", "_seen"], F.floor(F.col(order) / BLOCK_ROWS))
-    changed = F.col("prev__seen").isNull() | ~F.col("_section").eqNullSafe(F.col("prev__section"))
+    keys = [doc, "_block"]
+    section = F.when(F.col("section_index") >= 1, F.col("section_index"))
+    rows = units.withColumn("_section", section).withColumn("_block", F.floor(F.col(order) / BLOCK_ROWS).cast("long"))
+    inside = Window.partitionBy(*keys).orderBy(order)
     title = strip(F.col("text"))
-    is_heading = (F.col("unit_type") == "heading") & (title != "")
-    level = F.when(F.col("heading_level") >= 1, F.col("heading_level"))
-    event = F.when(
-        is_heading, F.struct(title.alias("title"), level.alias("level"))
-    ).when(changed, F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("level")))
-    filled = forward_fill(marked.withColumn("_event", event), [doc], order, F.col("_event"), "_h")
-    return filled.select(
+    level = F.when(F.col("heading_level") >= 1, F.col("heading_level")).cast("int")
+    nothing = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("level"))
+    heading = F.when((F.col("unit_type") == "heading") & (title != ""), F.struct(title.alias("title"), level.alias("level")))
+
+    def mark(df: DataFrame, first_changed: Column) -> DataFrame:
+        """Event of each row: its heading, or a reset where the section changes."""
+        is_first = F.row_number().over(inside) == 1
+        differs = ~F.col("_section").eqNullSafe(F.lag("_section").over(inside))
+        changed = F.when(is_first, first_changed).otherwise(differs)
+        return df.withColumn("_event", F.coalesce(heading, F.when(changed, nothing)))
+
+    # Per block: its first and last section and its last event, leaving open whether its
+    # first row changes the section; that depends on the block before.
+    marked = mark(rows, F.lit(False))
+    blocks = marked.groupBy(*keys).agg(
+        F.min_by(F.struct("_section"), order).alias("_head"),
+        F.max_by(F.struct("_section"), order).alias("_tail"),
+        F.max_by("_event", F.when(F.col("_event").isNotNull(), F.col(order))).alias("_last"),
+    )
+    by_block = Window.partitionBy(doc).orderBy("_block")
+    blocks = blocks.withColumn("_enters", ~F.col("_head").eqNullSafe(F.lag("_tail").over(by_block)))
+    blocks = blocks.withColumn("_last", F.coalesce("_last", F.when(F.col("_enters"), nothing)))
+    carried = F.last("_last", True).over(by_block.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select(*keys, "_enters", carried.alias("_carry"))
+    full = mark(rows.join(blocks, keys), F.col("_enters"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    full = full.withColumn("_h", F.coalesce(F.last("_event", True).over(upto), F.col("_carry")))
+    return full.select(
         *units.columns, F.col("_h.title").alias("section_title"), F.col("_h.level").alias("section_heading_level")
     )
 
@@ -313,8 +331,6 @@ def merge_located_units(
     right = placed.select(doc, anchor, "text", F.lit(True).alias("is_extra"), rank.alias("_rank"))
     both = left.unionByName(right)
     # The block is the first rank field, so a huge document spreads over many blocks.
-    from corpusloom.operators.ordered import BLOCK_ROWS
-
     block = F.when(F.col("_rank.a") == big, F.lit(2**62)).otherwise(F.floor(F.col("_rank.a") / BLOCK_ROWS))
     out = running_sums(both, [doc], "_rank", {"unit_index": F.lit(1)}, block=block)
     return out.withColumn("unit_index", F.col("unit_index").cast("long")).drop("_rank")
@@ -449,6 +465,3 @@ def scan_page_flag(
     )
     return df.select(*page, "image_count", "coverage", flag.alias("is_scan"))
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -297,8 +297,8 @@ def select_eval_scope(candidates: DataFrame, seed: int, files_per_user: int) ->
         F.min_by("content", F.struct(seeded_order(seed, "users_idx", "file_idx", "chunk_id").alias("o"), "chunk_id")).alias("content")
     )
     users = files.groupBy("users_idx").agg(F.count("*").alias("n"))
-    most = users.agg(F.max("n").alias("most"))
-    eligible = users.crossJoin(F.broadcast(most)).where(F.col("n") >= F.least("most", F.lit(files_per_user)))
+    most = users.agg(F.max("n")).scalar()
+    eligible = users.where(F.col("n") >= F.least(most, F.lit(files_per_user)))
     chosen = eligible.orderBy(seeded_order(seed, "users_idx"), "users_idx").limit(1).select("users_idx")
     mine = files.join(F.broadcast(chosen), "users_idx", "left_semi")
     return mine.orderBy(seeded_order(seed, "users_idx", "file_idx"), "file_idx").limit(files_per_user)

@@ -382,14 +382,13 @@ def _(t):
     "citations_from_sources",
     "F27",
     """SELECT message_id, source_order, row_number() OVER (PARTITION BY message_id ORDER BY source_order) AS citation_order FROM
-      (SELECT l_suppkey AS message_id, l_orderkey * 10000 + l_linenumber * 1000 + l_partkey % 1000 AS source_order FROM {lineitem} JOIN {files} ON l_orderkey = file_idx WHERE deleted_at IS NULL)""",
+      (SELECT l_orderkey AS message_id, (l_linenumber * 10000000 + l_partkey) * 10000 + l_suppkey AS source_order FROM {lineitem} JOIN {files} ON l_partkey = file_idx WHERE deleted_at IS NULL)""",
 )
 def _(t):
-    li = t("lineitem")
-    sources = li.select(
-        F.col("l_suppkey").alias("message_id"),
-        (F.col("l_orderkey") * 10000 + F.col("l_linenumber") * 1000 + F.col("l_partkey") % 1000).alias("source_order"),
-        F.col("l_orderkey").alias("chunk_id"), F.col("l_orderkey").alias("file_idx"),
+    place = (F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")
+    sources = t("lineitem").select(
+        F.col("l_orderkey").alias("message_id"), place.alias("source_order"),
+        F.col("l_partkey").alias("chunk_id"), F.col("l_partkey").alias("file_idx"),
     )
     chunks = t("files").where(ct.is_live()).select(F.col("file_idx").alias("chunk_id"), "file_idx", F.lit(0).alias("chunk_index"))
     return ct.citations_from_sources(sources, chunks).select("message_id", "source_order", "citation_order")

@@ -274,12 +274,13 @@ def _(t):
 @query(
     "table_rows_to_text",
     "U6",
-    r"""WITH c AS (SELECT doc_id, row, col, coalesce(trim(replace(coalesce(value, ''), chr(10), ' ')), '') AS v FROM {cells}),
-      r AS (SELECT doc_id, row, rtrim(string_agg(v, chr(9) ORDER BY col), chr(9)) AS line, count(*) AS n FROM c GROUP BY doc_id, row)
-      SELECT doc_id, string_agg(line, chr(10) ORDER BY row) AS text, count(*) AS row_count, max(n) AS column_count FROM r GROUP BY doc_id""",
+    r"""WITH c AS (SELECT row // 8 AS table_idx, row, col, coalesce(trim(replace(coalesce(value, ''), chr(10), ' ')), '') AS v FROM {cells}),
+      r AS (SELECT table_idx, row, rtrim(string_agg(v, chr(9) ORDER BY col), chr(9)) AS line, count(*) AS n FROM c GROUP BY table_idx, row)
+      SELECT table_idx, string_agg(line, chr(10) ORDER BY row) AS text, count(*) AS row_count, max(n) AS column_count FROM r GROUP BY table_idx""",
 )
 def _(t):
-    return units.table_rows_to_text(t("cells"), ["doc_id"])
+    cells = t("cells").withColumn("table_idx", F.floor(F.col("row") / 8))
+    return units.table_rows_to_text(cells, ["table_idx"])
 
 
 @query(

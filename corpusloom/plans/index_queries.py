@@ -237,18 +237,17 @@ _META_IN = """SELECT l_orderkey AS file_idx, l_linenumber * 100000000 + l_partke
     concat('s', l_partkey) AS summary FROM {lineitem}"""
 
 
-@query(
-    "metadata_version_upsert",
-    "L15",
-    f"""WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY file_idx ORDER BY seq) AS rn FROM ({_META_IN})),
+_META_SQL = f"""WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY file_idx ORDER BY seq) AS rn FROM ({_META_IN})),
       st AS (SELECT file_idx, summary, extraction_status, index_version FROM {{file_metadata}}),
       r AS (SELECT file_idx, 0::BIGINT AS rn, summary, extraction_status, index_version, FALSE AS fresh FROM st
         UNION ALL SELECT file_idx, rn, CASE WHEN ok AND success THEN nsum ELSE summary END, CASE WHEN ok THEN CASE WHEN success THEN 'READY' ELSE 'FAILED' END ELSE extraction_status END,
           CASE WHEN ok THEN coalesce(nv, index_version) ELSE index_version END, TRUE
         FROM (SELECT r.file_idx, i.rn, r.summary, r.extraction_status, r.index_version, i.summary AS nsum, i.success, i.index_version AS nv, (i.index_version IS NULL OR r.index_version IS NULL OR i.index_version >= r.index_version) AS ok
           FROM r JOIN i ON r.file_idx = i.file_idx AND i.rn = r.rn + 1))
-      SELECT file_idx, arg_max(struct_pack(s := summary), rn).s AS summary, arg_max(extraction_status, rn) AS extraction_status, arg_max(struct_pack(v := index_version), rn).v AS index_version FROM r GROUP BY 1""",
-)
+      SELECT file_idx, arg_max(struct_pack(s := summary), rn).s AS summary, arg_max(extraction_status, rn) AS extraction_status, arg_max(struct_pack(v := index_version), rn).v AS index_version FROM r GROUP BY 1"""
+
+
+@query("metadata_version_upsert", "L15", _META_SQL)
 def _(t):
     stored = t("file_metadata").select("file_idx", "summary", "extraction_status", "index_version")
     incoming = t.sql(_META_IN).groupBy("file_idx", "seq").agg(*[F.first(c).alias(c) for c in ("success", "index_version", "summary")])

@@ -439,7 +439,14 @@ def _(t):
     return out.select("request_id", "file_idx", F.array_join("source_ids", ",").alias("source_ids"), "answer")
 
 
-@query("synthesis_rows", "Q8")
+@query(
+    "synthesis_rows",
+    "Q8",
+    r"""WITH a AS (SELECT conv_id, turn, answer, regexp_extract_all(answer, '\[(SOURCE-[1-9][0-9]*)\]', 1) AS c FROM {answers}),
+      d AS (SELECT *, list_filter(c, lambda x, i: list_position(c, x) = i) AS u FROM a),
+      b AS (SELECT *, CAST(coalesce(sum(len(u)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM d)
+      SELECT conv_id AS request_id, count(*) AS partial_count, CAST(sum(len(u)) AS BIGINT) AS source_count FROM b GROUP BY 1""",
+)
 def _(t):
     remapped = rt.remap_sources(_partials(t))
     sources = remapped.select("request_id", "file_idx", F.explode("source_ids").alias("source_id"))
@@ -447,7 +454,11 @@ def _(t):
     requests = remapped.select("request_id").distinct().select(
         "request_id", F.lit("combine").alias("query"), F.array(*[F.lit(i).cast("long") for i in range(8)]).alias("file_idxs")
     )
-    return rt.build_synthesis_rows(remapped, sources, requests)[0]
+    prompts = rt.build_synthesis_rows(remapped, sources, requests)[0]
+    ids = F.size(F.regexp_extract_all("user_prompt", F.lit('"source_id":"(SOURCE-[0-9]+)"'), 1))
+    return prompts.select(
+        "request_id", F.col("partial_count").cast("long").alias("partial_count"), ids.cast("long").alias("source_count")
+    )
 
 
 @query(

@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from corpusloom import schemas
 from corpusloom.plans.derived import DERIVED
-from corpusloom.plans.index_queries import _META_IN, _SYNC_IN, _SYNCED, scratch
+from corpusloom.plans.index_queries import _META_IN, _META_SQL, _SYNC_IN, _SYNCED, scratch
 from corpusloom.plans.registry import Tables, query
+from corpusloom.plans.text_queries import _REDACT_SQL
 from corpusloom.streaming import admission, callbacks, upserts, windows
 
 HALF_DAY_US = 43_200_000_000
@@ -164,7 +165,7 @@ def _(t):
     return upserts.chunk_state(base, path)
 
 
-@query("versioned_metadata_stream", "X8 L15")
+@query("versioned_metadata_stream", "X8 L15", _META_SQL)
 def _(t):
     path = scratch(t, "metadata")
     base = t("file_metadata").select("file_idx", "summary", "extraction_status", "index_version")
@@ -173,7 +174,11 @@ def _(t):
     return upserts.metadata_state(base, path, ["summary"], T.StructType(list(incoming.schema.fields)))
 
 
-@query("redaction_stream", "X9 N10 N11")
+@query(
+    "redaction_stream",
+    "X9 N10 N11",
+    f"SELECT line_id, {_REDACT_SQL} AS value, '[REDACTED]' AS api_token FROM {{log_lines}}",
+)
 def _(t):
     lines = _streams(t).sql(DERIVED["log_lines"]).select("line_id", "value", F.col("value").alias("prompt"), F.col("value").alias("api-token"))
     return _finish(t, windows.redaction_stream(lines.withColumnRenamed("api-token", "api_token")), "redact")

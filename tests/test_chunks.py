@@ -99,6 +99,7 @@ def test_sections_and_headings(spark, monkeypatch):
     from corpusloom.operators import ordered
 
     monkeypatch.setattr(ordered, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(units, "BLOCK_ROWS", 2)
     rows = [
         (1, 0, "heading", " H1 ", 1, False),
         (1, 1, "paragraph", "p", None, False),
@@ -129,3 +130,41 @@ def test_merge_located_units(spark):
 def test_column_letters(spark):
     df = spark.createDataFrame([(1,), (26,), (27,), (702,), (703,), (16384,)], "n int")
     assert [r[0] for r in df.select(units.column_letters(F.col("n"))).collect()] == ["A", "Z", "AA", "ZZ", "AAA", "XFD"]
+
+
+def test_headings_against_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(units, "BLOCK_ROWS", 3)
+    rng = random.Random(9)
+    rows = []
+    for d in range(20):
+        for i in range(30):
+            kind = rng.choice(["heading", "p", "p"])
+            rows.append((d, i, kind, rng.choice([" ", f"T{i}"]), rng.choice([None, 0, 2]), rng.choice([1, 1, 1, 2, 0, None])))
+    df = spark.createDataFrame(rows, "d int, i int, unit_type string, text string, heading_level int, section_index int")
+    got = {(r["d"], r["i"]): (r["section_title"], r["section_heading_level"]) for r in units.carry_heading(df, "d", "i").collect()}
+    for d in range(20):
+        section, held, first = None, (None, None), True
+        for _, i, kind, text, level, sec in (r for r in rows if r[0] == d):
+            sec = sec if sec and sec >= 1 else None
+            if first or sec != section:
+                section, held, first = sec, (None, None), False
+            if kind == "heading" and text.strip():
+                held = (text.strip(), level if level and level >= 1 else None)
+            assert got[d, i] == held
+
+
+def test_gap_segments(spark):
+    from corpusloom.operators.ordered import gap_segments
+
+    rng = random.Random(10)
+    rows = [(rng.choice("ab"), i, rng.randint(0, 300)) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, id int, at int")
+    for at_gap in (False, True):
+        got = {r["id"]: r["_segment"] for r in gap_segments(df, ["k"], "at", "id", 4, 13, at_gap).collect()}
+        for k in "ab":
+            segment, last = 0, None
+            for at, i in sorted((r[2], r[1]) for r in rows if r[0] == k):
+                if last is not None and (at - last >= 4 if at_gap else at - last > 4):
+                    segment += 1
+                last = at
+                assert got[i] == segment
