@@ -101,8 +101,7 @@ def parse_stage_log(lines: DataFrame, text: str = "value", keep: tuple[str, ...]
     event, stage = as_string(v["event"]), as_string(v["stage"])
     done = F.when(event == "file_processing_completed", F.lit("file_processing")).otherwise(event)
     when = F.try_to_timestamp(as_string(v["timestamp"]))
-    return df.select(
-        *keep,
+    row = F.struct(
         as_int(v["file_idx"], 1).alias("file_idx"),
         F.coalesce(as_string(v["file_type"]), F.lit("unknown")).alias("file_type"),
         F.coalesce(F.when(stage != "", stage), done).alias("stage"),
@@ -110,4 +109,10 @@ def parse_stage_log(lines: DataFrame, text: str = "value", keep: tuple[str, ...]
         (when if arrived is None else F.coalesce(when, arrived.cast("timestamp"))).alias("completed_at"),
         duration.alias("duration_ms"),
         *[as_int(v[n], 0).alias(n) for n in counts],
-    ).where(F.col("event").isin(*STAGE_EVENTS) & F.col("file_idx").isNotNull() & F.col("duration_ms").isNotNull())
+    )
+    # A filter on top would be pushed down and parse the line again for each condition.
+    valid = F.filter(
+        F.array(row),
+        lambda r: r["event"].isin(*STAGE_EVENTS) & r["file_idx"].isNotNull() & r["duration_ms"].isNotNull(),
+    )
+    return df.select(*keep, F.inline(valid))
