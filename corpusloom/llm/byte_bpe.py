@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import MEMORY_KEY_CHARS, Memory, vocabulary
+from corpusloom.llm.common import MEMORY_KEY_CHARS, Memory, once_per_worker, vocabulary
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Leaves of the trees that are merged together; a longer pre-token has a tree of its own.
@@ -211,14 +211,9 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """The codec of a rank file, built once a worker."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return once_per_worker(f"codec {path}", lambda: Codec(path))
 
 
 #: Characters of text encoded together; a longer text is its own group.

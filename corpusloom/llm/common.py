@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,3 +57,15 @@ class Memory:
             self.known.clear()
             return wanted
         return new
+
+
+def once_per_worker(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` returns, made once in a Python worker and found again by its later tasks.
+
+    Task functions travel by value, with module variables of their own; a module that is
+    registered with the interpreter outlives them.
+    """
+    state = sys.modules.setdefault("_corpusloom_worker", types.ModuleType("_corpusloom_worker")).__dict__
+    if key not in state:
+        state[key] = make()
+    return state[key]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm.common import MEMORY_KEY_CHARS, Memory, keep, vocabulary
+from corpusloom.llm.common import MEMORY_KEY_CHARS, Memory, keep, once_per_worker, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -59,13 +59,8 @@ class WordTokenizer:
         return [b"".join(map(known.__getitem__, words)) for words in found]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return once_per_worker(f"word tokenizer {path}", lambda: WordTokenizer(path))
 
 
 #: Characters of text tokenised together; a longer text is its own group.

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import byte_bpe, exact_dedup, packing, token_counts
-from corpusloom.llm.common import table
+from pyspark.sql import functions as F
+
+from corpusloom.llm import byte_bpe, exact_dedup, language_id, packing, token_counts
+from corpusloom.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +26,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held out are the documents whose fold of 5 is 0; the model learns from the others."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(fold_of("doc_id", 5) != 0))
+    return language_id.predict(docs, model, extra=[(fold_of("doc_id", 5) == 0).alias("held_out")])
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"))

@@ -17,25 +17,22 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import vocabulary
+from corpusloom.llm.common import once_per_worker, vocabulary
 from corpusloom.operators.ordered import running_sums
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Lengths per block of the suffix sums; a block's rows meet in one task.
 BLOCK_LENGTHS = 4096
 
-_encodings: dict[str, tiktoken.Encoding] = {}
-
-
 def encoding(path: str) -> tiktoken.Encoding:
     """The encoding of a rank file, loaded once a worker."""
-    if path not in _encodings:
+
+    def load() -> tiktoken.Encoding:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encodings[path] = tiktoken.Encoding(
-            path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
-    return _encodings[path]
+        return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return once_per_worker(f"encoding {path}", load)
 
 
 def document_lengths(
