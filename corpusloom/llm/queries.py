@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, exact_dedup, language_id, packing, token_counts
+from corpusloom.llm import byte_bpe, exact_dedup, language_id, packing, token_counts, toxicity
 from corpusloom.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,13 @@ WITH rows AS (
 )
 SELECT doc_id, keep_id, group_size, kept, sha256(content) AS text_sha256 FROM judged
 """
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held out are the documents whose fold of 4 is 2; no label of theirs is read."""
+    docs = table(spark, sf_dir, "documents")
+    fold = fold_of("doc_id", 4)
+    labels = table(spark, sf_dir, "labels").where(fold != 2)
+    model = toxicity.fit(docs.where(fold != 2), labels)
+    return toxicity.score(docs, model, extra=[(fold == 2).alias("held_out")])
