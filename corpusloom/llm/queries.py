@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, exact_dedup, language_id, packing, token_counts, toxicity
+from corpusloom.llm import byte_bpe, exact_dedup, language_id, ngram_join, packing, token_counts, toxicity
 from corpusloom.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(fold != 2)
     model = toxicity.fit(docs.where(fold != 2), labels)
     return toxicity.score(docs, model, extra=[(fold == 2).alias("held_out")])
+
+
+@query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of copies, number of links to other classes, and group of each document."""
+    return ngram_join.similarity_links(table(spark, sf_dir, "documents"))
