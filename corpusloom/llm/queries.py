@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, exact_dedup, language_id, ngram_join, packing, token_counts, toxicity
+from corpusloom.llm import byte_bpe, exact_dedup, language_id, nearest, ngram_join, packing, token_counts, toxicity
 from corpusloom.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of copies, number of links to other classes, and group of each document."""
     return ngram_join.similarity_links(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
