@@ -44,7 +44,8 @@ SEED = 7
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     """(vec_id, v): rows that take part, the vector as doubles.
 
-    Null ids and vectors, vectors with null or non-finite components and zero vectors do not.
+    Null ids and vectors, vectors with null or non-finite components, zero vectors, and vectors of
+    another length than most do not.
     Rows that repeat an id are one row; if their vectors differ, the least in array order.
     """
     v = F.col(vector).cast("array<double>")
@@ -52,7 +53,10 @@ def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0.0)
     )
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"))
+    usual = sizes.orderBy(F.desc("rows"), F.desc("n")).first()
+    return rows.where(F.size("v") == (usual["n"] if usual else 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -205,7 +209,7 @@ def nearest(
     ``is_query`` is a condition on ``vec_id``. Candidates are all usable rows but the query's own
     id; the score is the Euclidean distance of the original vectors. Equal distances rank the
     smaller id first. With fewer candidates than k, all are returned; empty tables and tables
-    without a query or a candidate give no rows. All vectors must have one length.
+    without a query or a candidate give no rows.
     """
     rows = keep(usable(vectors, id_column, vector))
     count = rows.count()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, exact_dedup, language_id, nearest, ngram_join, packing, token_counts, toxicity
+from corpusloom.llm import byte_bpe, exact_dedup, language_id, nearest, ngram_join, packing, token_counts, toxicity, warc
 from corpusloom.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,27 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages into archives in the shared folder, and read them back."""
+    folder = warc.archive_folder(spark)
+    files = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    rows = warc.read_archives(files, folder)
+    checked = rows.withColumn("record_type", F.coalesce(warc.failed(F.col("problem")).cast("string"), F.col("record_type")))
+    return checked.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op10_warc"] = """
+WITH rows AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM rows
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM firsts
+"""
