@@ -29,9 +29,12 @@ END_ID = 1
 RANK_BLOCK_ROWS = 20_000
 #: Characters between which no token of this vocabulary reaches: its pattern drops white
 #: space, and these are white space to every part of the tokenizer.
-GAPS = str.maketrans({"\n": " ", "\t": " ", "\r": " "})
-#: Words tokenised in one call.
-WORDS_PER_CALL = 20_000
+GAPS = ("\n", "\t", "\r")
+#: A special token of the vocabulary, which cuts a text before anything else is done to it.
+SEPARATOR = "<|endoftext|>"
+#: Words joined into a text, and texts tokenised in one call.
+WORDS_PER_TEXT = 200
+TEXTS_PER_CALL = 200
 
 
 class WordTokenizer:
@@ -40,16 +43,36 @@ class WordTokenizer:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.joined = Tokenizer.from_file(path)
+        self.separator = self.joined.token_to_id(SEPARATOR)
         self.memory = Memory()
 
     def _bytes_of(self, words: Sequence[str]) -> Iterator[bytes]:
-        for k in range(0, len(words), WORDS_PER_CALL):
-            part = list(words[k : k + WORDS_PER_CALL])
-            for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+        """Ids of each word. Words go to the tokenizer many at a time, with its end token between."""
+        plain = [w for w in words if "<|" not in w]
+        own = (w for w in words if "<|" in w)
+        alone = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in own}
+        groups = [plain[k : k + WORDS_PER_TEXT] for k in range(0, len(plain), WORDS_PER_TEXT)]
+        found: list[bytes] = []
+        for k in range(0, len(groups), TEXTS_PER_CALL):
+            texts = [SEPARATOR.join(g) for g in groups[k : k + TEXTS_PER_CALL]]
+            for group, e in zip(groups[k:], self.joined.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(ids == self.separator)
+                raw, size = ids.tobytes(), len(ids)
+                starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), size]
+                assert len(starts) == len(group)
+                found.extend(raw[4 * a : 4 * b] for a, b in zip(starts, ends))
+        rest = iter(found)
+        for w in words:
+            yield alone[w] if w in alone else next(rest)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        found = [t.translate(GAPS).split(" ") for t in texts]
+        found = []
+        for text in texts:
+            for gap in GAPS:
+                text = text.replace(gap, " ")
+            found.append(text.split(" "))
         wanted = list(self.memory.missing(set().union(*found)))
         known, long = self.memory.known, {}
         for word, ids in zip(wanted, self._bytes_of(wanted)):
