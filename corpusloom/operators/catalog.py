@@ -156,12 +156,16 @@ def storage_usage(users: DataFrame, files: DataFrame, quota: int) -> DataFrame:
 
 
 def quota_check(batches: DataFrame, usage: DataFrame, quota: int) -> DataFrame:
-    """Decide upload batches in arrival order: accepted, rejected, or existing.
+    """Decide upload batches in arrival order: accepted, rejected, existing, or invalid.
 
     ``batches``: users_idx, arrival, idempotency_key (nullable), incoming_bytes. A key
     that was accepted before is answered as existing and uses nothing. Only keys that
-    repeat are remembered while a user's batches stream by.
+    repeat are remembered while a user's batches stream by. A batch without an owner, or whose
+    size is null or negative, is invalid and takes no part in the decisions.
     """
+    valid = F.coalesce(F.col("users_idx").isNotNull() & (F.col("incoming_bytes") >= 0), F.lit(False))
+    invalid = batches.where(~valid).withColumn("outcome", F.lit("invalid"))
+    batches = batches.where(valid)
     repeats = batches.where(F.col("idempotency_key").isNotNull()).groupBy("users_idx", "idempotency_key").agg(
         (F.count("*") > 1).alias("_repeats")
     )
@@ -176,13 +180,15 @@ def quota_check(batches: DataFrame, usage: DataFrame, quota: int) -> DataFrame:
             return state, "existing"
         if used + added + size > quota:
             return state, "rejected"
-        return (added + size, accepted | {key} if repeats else accepted), "accepted"
+        if repeats:
+            accepted.add(key)
+        return (added + size, accepted), "accepted"
 
     folded = ordered_fold(
-        df, ["users_idx"], ["arrival"], lambda: (0, frozenset()), step,
+        df, ["users_idx"], ["arrival"], lambda: (0, set()), step,
         ["idempotency_key", "_repeats", "incoming_bytes", "_used"], "outcome", "string",
     )
-    return folded.drop("_repeats", "_used")
+    return folded.drop("_repeats", "_used").unionByName(invalid)
 
 
 def validate_upload(files: DataFrame, batch: str) -> DataFrame:

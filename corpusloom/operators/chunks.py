@@ -244,7 +244,9 @@ def decorate_chunks(chunks: DataFrame, file_type: Column, text_char_start: Colum
 def validate_chunks(docs: DataFrame, chunks: DataFrame, doc: str) -> DataFrame:
     """Broken chunk contracts as (doc, rule, detail) rows.
 
-    Uniqueness counts (doc, id) groups, so no per-document set of ids is built.
+    Ids are unique inside a document (``duplicate_chunk_id``); one that several documents
+    bear is told of each of them (``shared_chunk_id``). Uniqueness counts (doc, id) groups, so
+    no per-document set of ids is built.
     """
     span = F.col("end_offset") - F.col("start_offset")
     per_doc = chunks.groupBy(doc).agg(
@@ -256,16 +258,19 @@ def validate_chunks(docs: DataFrame, chunks: DataFrame, doc: str) -> DataFrame:
     index_copies = (
         chunks.groupBy(doc, "chunk_index").count().where("count > 1").groupBy(doc).agg(F.count("*").alias("dup_index"))
     )
-    id_copies = (
-        chunks.groupBy("chunk_id").agg(F.count("*").alias("c"), F.min(doc).alias(doc)).where("c > 1").groupBy(doc).agg(F.count("*").alias("dup_id"))
-    )
-    df = docs.select(doc).join(per_doc, doc, "left").join(index_copies, doc, "left").join(id_copies, doc, "left")
-    df = df.fillna(0, ["n", "dup_index", "dup_id", "bad_span"])
+    ids = chunks.groupBy(doc, "chunk_id").agg(F.count("*").alias("c"))
+    id_copies = ids.where("c > 1").groupBy(doc).agg(F.count("*").alias("dup_id"))
+    shared = ids.groupBy("chunk_id").agg(F.count("*").alias("docs")).where("docs > 1").select("chunk_id")
+    shared = ids.join(shared, "chunk_id", "left_semi").groupBy(doc).agg(F.count("*").alias("shared_id"))
+    df = docs.select(doc).join(per_doc, doc, "left").join(index_copies, doc, "left")
+    df = df.join(id_copies, doc, "left").join(shared, doc, "left")
+    df = df.fillna(0, ["n", "dup_index", "dup_id", "shared_id", "bad_span"])
     gap = (F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1) | (F.col("dup_index") > 0)
     rules = [
         ("no_chunks", F.col("n") == 0, F.lit(0).cast("long")),
         ("index_not_contiguous", gap, F.col("n")),
         ("duplicate_chunk_id", F.col("dup_id") > 0, F.col("dup_id")),
+        ("shared_chunk_id", F.col("shared_id") > 0, F.col("shared_id")),
         ("span_length_mismatch", F.col("bad_span") > 0, F.col("bad_span")),
     ]
     return reject_rows(df, [doc], rules)

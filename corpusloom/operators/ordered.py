@@ -10,13 +10,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equi-join in which a null key meets a null key; the keys appear once."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, match).drop(*[f"_r_{k}" for k in keys])
+
+
 def _running(df, keys, order, exprs, block, inclusive, total, combine):
     """Running aggregate per key, block totals first; ``combine`` merges base and inner part."""
     block = F.floor(F.col(order) / BLOCK_ROWS) if block is None else block
@@ -28,7 +37,7 @@ def _running(df, keys, order, exprs, block, inclusive, total, combine):
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
     inside = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return rows.join(bases, [*keys, "_block"]).select(
+    return join_null_safe(rows, bases, [*keys, "_block"]).select(
         *df.columns,
         *[combine(F.col(f"_b_{n}"), total(e).over(inside)).alias(n) for n, e in exprs.items()],
     )
@@ -79,7 +88,7 @@ def forward_fill(
     carried = lasts.select(*keys, "_block", F.last("_last", True).over(before).alias("_carry"))
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
     inside = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(carried, [*keys, "_block"]).select(
+    return join_null_safe(rows, carried, [*keys, "_block"]).select(
         *df.columns, F.coalesce(F.last("_v", True).over(inside), F.col("_carry")).alias(out)
     )
 
@@ -94,7 +103,7 @@ def previous(
     by_block = Window.partitionBy(*keys).orderBy("_block")
     carried = lasts.select(*keys, "_block", F.lag("_last").over(by_block).alias("_carry"))
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
-    joined = rows.join(carried, [*keys, "_block"])
+    joined = join_null_safe(rows, carried, [*keys, "_block"])
     joined = joined.withColumn("_prev", F.lag(F.struct(*values)).over(inside))
     joined = joined.withColumn("_prev", F.coalesce("_prev", "_carry"))
     return joined.select(*df.columns, *[F.col(f"_prev.{v}").alias(f"prev_{v}") for v in values])
@@ -116,27 +125,35 @@ def ordered_fold(
     result. Rows are shuffled by key and sorted by Spark; each task streams its sorted
     batches and keeps only the state of the current key, so memory does not grow with a
     group. Callers cut keys as finely as the decision allows.
+
+    All columns pass through as Arrow data, so ids keep their 64 bits and a null key is a
+    key of its own. Null inputs reach ``step`` as None.
     """
     keys, inputs = list(keys), list(inputs)
     from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(out_type))])
+    kind = T._parse_datatype_string(out_type)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
+    names = df.columns
+    arrow_type = to_arrow_type(kind)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
-        for pdf in batches:
+        for batch in batches:
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            picked = {c: columns[names.index(c)].to_pylist() for c in {*keys, *inputs}}
             results = []
-            key_rows = zip(*[pdf[k].tolist() for k in keys])
-            value_rows = zip(*[pdf[c].tolist() for c in inputs])
-            for key, values in zip(key_rows, value_rows):
+            for i in range(batch.num_rows):
+                key = [picked[k][i] for k in keys]
                 if key != current:
                     current, state = key, start()
-                state, result = step(state, values)
+                state, result = step(state, tuple(picked[c][i] for c in inputs))
                 results.append(result)
-            yield pdf.assign(**{out: results})
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(results, arrow_type)], names=[*names, out])
 
     sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return sorted_rows.mapInPandas(run, schema)
+    return sorted_rows.mapInArrow(run, schema)
 
 
 def gap_segments(
@@ -168,6 +185,6 @@ def gap_segments(
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum(F.col("_n") + F.col("_entered")).over(earlier), F.lit(0)) + F.col("_entered")
     bases = totals.select(*keys, "_block", base.alias("_base"))
-    joined = rows.join(bases, [*keys, "_block"]).withColumn("_p", pauses(F.lag(at).over(inside)))
+    joined = join_null_safe(rows, bases, [*keys, "_block"]).withColumn("_p", pauses(F.lag(at).over(inside)))
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(*df.columns, "_o", (F.col("_base") + F.sum("_p").over(upto)).alias("_segment"))

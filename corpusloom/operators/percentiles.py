@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Histogram cells per group; a selection window sees about 1/CELLS of a group's values.
-CELLS = 4096
+# Cells per group, cut at sketched quantiles of the distinct values; a selection window sees
+# about 1/CELLS of a group's distinct values, whatever their distribution.
+CELLS = 128
+ACCURACY = 10_000
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, percents: dict[str, float]) -> DataFrame:
     """Percentiles with linear interpolation at (n - 1) * p / 100, one row per group.
 
     The built-in exact percentile keeps all distinct values of a group in one buffer.
-    Here equal values are counted first, a histogram per group finds the cells that hold
-    the wanted ranks, and only those cells are ordered. Every step but the last handles
+    Here equal values are counted first, cells cut at approximate quantiles find those that
+    hold the wanted ranks, and only these cells are ordered. The sketch decides how much is
+    ordered and never what is returned. Every step but the last handles
     pre-aggregated rows, and no step puts a whole group in one task. Null and NaN values
     do not count; a group without values has no row.
     """
@@ -29,13 +32,13 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, percents: dict
         .groupBy(*group, "_v")
         .agg(F.count("*").alias("_c"))
     )
+    cuts = [F.lit(i / CELLS) for i in range(1, CELLS)]
     stats = counted.groupBy(*group).agg(
-        F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        F.sum("_c").alias("_n"), F.percentile_approx("_v", F.array(*cuts), ACCURACY).alias("_cuts")
     )
-    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0))
+    cell = F.size(F.filter("_cuts", lambda cut: cut < F.col("_v")))
     # Without keys the statistics are one row.
-    placed = counted.join(stats if keys else F.broadcast(stats), group).withColumn("_cell", cell.cast("int"))
+    placed = counted.join(stats if keys else F.broadcast(stats), group).withColumn("_cell", cell)
 
     cells = placed.groupBy(*group, "_cell").agg(F.sum("_c").alias("_in"), F.max("_n").alias("_n"))
     upto = Window.partitionBy(*group).orderBy("_cell")

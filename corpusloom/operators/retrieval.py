@@ -364,8 +364,16 @@ def budget_audit(
 
     ``calls``: request_id, call_index, estimated_input, requested_output (nullable),
     input_tokens, output_tokens. A refused call uses nothing, so this is a fold. Adds
-    ``output_limit`` (null when refused) and ``exceeded`` (the first limit, or null).
+    ``output_limit`` (null when refused) and ``exceeded`` (the first limit, or null). A call
+    whose request or counts are null or negative is refused as ``invalid_amount`` and uses nothing.
     """
+    amounts = [F.col(c) >= 0 for c in ("estimated_input", "input_tokens", "output_tokens")]
+    valid = F.col("request_id").isNotNull()
+    for amount in amounts:
+        valid = valid & F.coalesce(amount, F.lit(False))
+    invalid = calls.where(~valid).select(
+        *calls.columns, F.lit(None).cast("bigint").alias("output_limit"), F.lit("invalid_amount").alias("exceeded")
+    )
 
     def step(state, values):
         n, used_in, used_out = state
@@ -377,7 +385,7 @@ def budget_audit(
         left = max_output - used_out
         if left <= 0:
             return state, {"output_limit": None, "exceeded": "output_tokens"}
-        asked = per_call if requested is None or requested != requested else int(requested)
+        asked = per_call if requested is None else int(requested)
         limit = min(asked, per_call, left)
         state = (n + 1, used_in + spent_in, used_out + spent_out)
         over = None
@@ -388,7 +396,7 @@ def budget_audit(
         return state, {"output_limit": int(limit), "exceeded": over}
 
     folded = ordered_fold(
-        calls,
+        calls.where(valid),
         ["request_id"],
         ["call_index"],
         lambda: (0, 0, 0),
@@ -397,7 +405,7 @@ def budget_audit(
         "_r",
         "struct<output_limit: bigint, exceeded: string>",
     )
-    return folded.select(*calls.columns, "_r.output_limit", "_r.exceeded")
+    return folded.select(*calls.columns, "_r.output_limit", "_r.exceeded").unionByName(invalid)
 
 
 def dedup_citations_by_file(citations: DataFrame, key: str = "message_id") -> DataFrame:

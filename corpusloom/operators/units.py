@@ -365,9 +365,10 @@ def budget_select(
     """Greedy choice in order: an item over the remaining budget is skipped, later ones may fit.
 
     Items that could never fit are decided before the shuffle, so only undecided rows
-    travel. Adds ``selected``.
+    travel. Adds ``selected``. Items without a size, or with a negative one, are never chosen;
+    a null key is a group of its own.
     """
-    fits = F.col(size) <= max_total
+    fits = (F.col(size) >= 0) & (F.col(size) <= max_total)
     never = items.where(~F.coalesce(fits, F.lit(False))).withColumn("selected", F.lit(False))
 
     def step(state, values):
@@ -378,7 +379,7 @@ def budget_select(
         return state, False
 
     folded = ordered_fold(
-        items.where(fits), keys, order, lambda: (0, 0), step, [size], "selected", "boolean"
+        items.where(F.coalesce(fits, F.lit(False))), keys, order, lambda: (0, 0), step, [size], "selected", "boolean"
     )
     return folded.unionByName(never)
 

@@ -136,13 +136,16 @@ def _(t):
     "C6",
     _walk_sql("SELECT doc_id, text FROM {documents}", "doc_id")
     + """, c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY walk_start) - 1 AS i, b, b + length(content) - CASE WHEN length(content) < 300 THEN 1 ELSE 0 END AS e, content,
-        CASE WHEN length(content) < 200 THEN 'same' ELSE doc_id || ':' || (row_number() OVER (PARTITION BY doc_id ORDER BY walk_start) - 1) END AS chunk_id FROM spans WHERE content <> ''),
+        CASE WHEN length(content) < 200 THEN 'same' WHEN length(content) < 400 THEN 'own ' || doc_id ELSE doc_id || ':' || (row_number() OVER (PARTITION BY doc_id ORDER BY walk_start) - 1) END AS chunk_id FROM spans WHERE content <> ''),
       k AS (SELECT * FROM c WHERE length(content) <> 1000),
       p AS (SELECT d.doc_id, count(k.i) AS n, min(i) AS lo, max(i) AS hi, count(*) FILTER (WHERE e - b <> length(content)) AS bad FROM {documents} d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id),
-      dup AS (SELECT min(doc_id) AS doc_id, 1 AS dup_id FROM k GROUP BY chunk_id HAVING count(*) > 1)
+      ids AS (SELECT doc_id, chunk_id, count(*) AS c FROM k GROUP BY ALL),
+      dup AS (SELECT doc_id FROM ids WHERE c > 1),
+      shared AS (SELECT doc_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY chunk_id) AS docs FROM ids) WHERE docs > 1)
       SELECT doc_id, 'no_chunks' AS rule, CAST(0 AS BIGINT) AS detail FROM p WHERE n = 0
       UNION ALL SELECT doc_id, 'index_not_contiguous', n FROM p WHERE lo <> 0 OR hi <> n - 1
       UNION ALL SELECT doc_id, 'duplicate_chunk_id', count(*) FROM dup GROUP BY doc_id
+      UNION ALL SELECT doc_id, 'shared_chunk_id', count(*) FROM shared GROUP BY doc_id
       UNION ALL SELECT doc_id, 'span_length_mismatch', bad FROM p WHERE bad > 0""",
 )
 def _(t):
@@ -150,7 +153,7 @@ def _(t):
     n = F.length("content")
     # Defects: full-size chunks are lost, short ones get a wrong end or a shared id.
     c = c.where(n != 1000).withColumn("end_offset", F.col("end_offset") - F.when(n < 300, 1).otherwise(0))
-    c = c.withColumn("chunk_id", F.when(n < 200, "same").otherwise(F.concat("doc_id", F.lit(":"), "chunk_index")))
+    c = c.withColumn("chunk_id", F.when(n < 200, "same").when(n < 400, F.concat(F.lit("own "), "doc_id")).otherwise(F.concat("doc_id", F.lit(":"), "chunk_index")))
     return ch.validate_chunks(t("documents"), c, "doc_id")
 
 
