@@ -144,7 +144,8 @@ def _(t):
     "redact_record",
     "N11",
     f"""SELECT line_id, '[REDACTED]' AS access_token, {_REDACT_SQL} AS message,
-      '[REDACTED]' AS nested_db_host, user_id AS nested_id, 'file_idx=' || user_id || ';internal-token=[REDACTED]' AS extras
+      '[REDACTED]' AS nested_db_host, user_id AS nested_id, 'file_idx=' || user_id || ';internal-token=[REDACTED]' AS extras,
+      'db_port=[REDACTED];n=' || user_id AS counts, '{{"db_user":"[REDACTED]","n":' || user_id || '}}' AS open_record
     FROM {{log_lines}}""",
 )
 def _(t):
@@ -161,18 +162,29 @@ def _(t):
             F.lit("Chunk Content"), F.col("value"),
             F.lit("file_idx"), F.col("user_id").cast("string"),
         ).alias("extras"),
+        F.create_map(F.lit("db_port"), F.col("user_id"), F.lit("n"), F.col("user_id")).alias("counts"),
+        F.parse_json(
+            F.to_json(
+                F.struct(
+                    F.struct(F.col("value").alias("v")).alias("db_user"), F.col("value").alias("prompt"), F.col("user_id").alias("n")
+                )
+            )
+        ).alias("open_record"),
     )
     r = redact.redact_columns(df)
-    extras = F.array_join(
-        F.array_sort(F.transform(F.map_entries("extras"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";"
-    )
+
+    def entries(c):
+        return F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+
     return r.select(
         "line_id",
         "access_token",
         "message",
         F.col("nested.`db-host`").alias("nested_db_host"),
         F.col("nested.id").alias("nested_id"),
-        extras.alias("extras"),
+        entries("extras").alias("extras"),
+        entries("counts").alias("counts"),
+        F.to_json("open_record").alias("open_record"),
     )
 
 

@@ -123,3 +123,62 @@ def test_constraints_pass_nulls(spark):
     out = dq.check_constraints(df, ["i"], [dq.one_of("s", *dq.FILE_STATES), dq.at_least("n", 4)])
     assert {tuple(r) for r in out.collect()} == {(1, "n_minimum"), (2, "s_allowed")}
     assert dq.unique_violations(spark.createDataFrame([(1,), (1,), (None,), (None,)], "k int"), ["k"]).count() == 1
+
+
+def test_fold_keeps_large_ids_and_null_keys(spark):
+    from corpusloom.operators.units import budget_select
+
+    big = 2**60
+    rows = [(big + 1, 1, 60, None), (big + 2, 1, 60, big + 1), (None, 1, 60, 5), (None, 2, 60, 6), (None, 3, 40, 7), (1, 1, None, 8), (1, 2, -5, 9)]
+    df = spark.createDataFrame(rows, "doc bigint, at int, size bigint, other bigint")
+    got = {(r.doc, r.at): (r.selected, r.other) for r in budget_select(df, ["doc"], ["at"], "size", 10, 100).collect()}
+    assert got == {
+        (big + 1, 1): (True, None), (big + 2, 1): (True, big + 1), (None, 1): (True, 5), (None, 2): (False, 6),
+        (None, 3): (True, 7), (1, 1): (False, 8), (1, 2): (False, 9),
+    }
+
+
+def test_null_amounts_do_not_open_quotas(spark):
+    from corpusloom.operators.catalog import quota_check
+    from corpusloom.operators.retrieval import budget_audit
+
+    rows = [(2**60 + 1, 1, None, None), (2**60 + 1, 2, None, 10**9), (2**60 + 1, 3, "k", 60), (2**60 + 1, 4, "k", 60), (2**60 + 1, 5, None, -1), (None, 6, None, 1)]
+    batches = spark.createDataFrame(rows, "users_idx bigint, arrival int, idempotency_key string, incoming_bytes bigint")
+    usage = spark.createDataFrame([(2**60 + 1, 20)], "users_idx bigint, used_bytes bigint")
+    got = {r.arrival: r.outcome for r in quota_check(batches, usage, 100).collect()}
+    assert got == {1: "invalid", 2: "rejected", 3: "accepted", 4: "existing", 5: "invalid", 6: "invalid"}
+    calls = [(1, 0, None, None, 5, 5), (1, 1, 900_000_000, None, 5, 5), (1, 2, 10, None, 5, 5), (None, 0, 1, 1, 1, 1)]
+    calls = spark.createDataFrame(
+        calls, "request_id bigint, call_index int, estimated_input bigint, requested_output bigint, input_tokens bigint, output_tokens bigint"
+    )
+    got = [(r.call_index, r.output_limit, r.exceeded) for r in budget_audit(calls, 50).collect() if r.request_id]
+    assert sorted(got) == [(0, None, "invalid_amount"), (1, None, "input_tokens"), (2, 50, None)]
+
+
+def test_chunk_ids_are_unique_inside_a_document(spark):
+    from corpusloom.operators.chunks import validate_chunks
+
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc bigint")
+    rows = [(1, 0, "a"), (2, 0, "a"), (2, 1, "b"), (2, 2, "b"), (3, 0, "c")]
+    chunks = spark.createDataFrame(
+        [(d, i, 0, 1, "x", c) for d, i, c in rows], "doc bigint, chunk_index int, start_offset int, end_offset int, content string, chunk_id string"
+    )
+    got = sorted((r.doc, r.rule, r.detail) for r in validate_chunks(docs, chunks, "doc").collect())
+    assert got == [(1, "shared_chunk_id", 1), (2, "duplicate_chunk_id", 1), (2, "shared_chunk_id", 1)]
+
+
+def test_percentiles_of_heavy_tails(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators.percentiles import exact_percentiles
+
+    df = spark.range(20_000).select(
+        (F.col("id") % 3).alias("g"), F.when(F.col("id") == 7, 1e9).otherwise(F.pow(F.col("id") % 6007, F.lit(3.0))).alias("v")
+    )
+    percents = {"p0": 0.0, "p50": 50.0, "p95": 95.0, "p99": 99.0, "p100": 100.0}
+    data = df.toPandas()
+    for r in exact_percentiles(df, ["g"], "v", percents).collect():
+        values = data[data.g == r.g].v
+        for name, p in percents.items():
+            assert np.isclose(r[name], np.percentile(values, p))

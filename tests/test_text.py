@@ -142,3 +142,20 @@ def test_uuid5(spark):
     names = ["", "a", "한글\x1f1", "x" * 500]
     want = [str(uuid.uuid5(uuid.UUID(CHUNK_NAMESPACE), n)) for n in names]
     assert values(spark, lambda c: uuid5(CHUNK_NAMESPACE, c), names) == want
+
+
+def test_masks_of_any_type(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions.redact import redact_columns
+
+    df = spark.sql(
+        """SELECT map('db_port', 12345, 'n', 7) AS counts, map('db_user', named_struct('v', 's3cret'), 'x', named_struct('v', 'a')) AS users,
+           parse_json('{"a": [{"my_api_key": 1, "my_token": {"x": 2}, "content": "gone", "n": null}], "t": "password=abc ok"}') AS v,
+           CAST(NULL AS VARIANT) AS none"""
+    )
+    r = redact_columns(df).select("counts", "users", F.to_json("v").alias("v"), "none").first()
+    assert r.counts == {"db_port": "[REDACTED]", "n": "7"}
+    assert r.users == {"db_user": "[REDACTED]", "x": '{"v":"a"}'}
+    assert r.v == '{"a":[{"my_api_key":"[REDACTED]","my_token":"[REDACTED]","n":null}],"t":"password=[REDACTED] ok"}'
+    assert r.none is None
