@@ -180,6 +180,8 @@ def folder_tree_counts(folders: DataFrame, files: DataFrame, pairs: DataFrame) -
 
 # Texts and names meet on leading grams of at most this many characters.
 NAME_GRAM = 6
+# Texts are cut into pieces of this many characters, so that work is linear in their length.
+PIECE_CHARS = 512
 
 
 def best_matching_folder(docs: DataFrame, folders: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -188,23 +190,31 @@ def best_matching_folder(docs: DataFrame, folders: DataFrame, pairs: DataFrame)
     ``docs``: doc_id, users_idx, text. A mentioned leaf name scores 2, a mentioned
     ancestor 1; names need two characters; the first folder wins ties. The best folder is
     always one that is mentioned itself (any other scores one less than its nearest
-    mentioned ancestor), so only mentioned folders are scored. Text and name are paired
-    by the leading characters of the name, never as a product.
+    mentioned ancestor), so only mentioned folders are scored. Adds ``matched_names``, the
+    mentioned names on the path from the root, and ``path``, all its names.
+
+    Text and name are paired by the leading characters of the name, never as a product. A
+    row of the pairing holds a gram of a few characters; the text itself is joined back only
+    where a name is longer than its gram.
     """
     named = folders.select("users_idx", F.col("folder_idx").alias("descendant"), F.lower("name").alias("_name"))
     named = named.where(F.length("_name") >= 2).withColumn("_gram", F.left("_name", F.lit(NAME_GRAM)))
-    text = docs.select("doc_id", "users_idx", F.lower("text").alias("_text"))
-    spots = F.sequence(F.lit(1), F.greatest(F.length("_text") - 1, F.lit(1)))
-    grams = F.array_distinct(
-        F.flatten(
-            F.transform(spots, lambda i: F.transform(
-                F.sequence(F.lit(2), F.lit(NAME_GRAM)), lambda n: F.substring(F.col("_text"), i, n)))
-        )
-    )
-    seen = text.select("doc_id", "users_idx", "_text", F.explode(grams).alias("_gram"))
+    text = docs.select("doc_id", "users_idx", F.lower("text").alias("_text")).where(F.length("_text") >= 2)
+    starts = F.sequence(F.lit(1), F.length("_text"), F.lit(PIECE_CHARS))
+    # A piece reaches into the next one by as many characters as a gram may need.
+    cut = F.transform(starts, lambda at: F.substring(F.col("_text"), at, F.lit(PIECE_CHARS + NAME_GRAM - 1)))
+    pieces = text.select("doc_id", "users_idx", F.explode(cut).alias("_piece"))
+    spots = F.sequence(F.lit(1), F.greatest(F.length("_piece") - 1, F.lit(1)))
+    grams = F.flatten(
+        F.transform(spots, lambda i: F.transform(
+            F.sequence(F.lit(2), F.lit(NAME_GRAM)), lambda n: F.substring(F.col("_piece"), i, n)))
+    )
+    seen = pieces.select("doc_id", "users_idx", F.explode(F.array_distinct(grams)).alias("_gram"))
     names = named.select("users_idx", "_name", "_gram").distinct()
-    hits = seen.join(names, ["users_idx", "_gram"]).where(F.expr("contains(_text, _name)"))
-    hits = hits.select("doc_id", "users_idx", "_name").distinct()
+    met = seen.join(names, ["users_idx", "_gram"]).select("doc_id", "users_idx", "_name").distinct()
+    whole = F.length("_name") <= NAME_GRAM
+    long = met.where(~whole).join(text, ["doc_id", "users_idx"]).where(F.expr("contains(_text, _name)"))
+    hits = met.where(whole).unionByName(long.select("doc_id", "users_idx", "_name").distinct())
     matched = hits.join(named.drop("_gram"), ["users_idx", "_name"]).select("doc_id", "descendant")
     above = matched.join(pairs, "descendant")
     also = matched.select("doc_id", F.col("descendant").alias("ancestor"))
@@ -214,7 +224,22 @@ def best_matching_folder(docs: DataFrame, folders: DataFrame, pairs: DataFrame)
     best = scored.groupBy("doc_id").agg(
         F.min_by(F.struct(F.col("descendant").alias("folder_idx"), "score"), F.struct(-F.col("score"), "descendant")).alias("b")
     )
-    return best.select("doc_id", "b.*")
+    best = best.select("doc_id", "b.*")
+    # The path of the winner has one row per ancestor; its depth bounds the list.
+    mentioned = also.withColumn("_mentioned", F.lit(True))
+    on_path = best.join(pairs.withColumnRenamed("descendant", "folder_idx"), "folder_idx").join(
+        folders.select(F.col("folder_idx").alias("ancestor"), "name"), "ancestor"
+    )
+    on_path = on_path.join(mentioned, ["doc_id", "ancestor"], "left")
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "name", F.coalesce("_mentioned", F.lit(False)).alias("m"))))
+    told = on_path.groupBy("doc_id", "folder_idx", "score").agg(steps.alias("_steps"))
+    return told.select(
+        "doc_id",
+        "folder_idx",
+        "score",
+        F.transform(F.filter("_steps", lambda s: s["m"]), lambda s: s["name"]).alias("matched_names"),
+        F.transform("_steps", lambda s: s["name"]).alias("path"),
+    )
 
 
 PROPOSAL = ("proposal_id",)

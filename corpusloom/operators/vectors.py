@@ -205,13 +205,49 @@ def cosine_topk(requests: DataFrame, points: DataFrame) -> DataFrame:
 
     ``requests``: request_id, user_idx, file_idxs, query_vector, top_k (1..20),
     score_threshold (nullable, inclusive). ``points``: chunk_id, users_idx, file_idx,
-    is_active, embedding. Ties are ordered by chunk_id.
+    is_active, embedding. Ties are ordered by chunk_id. Requests and points that break
+    their contract take no part; `search_request_rejects` and `point_rejects` name them.
     """
+    requests = requests.where(F.col("top_k").between(1, MAX_TOP_K))
     return _rank(_scoped_hits(requests, points), requests, ["request_id"], MAX_TOP_K)
 
 
+def search_request_rejects(requests: DataFrame) -> DataFrame:
+    """Requests that a search refuses, as (request_id, rule, detail) rows."""
+    from corpusloom.operators.chunks import reject_rows
+
+    k, vector = F.col("top_k"), F.col("query_vector")
+    finite = is_finite_vector(vector, F.size(vector))
+    return reject_rows(
+        requests,
+        ["request_id"],
+        [
+            ("top_k_out_of_range", ~F.coalesce(k.between(1, MAX_TOP_K), F.lit(False)), F.coalesce(k, F.lit(0))),
+            ("query_not_finite", ~finite, F.coalesce(F.size(vector), F.lit(0))),
+            ("query_is_zero", finite & ~F.exists(vector, lambda x: x != 0), F.size(vector)),
+        ],
+    )
+
+
+def point_rejects(points: DataFrame) -> DataFrame:
+    """Active points that no search can find, as (chunk_id, rule, detail) rows."""
+    from corpusloom.operators.chunks import reject_rows
+
+    vector = F.col("embedding")
+    finite = is_finite_vector(vector, F.size(vector))
+    return reject_rows(
+        points.where("is_active"),
+        ["chunk_id"],
+        [
+            ("vector_not_finite", ~finite, F.coalesce(F.size(vector), F.lit(0))),
+            ("vector_is_zero", finite & ~F.exists(vector, lambda x: x != 0), F.size(vector)),
+        ],
+    )
+
+
 def per_document_topk(requests: DataFrame, points: DataFrame, per_document: int = 3) -> DataFrame:
     """Independent top min(k, 3) for each file of each request."""
+    requests = requests.where(F.col("top_k").between(1, MAX_TOP_K))
     narrow = requests.withColumn("top_k", F.least("top_k", F.lit(per_document)))
     return _rank(_scoped_hits(narrow, points), narrow, ["request_id", "file_idx"], per_document)
 

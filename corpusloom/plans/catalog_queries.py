@@ -533,18 +533,27 @@ def _(t):
     "best_matching_folder",
     "T8",
     _CLOSURE
-    + """, d AS (SELECT s_suppkey AS doc_id, lower(s_name || ' in nation_' || s_nationkey || ' or ' || r_name) AS text FROM {supplier} JOIN {region} ON s_suppkey % 5 = r_regionkey),
-      s AS (SELECT d.doc_id, cl.descendant, sum(CASE WHEN depth = 0 THEN 2 ELSE 1 END) AS score FROM d JOIN {folders} a ON a.users_idx = 0 AND contains(d.text, lower(a.name)) JOIN cl ON cl.ancestor = a.folder_idx
-        JOIN {folders} f ON f.folder_idx = cl.descendant AND f.users_idx = 0 GROUP BY 1, 2)
-      SELECT doc_id, descendant AS folder_idx, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, descendant) AS n FROM s) WHERE n = 1""",
+    + """, d AS (SELECT s_suppkey AS doc_id, s_suppkey % 3 AS users_idx, lower(s_name || ' in nation_' || s_nationkey || ' or ' || r_name) AS text FROM {supplier} JOIN {region} ON s_suppkey % 5 = r_regionkey
+        UNION ALL SELECT 1000000 + doc_id, doc_id % 3, lower(text || ' supplier in europe, or nation_' || doc_id % 25) FROM {documents}),
+      s AS (SELECT d.doc_id, cl.descendant, sum(CASE WHEN depth = 0 THEN 2 ELSE 1 END) AS score FROM d JOIN {folders} a ON a.users_idx = d.users_idx AND length(a.name) >= 2 AND contains(d.text, lower(a.name)) JOIN cl ON cl.ancestor = a.folder_idx
+        JOIN {folders} f ON f.folder_idx = cl.descendant AND f.users_idx = d.users_idx GROUP BY 1, 2),
+      b AS (SELECT doc_id, descendant AS folder_idx, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, descendant) AS n FROM s) WHERE n = 1)
+      SELECT b.doc_id, b.folder_idx, b.score, array_to_string(array_agg(a.name ORDER BY cl.depth DESC) FILTER (WHERE length(a.name) >= 2 AND contains(d.text, lower(a.name))), '/') AS matched_names,
+        array_to_string(array_agg(a.name ORDER BY cl.depth DESC), '/') AS path
+      FROM b JOIN d ON b.doc_id = d.doc_id JOIN cl ON cl.descendant = b.folder_idx JOIN {folders} a ON a.folder_idx = cl.ancestor GROUP BY ALL""",
 )
 def _(t):
     regions = t("region").select("r_regionkey", "r_name")
     docs = t("supplier").withColumn("r_regionkey", F.col("s_suppkey") % 5).join(regions, "r_regionkey").select(
-        F.col("s_suppkey").alias("doc_id"), F.lit(0).cast("long").alias("users_idx"),
+        F.col("s_suppkey").alias("doc_id"), (F.col("s_suppkey") % 3).alias("users_idx"),
         F.concat("s_name", F.lit(" in nation_"), "s_nationkey", F.lit(" or "), "r_name").alias("text"),
     )
-    return tr.best_matching_folder(docs, t("folders"), _pairs(t))
+    long = t("documents").select(
+        (F.col("doc_id") + 1_000_000).alias("doc_id"), (F.col("doc_id") % 3).alias("users_idx"),
+        F.concat("text", F.lit(" supplier in europe, or nation_"), F.col("doc_id") % 25).alias("text"),
+    )
+    best = tr.best_matching_folder(docs.unionByName(long), t("folders"), _pairs(t))
+    return best.withColumns({c: F.array_join(c, "/") for c in ("matched_names", "path")})
 
 
 _PROPOSAL = """WITH RECURSIVE nodes AS (SELECT proposal_id, temp_id, min(parent_temp_id) AS parent_temp_id FROM {proposed} GROUP BY 1, 2),

@@ -43,6 +43,54 @@ def _(t):
     return hits.withColumn("score", F.round("score", 6))
 
 
+def _with_defects(vector):
+    """Some vectors are not finite, and some are zero."""
+    return (
+        F.when(F.col("vec_id") % 11 == 0, F.transform(vector, lambda x: F.lit(float("nan")).cast("float")))
+        .when(F.col("vec_id") % 7 == 0, F.transform(vector, lambda x: F.lit(0).cast("float")))
+        .otherwise(F.col(vector))
+    )
+
+
+@query(
+    "search_request_rejects",
+    "V8 D4",
+    """SELECT vec_id AS request_id, 'top_k_out_of_range' AS rule, CAST(vec_id % 30 AS BIGINT) AS detail FROM {embeddings} WHERE vec_id % 30 NOT BETWEEN 1 AND 20
+      UNION ALL SELECT vec_id, 'query_not_finite', len(embedding) FROM {embeddings} WHERE vec_id % 11 = 0
+      UNION ALL SELECT vec_id, 'query_is_zero', len(embedding) FROM {embeddings} WHERE vec_id % 7 = 0 AND vec_id % 11 <> 0""",
+)
+def _(t):
+    return vx.search_request_rejects(
+        t("embeddings").select(
+            F.col("vec_id").alias("request_id"), (F.col("vec_id") % 30).alias("top_k"), _with_defects("embedding").alias("query_vector")
+        )
+    )
+
+
+@query(
+    "point_rejects",
+    "V2 V8",
+    """SELECT vec_id AS chunk_id, 'vector_not_finite' AS rule, len(embedding) AS detail FROM {embeddings} WHERE vec_id % 11 = 0 AND vec_id % 3 <> 0
+      UNION ALL SELECT vec_id, 'vector_is_zero', len(embedding) FROM {embeddings} WHERE vec_id % 7 = 0 AND vec_id % 11 <> 0 AND vec_id % 3 <> 0""",
+)
+def _(t):
+    return vx.point_rejects(
+        t("embeddings").select(
+            F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 3 != 0).alias("is_active"), _with_defects("embedding").alias("embedding")
+        )
+    )
+
+
+@query(
+    "blank_content_rejects",
+    "Q5 Q6",
+    "SELECT request_id, chunk_id, 'blank_content' AS rule, CAST(rank AS BIGINT) AS detail FROM {hits} WHERE rank % 4 = 0",
+)
+def _(t):
+    hits = t("hits").withColumn("content", F.when(F.col("rank") % 4 == 0, F.lit(" \t ")).otherwise(F.col("content")))
+    return rt.blank_content_rejects(hits)
+
+
 @query(
     "per_document_topk",
     "V11",
