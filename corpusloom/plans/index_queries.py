@@ -411,7 +411,18 @@ def _(t):
     points = t("points").select("chunk_id", "users_idx", "file_idx", "is_active", "embedding")
     sinks.write_index(points.where("file_idx < 8"), path, buckets=4)
     sinks.write_index(points.where("file_idx < 5").withColumn("is_active", F.lit(False)).unionByName(points.where("file_idx >= 8")), path, buckets=4)
-    return sinks.read_index(t.spark, path).select("chunk_id", "users_idx", "file_idx", "is_active")
+    return sinks.read_index(t.spark, path, buckets=4).select("chunk_id", "users_idx", "file_idx", "is_active")
+
+
+@query(
+    "read_index_of_owners",
+    "S6 V8",
+    "SELECT chunk_id, users_idx, file_idx FROM {points} WHERE users_idx IN (1, 3)",
+)
+def _(t):
+    path = scratch(t, "index")
+    sinks.write_index(t("points").select("chunk_id", "users_idx", "file_idx"), path)
+    return sinks.read_index(t.spark, path, owners=[1, 3]).select("chunk_id", "users_idx", "file_idx")
 
 
 @query(

@@ -1,61 +1,67 @@
-"""Sinks: versioned index tables and report files."""
+"""Sinks: index tables laid out by owner, and report files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 OWNER_BUCKETS = 64
 
 
-def _manifest(path: str) -> str:
-    return f"{path.rstrip('/')}/versions"
-
-
-def _data(path: str, version: int) -> str:
-    return f"{path.rstrip('/')}/data/v{version}"
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there; any other failure to look raises."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def current_version(spark: SparkSession, path: str) -> int:
-    """Latest committed version; 0 before the first one. The manifest has a row per commit."""
-    from pyspark.errors import AnalysisException
+def owner_bucket(owner: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(owner.cast("long")), F.lit(buckets)).cast("int")
 
-    try:
-        return spark.read.parquet(_manifest(path)).agg(F.max("version")).first()[0] or 0
-    except AnalysisException:
-        return 0
 
+def read_index(spark: SparkSession, path: str, owners: Sequence[int] | None = None, buckets: int = OWNER_BUCKETS) -> DataFrame:
+    """The index, or the points of ``owners`` only: then no other bucket is read."""
+    index = spark.read.parquet(path)
+    if owners is not None:
+        numbers = F.array_distinct(F.array(*[owner_bucket(F.lit(int(o)), buckets) for o in owners]))
+        wanted = spark.range(1).select(numbers.alias("b")).first()["b"] if owners else []
+        index = index.where(F.col("owner_bucket").isin(wanted) & F.col("users_idx").isin(list(owners)))
+    return index.drop("owner_bucket")
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(_data(path, current_version(spark, path))).drop("owner_bucket")
 
+def write_index(points: DataFrame, path: str, buckets: int = OWNER_BUCKETS) -> None:
+    """Upsert points by chunk_id. Only the owner buckets that the points concern are rewritten.
 
-def write_index(points: DataFrame, path: str, buckets: int = OWNER_BUCKETS) -> int:
-    """Upsert points by chunk_id as one new table version, and return its number.
-
-    Every version is a full table in its own folder, laid out by owner bucket so that a
-    search prunes to its owners. The version becomes visible when its row is added to the
-    manifest, after all data is written: a lost job leaves no half-applied version. The
-    rebalance hint splits the bucket of a very large owner and merges small ones.
+    These are the buckets of the points' owners, and those where points of the same id lie so
+    far. A bucket is replaced by a rename after all data is written. The rebalance hint splits the
+    bucket of a very large owner and merges small ones.
     """
     spark = points.sparkSession
-    version = current_version(spark, path)
-    merged = points
-    if version:
-        kept = read_index(spark, path).join(points.select("chunk_id"), "chunk_id", "left_anti")
-        merged = kept.unionByName(points)
-    placed = merged.withColumn("owner_bucket", F.pmod(F.xxhash64("users_idx"), F.lit(buckets)).cast("int"))
-    placed.hint("rebalance", "owner_bucket").write.mode("overwrite").partitionBy("owner_bucket").parquet(_data(path, version + 1))
-    spark.range(1).select(F.lit(version + 1).alias("version")).write.mode("append").parquet(_manifest(path))
-    return version + 1
+    placed = points.withColumn("owner_bucket", owner_bucket(F.col("users_idx"), buckets))
+    if path_exists(spark, path):
+        index = spark.read.parquet(path)
+        ids = points.select("chunk_id")
+        earlier = index.select("chunk_id", "owner_bucket").join(ids, "chunk_id", "left_semi").select("owner_bucket")
+        # At most one number for each bucket.
+        touched = [r[0] for r in placed.select("owner_bucket").union(earlier).distinct().collect()]
+        kept = index.where(F.col("owner_bucket").isin(touched)).join(ids, "chunk_id", "left_anti")
+        placed = kept.unionByName(placed)
+    out = placed.hint("rebalance", "owner_bucket").write.mode("overwrite").partitionBy("owner_bucket")
+    out.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_reports(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Each result table as CSV, and one JSON summary with their row counts, which is returned."""
-    counts = None
+    """Each result table as CSV, and one JSON summary with their row counts, which is returned.
+
+    The rows are counted while they are written, so each table is evaluated once.
+    """
+    counts = []
     for name, df in tables.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
-        row = df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-        counts = row if counts is None else counts.unionByName(row)
-    counts.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
-    return df.sparkSession.read.schema("table_name string, row_count bigint").json(f"{path}/summary")
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        counts.append((name, seen.get["n"]))
+    spark = df.sparkSession
+    schema = "table_name string, row_count bigint"
+    spark.createDataFrame(counts, schema).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    return spark.read.schema(schema).json(f"{path}/summary")

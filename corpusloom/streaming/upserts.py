@@ -10,20 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators.index import metadata_version_upsert, stale_version_guard
+from corpusloom.sources.sinks import path_exists
 
 
 def _log(spark: SparkSession, path: str, schema) -> DataFrame:
     """All batch folders, with their batch id; empty before the first."""
-    try:
-        return spark.read.option("basePath", path).parquet(f"{path}/batch=*").withColumn("batch", F.col("batch").cast("long"))
-    except AnalysisException:
+    if not path_exists(spark, path):
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").withColumn("batch", F.col("batch").cast("long"))
 
 
 def chunk_state(base: DataFrame, path: str) -> DataFrame:
