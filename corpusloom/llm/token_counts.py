@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import once_per_worker, vocabulary
+from corpusloom.llm.common import keep, once_per_worker, vocabulary
 from corpusloom.operators.ordered import running_sums
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -87,6 +87,7 @@ def length_curve(histogram: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
         (F.col("docs") * F.col("n_tokens")).alias("tokens"),
         F.floor(F.col("n_tokens") / BLOCK_LENGTHS).alias("_at"),
     )
+    rows = keep(rows)  # small, and read several times
     summed = running_sums(
         rows, ["_k"], "n_tokens", {"_d": F.col("docs"), "_t": F.col("tokens")}, block=F.col("_at")
     )
