@@ -1,4 +1,4 @@
-"""Vector expressions. Sums run in double so that scores do not depend on the plan."""
+"""Vector expressions."""
 
 from __future__ import annotations
 
@@ -6,24 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-        F.lit(0.0),
-        lambda acc, x: acc + x,
-    )
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
-def unit(a: Column) -> Column:
-    """The vector scaled to length one, in double; null for a zero vector."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
-
-
 def is_finite_vector(a: Column, dim: int | Column) -> Column:
     size = F.lit(dim) if isinstance(dim, int) else dim
     return F.coalesce(

@@ -401,6 +401,32 @@ def _(t):
     return both.groupBy("kind", "lang").agg(F.count("*").alias("files"))
 
 
+@query(
+    "read_corpus",
+    "S1",
+    "SELECT source AS owner, lang AS language, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars FROM {documents} GROUP BY 1, 2",
+)
+def _(t):
+    corpus = readers.read_corpus(t.spark, f"{t.sf_dir}/documents.parquet")
+    return corpus.groupBy("owner", "language").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(
+    "read_text_files",
+    "S2",
+    "SELECT lang, CAST(sum(length(text) + 1) AS BIGINT) AS chars, 0 AS rejected FROM {documents} GROUP BY lang",
+)
+def _(t):
+    path = scratch(t, "texts")
+    t("documents").select("lang", "text").write.partitionBy("lang").text(path)
+    good, bad = readers.read_text_files(t.spark, f"{path}/*/*.txt")
+    both = good.select("path", F.length("text").alias("n"), F.lit(0).alias("bad")).unionByName(
+        bad.select("path", F.lit(0).alias("n"), F.lit(1).alias("bad"))
+    )
+    lang = F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang")
+    return both.groupBy(lang).agg(F.sum("n").alias("chars"), F.sum("bad").cast("int").alias("rejected"))
+
+
 @query(
     "write_index",
     "S6",
