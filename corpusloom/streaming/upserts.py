@@ -75,6 +75,13 @@ def append_batch(path: str) -> Callable[[DataFrame, int], None]:
     return run
 
 
+def latest_rows(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
+    """Of the rows that batches have added for each key, those of the last batch."""
+    rest = [f.name for f in schema.fields if f.name not in keys]
+    log = _log(spark, path, schema)
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+
+
 def unique_upload_batch(path: str, schema, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that keeps the first row of each key for ever.
 
