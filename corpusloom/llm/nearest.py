@@ -59,8 +59,13 @@ def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (usual["n"] if usual else 0))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column, which have one length, as rows."""
+    if not len(column):
+        return np.empty((0, 0))
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def fit_rotation(sample: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
