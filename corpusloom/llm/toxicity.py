@@ -95,9 +95,9 @@ class _Features:
         return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
-def _sample(rows: DataFrame, bound: int) -> DataFrame:
-    """At most ``bound`` rows, those of least hash of their text, so that no order takes part."""
-    return rows.withColumn("_h", F.xxhash64("text")).orderBy("_h", "text").limit(bound).drop("_h")
+def _sample(ids: DataFrame, bound: int) -> DataFrame:
+    """At most ``bound`` ids, those of least hash, so that no order takes part."""
+    return ids.distinct().withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(bound).select("_id")
 
 
 def _document_counts(sample: DataFrame) -> dict[int, np.ndarray]:
@@ -178,18 +178,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
 
     Labels other than 1 tell nothing but the class prior: the share of 1 among all labelled
     documents. Repeated labels of an id count as toxic if one of them is 1. Null ids, labels
-    and texts are left out. Without a positive or without unlabelled text the model is empty
+    and texts are left out of the training. Without a positive or without unlabelled text the model is empty
     and scores 0.
     """
     marks = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull())
     marks = marks.groupBy(F.col(id_column).alias("_id")).agg(F.max((F.col(label) == 1).cast("int")).alias("positive"))
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text).cast("string").alias("text"))
     known = marks.agg(F.avg("positive").alias("share")).first()["share"]
     prior = min(max(DEFAULT_PRIOR if known is None else known, 1e-4), 0.5)
-    positive = _sample(rows.join(marks.where("positive = 1"), "_id", "left_semi").select("text"), POSITIVES)
-    unlabelled = _sample(rows.select("text"), UNLABELLED)
-    sample = positive.withColumn("positive", F.lit(1)).unionByName(unlabelled.withColumn("positive", F.lit(0)))
-    sample = sample.select("positive", "text").repartition(F.xxhash64("text")).persist()
+    # Ids are chosen first, so that only the texts of the sample move.
+    ids = rows.select("_id").where("_id IS NOT NULL")
+    positive = _sample(ids.join(marks.where("positive = 1"), "_id", "left_semi"), POSITIVES).withColumn("positive", F.lit(1))
+    chosen = positive.unionByName(_sample(ids, UNLABELLED).withColumn("positive", F.lit(0)))
+    # At most POSITIVES + UNLABELLED ids are broadcast. An id's repeated rows count once.
+    sample = rows.join(F.broadcast(chosen), "_id").where("text IS NOT NULL").dropDuplicates(["_id", "positive"])
+    sample = sample.select("positive", "text").persist()
     try:
         n = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
         if not n.get(0) or not n.get(1):
