@@ -88,7 +88,10 @@ def test_validate_and_dedup(spark):
         "doc_id int, chunk_index int, content string, start_offset int, end_offset int, chunk_id string",
     )
     rules = {(r[0], r[1]) for r in ch.validate_chunks(docs, chunks, "doc_id").collect()}
-    assert rules == {(1, "index_not_contiguous"), (1, "duplicate_chunk_id"), (1, "span_length_mismatch"), (3, "no_chunks")}
+    # An id that two documents bear is told of both, and is no duplicate inside either.
+    assert rules == {
+        (1, "index_not_contiguous"), (1, "shared_chunk_id"), (1, "span_length_mismatch"), (2, "shared_chunk_id"), (3, "no_chunks"),
+    }
     items = chunks.select(F.lit(1).alias("s"), "doc_id", "chunk_index", F.lit("same").alias("content")).withColumn("o", F.struct("doc_id", "chunk_index"))
     located, counts = ch.dedup_by_content_hash(items, ["s"], "o", lambda u: u.withColumn("result", F.length("content")))
     assert located.count() == 3
