@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 OWNER_BUCKETS = 64
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder is there; any other failure to look raises."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+def has_partitions(spark: SparkSession, path: str, column: str) -> bool:
+    """Whether a folder holds partitions of ``column``; a failure to look raises."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{column}=*")
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place))
 
 
 def owner_bucket(owner: Column, buckets: int) -> Column:
@@ -39,7 +39,7 @@ def write_index(points: DataFrame, path: str, buckets: int = OWNER_BUCKETS) -> N
     """
     spark = points.sparkSession
     placed = points.withColumn("owner_bucket", owner_bucket(F.col("users_idx"), buckets))
-    if path_exists(spark, path):
+    if has_partitions(spark, path, "owner_bucket"):
         index = spark.read.parquet(path)
         ids = points.select("chunk_id")
         earlier = index.select("chunk_id", "owner_bucket").join(ids, "chunk_id", "left_semi").select("owner_bucket")

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators.index import metadata_version_upsert, stale_version_guard
-from corpusloom.sources.sinks import path_exists
+from corpusloom.sources.sinks import has_partitions
 
 
 def _log(spark: SparkSession, path: str, schema) -> DataFrame:
     """All batch folders, with their batch id; empty before the first."""
-    if not path_exists(spark, path):
+    if not has_partitions(spark, path, "batch"):
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*").withColumn("batch", F.col("batch").cast("long"))
 
