@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusloom.session import ensure_checkpoint_dir
 
 #: Entries that a worker's memory of words holds before it is emptied and filled anew.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 400_000
 #: Longer keys are worked out each time, so that a memory stays small.
 MEMORY_KEY_CHARS = 64
 
@@ -59,6 +59,11 @@ class Memory:
         return new
 
 
+#: Things that a worker keeps between tasks. The one used longest ago goes for a new one, so the
+#: memories of operators that run one after the other do not add up.
+KEPT_PER_WORKER = 2
+
+
 def once_per_worker(key: str, make: Callable[[], object]) -> object:
     """What ``make`` returns, made once in a Python worker and found again by its later tasks.
 
@@ -66,6 +71,11 @@ def once_per_worker(key: str, make: Callable[[], object]) -> object:
     registered with the interpreter outlives them.
     """
     state = sys.modules.setdefault("_corpusloom_worker", types.ModuleType("_corpusloom_worker")).__dict__
-    if key not in state:
-        state[key] = make()
-    return state[key]
+    kept = state.setdefault("kept", {})
+    if key in kept:
+        kept[key] = kept.pop(key)  # now the latest
+        return kept[key]
+    while len(kept) >= KEPT_PER_WORKER:
+        del kept[next(iter(kept))]
+    kept[key] = made = make()
+    return made
