@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import MEMORY_KEY_CHARS, Memory, once_per_worker, vocabulary
+from corpusloom.llm.common import MANY_WORDS, MEMORY_KEY_CHARS, Memory, once_per_worker, vocabulary
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Leaves of the trees that are merged together; a longer pre-token has a tree of its own.
@@ -64,7 +64,7 @@ class Codec:
         pattern = public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}")
         pattern = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.find = regex.compile(pattern).findall
-        self.memory = Memory()
+        self.memory = Memory(MANY_WORDS)
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, or -1."""

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from corpusloom.session import ensure_checkpoint_dir
 
 #: Entries that a worker's memory of words holds before it is emptied and filled anew.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
+#: Where a word is dear to work out.
+MANY_WORDS = 500_000
 #: Longer keys are worked out each time, so that a memory stays small.
 MEMORY_KEY_CHARS = 64
 

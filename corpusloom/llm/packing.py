@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm.common import MEMORY_KEY_CHARS, Memory, keep, once_per_worker, vocabulary
+from corpusloom.llm.common import MANY_WORDS, MEMORY_KEY_CHARS, Memory, keep, once_per_worker, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -45,7 +45,7 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.joined = Tokenizer.from_file(path)
         self.separator = self.joined.token_to_id(SEPARATOR)
-        self.memory = Memory()
+        self.memory = Memory(MANY_WORDS)
 
     def _bytes_of(self, words: Sequence[str]) -> Iterator[bytes]:
         """Ids of each word. Words go to the tokenizer many at a time, with its end token between."""
