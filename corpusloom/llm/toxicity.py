@@ -7,10 +7,10 @@ positives. Where that estimate turns negative, the classifier has begun to fit n
 step goes the other way.
 
 Features are the words of a text, present or not. Which of them tell positives from unlabelled
-text is decided from document counts, again corrected by the prior; a document is then a
-short list of feature numbers, and scoring looks each of its distinct words up once. The
-classifiers are small numpy models trained on the driver from a bounded sample. They start at
-the log odds of each feature and descend from there.
+text is decided from document counts over the whole corpus, again corrected by the prior; a
+document is then a short list of feature numbers, and scoring looks each of its distinct words up
+once. The classifiers are small numpy models trained on the driver from a bounded sample. They
+start at the log odds that the corpus gives each feature and descend from there.
 """
 
 from __future__ import annotations
@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import LETTER_RUN, MEMORY_KEY_CHARS, Memory, once_per_worker
 
-#: Bounds of the training sample, documents. Scores, statistics and class counts have none.
+#: Bounds of the sample that weights are trained on, documents. Scores, document counts, the choice
+#: of features, their log odds and the prior have none.
 POSITIVES = 8_000
 UNLABELLED = 16_000
+#: Up to so many confirmed ids are sent to all executors, so that no text is shuffled.
+BROADCAST_IDS = 1_000_000
 #: Features hash into this many buckets.
 BUCKETS = 1 << 20
 #: Buckets that the classifiers see at most; documents of one kind that must hold one; and how
@@ -100,47 +103,70 @@ def _sample(ids: DataFrame, bound: int) -> DataFrame:
     return ids.distinct().withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(bound).select("_id")
 
 
-def _document_counts(sample: DataFrame) -> dict[int, np.ndarray]:
-    """For positives (1) and unlabelled rows (0): documents that hold each bucket."""
+class _Counts(NamedTuple):
+    """Over all positive and all rows: how many there are, and how many hold each bucket."""
+
+    positives: int
+    rows: int
+    of_positives: np.ndarray
+    of_rows: np.ndarray
+
+
+def _document_counts(rows: DataFrame) -> _Counts:
+    """Counts over rows of (positive, text), in one pass; a task tells at most two numbers a bucket.
+
+    Buckets in fewer than ``LEAST_DOCUMENTS`` rows are left at zero.
+    """
+    name = f"toxicity counts {uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Features(None)
-        counts: dict[int, np.ndarray] = {}
+        own = once_per_worker(name, lambda: _Features(None))
+        counts, totals = np.zeros((2, BUCKETS), np.int32), [0, 0]
         for batch in batches:
             for positive, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if positive not in counts:
-                    counts[positive] = np.zeros(BUCKETS, np.int64)
                 counts[positive][own.of_text(text)] += 1
-        for positive, n in counts.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), positive, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])],
-                names=["positive", "bucket", "n"],
-            )
-
-    counted = sample.mapInArrow(run, "positive int, bucket int, n bigint")
-    sums = counted.groupBy("positive", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
-    out = {0: np.zeros(BUCKETS), 1: np.zeros(BUCKETS)}
-    found = sums.toArrow().to_pydict()  # two numbers for each bucket at most
-    for positive in (0, 1):
-        at = np.array(found["positive"]) == positive
-        out[positive][np.array(found["bucket"], np.int64)[at]] = np.array(found["n"])[at]
-    return out
-
-
-def _choose(counts: dict[int, np.ndarray], positives: int, unlabelled: int, prior: float) -> np.ndarray:
+                totals[positive] += 1
+        of_rows = counts.sum(0)
+        at = np.flatnonzero(of_rows)
+        # The row counts go as a bucket of no word.
+        told = [np.append(at, -1), np.append(counts[1][at], totals[1]), np.append(of_rows[at], sum(totals))]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(told, (np.int32, np.int64, np.int64))], names=["bucket", "p", "u"])
+
+    counted = rows.mapInArrow(run, "bucket int, p bigint, u bigint").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    # A row for each bucket at most.
+    found = counted.where((F.col("bucket") < 0) | (F.col("u") >= LEAST_DOCUMENTS)).toArrow()
+    bucket, p, u = (found.column(c).to_numpy() for c in ("bucket", "p", "u"))
+    words, total = bucket >= 0, bucket < 0
+    of_positives, of_rows = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    of_positives[bucket[words]], of_rows[bucket[words]] = p[words], u[words]
+    return _Counts(int(p[total].sum()), int(u[total].sum()), of_positives, of_rows)
+
+
+def _choose(counts: _Counts, prior: float) -> np.ndarray:
     """Buckets that stand out most between positives and unlabelled text, sorted."""
-    p, u = counts[1] / positives, counts[0] / unlabelled
-    pooled = (counts[1] + counts[0]) / (positives + unlabelled)
-    spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / positives + 1 / unlabelled))
-    z = np.where(np.maximum(counts[1], counts[0]) >= LEAST_DOCUMENTS, np.abs(p - u) / spread, 0.0)
+    p, u = counts.of_positives / counts.positives, counts.of_rows / counts.rows
+    pooled = (counts.of_positives + counts.of_rows) / (counts.positives + counts.rows)
+    spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / counts.positives + 1 / counts.rows))
+    z = np.where(counts.of_rows >= LEAST_DOCUMENTS, np.abs(p - u) / spread, 0.0)
     z[prior * p < LEAST_PURITY * u] = 0.0
     top = np.argsort(-z, kind="stable")[:FEATURES]
     return np.sort(top[z[top] >= LEAST_Z])
 
 
-def train(rows: Sequence[np.ndarray], positive: np.ndarray, features: int, prior: float, seed: int) -> tuple[np.ndarray, float]:
-    """One classifier by the non-negative risk, from each document's feature numbers."""
+def _log_odds(counts: _Counts, buckets: np.ndarray, prior: float) -> np.ndarray:
+    """Of each bucket, between positives and, corrected by the prior, the rest."""
+    p, u = counts.of_positives[buckets] / counts.positives, counts.of_rows[buckets] / counts.rows
+    rest = np.maximum(u - prior * p, 0) / (1 - prior)
+    return np.log((p + 1 / counts.positives) / (rest + 1 / counts.positives))
+
+
+def train(rows: Sequence[np.ndarray], positive: np.ndarray, log_odds: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
+    """One classifier by the non-negative risk, from each document's feature numbers.
+
+    Features start at a part of their log odds. One that no row holds gets the part that the others
+    end at.
+    """
+    features = len(log_odds)
     rng = np.random.default_rng(seed)
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     doc = np.repeat(np.arange(len(rows)), sizes)
@@ -152,10 +178,7 @@ def train(rows: Sequence[np.ndarray], positive: np.ndarray, features: int, prior
     drawn[u] /= drawn[u].sum()
     share = np.zeros(len(rows))
     share[p] = 1.0 / len(p)
-    # The start: each feature's log odds between positives and, corrected by the prior, the rest.
-    p_of = np.bincount(number, share[doc], features)
-    n_of = np.maximum(np.bincount(number, drawn[doc], features) - prior * p_of, 0) / (1 - prior)
-    weights = START * np.log((p_of + 1 / len(p)) / (n_of + 1 / len(p)))
+    weights = START * log_odds
     bias = float(np.log(prior / (1 - prior)))
     mean, power = np.zeros(features + 1), np.zeros(features + 1)
     for step in range(1, STEPS + 1):
@@ -170,6 +193,10 @@ def train(rows: Sequence[np.ndarray], positive: np.ndarray, features: int, prior
         power = 0.999 * power + 0.001 * grad * grad
         move = RATE * (mean / (1 - 0.9**step)) / (np.sqrt(power / (1 - 0.999**step)) + 1e-8)
         weights, bias = weights - move[:-1], bias - move[-1]
+    held = np.bincount(number, minlength=features) > 0
+    if held.any():
+        part = (weights[held] @ log_odds[held]) / max(log_odds[held] @ log_odds[held], 1e-12)
+        weights = np.where(held, weights, part * log_odds)
     return weights, bias
 
 
@@ -178,41 +205,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
 
     Labels other than 1 tell nothing but the class prior: the share of 1 among all labelled
     documents. Repeated labels of an id count as toxic if one of them is 1. Null ids, labels
-    and texts are left out of the training. Without a positive or without unlabelled text the model is empty
-    and scores 0.
+    and texts are left out of the training. Without a positive the model is empty and scores 0. Document
+    counts take every row; the texts are read for them in one pass that shuffles only counts,
+    unless there are more than ``BROADCAST_IDS`` positive ids.
     """
     marks = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull())
     marks = marks.groupBy(F.col(id_column).alias("_id")).agg(F.max((F.col(label) == 1).cast("int")).alias("positive"))
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text).cast("string").alias("text"))
-    known = marks.agg(F.avg("positive").alias("share")).first()["share"]
+    known, confirmed = marks.agg(F.avg("positive"), F.sum("positive")).first()
     prior = min(max(DEFAULT_PRIOR if known is None else known, 1e-4), 0.5)
+    texts = rows.where("_id IS NOT NULL AND text IS NOT NULL")
+    toxic = marks.where("positive = 1").select("_id", F.lit(1).alias("positive"))
+    joined = texts.join(F.broadcast(toxic) if (confirmed or 0) <= BROADCAST_IDS else toxic, "_id", "left")
+    counts = _document_counts(joined.select(F.coalesce("positive", F.lit(0)).alias("positive"), "text"))
+    if not counts.positives:
+        return Model(np.empty(0, np.int64), np.zeros((1, 0)), np.full(1, -50.0))
+    buckets = _choose(counts, prior)
+    log_odds = _log_odds(counts, buckets, prior)
     # Ids are chosen first, so that only the texts of the sample move.
-    ids = rows.select("_id").where("_id IS NOT NULL")
-    positive = _sample(ids.join(marks.where("positive = 1"), "_id", "left_semi"), POSITIVES).withColumn("positive", F.lit(1))
+    ids = texts.select("_id")
+    positive = _sample(ids.join(toxic, "_id", "left_semi"), POSITIVES).withColumn("positive", F.lit(1))
     chosen = positive.unionByName(_sample(ids, UNLABELLED).withColumn("positive", F.lit(0)))
     # At most POSITIVES + UNLABELLED ids are broadcast. An id's repeated rows count once.
-    sample = rows.join(F.broadcast(chosen), "_id").where("text IS NOT NULL").dropDuplicates(["_id", "positive"])
-    sample = sample.select("positive", "text").persist()
-    try:
-        n = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
-        if not n.get(0) or not n.get(1):
-            return Model(np.empty(0, np.int64), np.zeros((1, 0)), np.full(1, -50.0))
-        buckets = _choose(_document_counts(sample), n[1], n[0], prior)
-
-        def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = _Features(buckets)
-            for batch in batches:
-                found = [own.of_text(t).tolist() for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["positive", "features"])
-
-        # Short lists of numbers for the bounded sample.
-        got = sample.mapInArrow(features, "positive int, features array<int>").toArrow().to_pydict()
-    finally:
-        sample.unpersist()
+    sample = texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id", "positive"]).select("positive", "text")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Features(buckets)
+        for batch in batches:
+            found = [own.of_text(t).tolist() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["positive", "features"])
+
+    # Short lists of numbers for the bounded sample.
+    got = sample.mapInArrow(features, "positive int, features array<int>").toArrow().to_pydict()
     order = sorted(range(len(got["positive"])), key=lambda i: (got["positive"][i], got["features"][i]))
     lists = [np.array(got["features"][i], np.int32) for i in order]
     positives = np.array([got["positive"][i] == 1 for i in order])
-    trained = [train(lists, positives, len(buckets), prior, seed) for seed in range(CLASSIFIERS)]
+    trained = [train(lists, positives, log_odds, prior, seed) for seed in range(CLASSIFIERS)]
     return Model(buckets, np.array([w for w, _ in trained]), np.array([b for _, b in trained]))
 
 

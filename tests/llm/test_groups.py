@@ -284,6 +284,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
 
 
+def test_toxicity_counts_words_beyond_its_training_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "POSITIVES", 40)
+    monkeypatch.setattr(toxicity, "UNLABELLED", 80)
+    rng = random.Random(4)
+    # Each of 60 words is in 15 positives, of which the sample has one at most or so.
+    vile = [f"vile{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice("abcdefghij") * 3 for _ in range(20))) for i in range(3000)]
+    rows = [(i, f"{t} {' '.join(vile[(i // 10 + k) % 60] for k in range(3))}" if i % 10 == 0 else t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3000)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert {toxicity.word_bucket(w) for w in vile} <= set(model.buckets.tolist())
+    held = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert all(held[i] == (i % 10 == 0) for i in held)
+
+
 def test_archives_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
     same = "<p>copy</p>" * 20
