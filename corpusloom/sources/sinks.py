@@ -16,6 +16,14 @@ def has_partitions(spark: SparkSession, path: str, column: str) -> bool:
     return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place))
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all in it; a folder that stays raises."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.delete(place, True) and files.exists(place):
+        raise OSError(f"{path} could not be deleted")
+
+
 def owner_bucket(owner: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(owner.cast("long")), F.lit(buckets)).cast("int")
 
@@ -34,10 +42,12 @@ def write_index(points: DataFrame, path: str, buckets: int = OWNER_BUCKETS) -> N
     """Upsert points by chunk_id. Only the owner buckets that the points concern are rewritten.
 
     These are the buckets of the points' owners, and those where points of the same id lie so
-    far. A bucket is replaced by a rename after all data is written. The rebalance hint splits the
-    bucket of a very large owner and merges small ones.
+    far. A bucket is replaced by a rename after all data is written, and one that no point is left
+    in is deleted after that. The rebalance hint splits the bucket of a very large owner and merges
+    small ones.
     """
     spark = points.sparkSession
+    emptied = []
     placed = points.withColumn("owner_bucket", owner_bucket(F.col("users_idx"), buckets))
     if has_partitions(spark, path, "owner_bucket"):
         index = spark.read.parquet(path)
@@ -47,8 +57,13 @@ def write_index(points: DataFrame, path: str, buckets: int = OWNER_BUCKETS) -> N
         touched = [r[0] for r in placed.select("owner_bucket").union(earlier).distinct().collect()]
         kept = index.where(F.col("owner_bucket").isin(touched)).join(ids, "chunk_id", "left_anti")
         placed = kept.unionByName(placed)
+        # The overwrite replaces only buckets that get a row.
+        filled = {r[0] for r in placed.select("owner_bucket").distinct().collect()}
+        emptied = [b for b in touched if b not in filled]
     out = placed.hint("rebalance", "owner_bucket").write.mode("overwrite").partitionBy("owner_bucket")
     out.option("partitionOverwriteMode", "dynamic").parquet(path)
+    for bucket in emptied:
+        remove_folder(spark, f"{path.rstrip('/')}/owner_bucket={bucket}")
 
 
 def write_reports(tables: dict[str, DataFrame], path: str) -> DataFrame:

@@ -207,3 +207,16 @@ def test_index_upserts_touch_only_their_buckets(spark, tmp_path):
     assert {r.chunk_id for r in own.collect()} == {k for k, r in want.items() if r[1] == 3}
     plan = own._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "owner_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_index_buckets_that_an_upsert_empties_go(spark, tmp_path):
+    from corpusloom.sources import sinks
+
+    path, columns = str(tmp_path / "index"), "chunk_id string, users_idx bigint, n bigint"
+    place = lambda owner: spark.range(1).select(sinks.owner_bucket(F.lit(owner), 8).alias("b")).first()["b"]
+    old, other = 3, next(o for o in range(100) if place(o) != place(3))
+    sinks.write_index(spark.createDataFrame([("a", old, 1), ("b", old, 2), ("c", other, 3)], columns), path, buckets=8)
+    # The one owner of a bucket hands over all points.
+    sinks.write_index(spark.createDataFrame([("a", other, 4), ("b", other, 5)], columns), path, buckets=8)
+    assert sorted(map(tuple, sinks.read_index(spark, path).collect())) == [("a", other, 4), ("b", other, 5), ("c", other, 3)]
+    assert sinks.read_index(spark, path, owners=[old], buckets=8).count() == 0
