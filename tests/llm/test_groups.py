@@ -255,6 +255,24 @@ def test_layout_is_depth_first_and_shared(spark, monkeypatch):
             assert r.seq_start >= above[0].seq_start + above[0].n_tokens
 
 
+def test_long_conversations_take_room_by_their_branches(spark, monkeypatch):
+    monkeypatch.setattr(chat_tree, "RANGE_ROWS", 6_000)
+    whole = [(("user", "assistant")[n % 2], f"t{n}") for n in range(20_000)]
+    talks = {1: whole, 2: [*whole[:9_000], ("user", "other"), ("assistant", "way")], 3: whole[:500], 4: whole[:9_000], 5: whole[1:4]}
+    frame = spark.createDataFrame([(c, n, r, t, "x") for c, turns in talks.items() for n, (r, t) in enumerate(turns)], TURNS)
+    got = {r.conv_id: r for r in chat_tree.conversation_digests(frame).collect()}
+    assert len(got) == len(talks)
+    for c, turns in talks.items():
+        assert got[c].n_turns == len(turns)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    nodes, _ = chat_tree.trees_of(frame)
+    rows = nodes.select("tree", "seq_start", "position", "n_tokens", "attends").collect()
+    assert len(rows) == 20_000 + 2 + 3
+    for r in rows:
+        assert len(r.attends) <= 4 and sum(a.end - a.start for a in r.attends) == r.position
+        assert all(a.end <= b.start for a, b in zip(r.attends, r.attends[1:])) and all(a.end <= r.seq_start for a in r.attends)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
