@@ -122,6 +122,21 @@ def test_one_of_each_group_stays(spark):
     assert ngram_join.similarity_links(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_group_stays_where_ids_repeat_or_lack(spark):
+    base, other, third = ([f"{k}{i}" for i in range(60)] for k in "abc")
+    near = lambda t, w: " ".join([*t[:-1], w])
+    rows = [(1, near(base, "x")), (5, near(base, "y")), (5, "a text of its own that no other is like")]
+    rows += [(2, near(other, "x")), (2, near(other, "y")), (2, near(other, "y"))]
+    rows += [(None, near(third, "x")), (None, near(third, "y")), (None, near(base, "z")), (None, ""), (None, None), (7, " ")]
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], DOCS)
+    got = ngram_join.keep_one_of_each(docs)
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    assert got.columns == docs.columns
+    for several in (rows[3:6], rows[6:8]):
+        assert sum(kept[r] for r in set(several)) == 1
+    assert kept - Counter(rows[3:6] + rows[6:8]) == Counter([rows[0], rows[2], *rows[9:]])
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.95):
         bands, rows = ngram_join.bands_for(threshold)
