@@ -1,7 +1,7 @@
 """Admission rules that depend on earlier admissions: rate limit and idempotent apply.
 
 Times are integer microseconds. The batch forms run on whole tables; the streaming forms
-keep their state per key in the state store and drop it once it can no longer matter.
+keep their state per key in the state store and never drop it, so it grows with the users and keys.
 """
 
 from __future__ import annotations

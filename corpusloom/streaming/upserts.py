@@ -2,8 +2,8 @@
 
 A micro-batch only adds its own folder, named by the batch id, so a batch that runs again
 after a failure writes the same folder again and nothing else. The table state is the
-base table plus all folders, resolved by version when it is read; rewriting that state as
-a new base now and then keeps reads short.
+base table plus all folders, resolved by version when it is read. Nothing rewrites that state as
+a new base, so reads grow with the number of batches.
 """
 
 from __future__ import annotations
