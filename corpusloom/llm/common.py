@@ -6,10 +6,10 @@ import os
 import re
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import ensure_checkpoint_dir
@@ -21,6 +21,10 @@ MANY_WORDS = 500_000
 #: Longer keys are worked out each time, so that a memory stays small.
 MEMORY_KEY_CHARS = 64
 
+#: Characters of keys, with an allowance for each entry, that a generation of a memory holds: about 50 MB.
+RECENT_CHARS = 16_000_000
+RECENT_ENTRY_CHARS = 100
+
 #: Letters of any script; digits of other kinds are told apart with ``str.isalpha``.
 LETTER_RUN = re.compile(r"[^\W\d_]+")
 
@@ -45,6 +49,27 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(rows: DataFrame, groups: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Add ``_i``, the place of a row in its group from 0, and ``_n``, the rows of the group.
+
+    Rows are sorted by ranges of (group, order) and kept; a group of any size spreads over the
+    ranges, and only a first row and a count of each range and group are added up. The columns
+    of ``groups`` hold no nulls.
+    """
+    by = [*map(F.col, groups), *order]
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id())
+    placed = keep(placed)
+    part = F.shiftrightunsigned("_m", 33).alias("_p")
+    parts = placed.groupBy(*groups, part).agg(F.min("_m").alias("_first"), F.count("*").alias("_rows"))
+    whole = Window.partitionBy(*groups)
+    before = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *groups, "_p", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_rows").over(whole).alias("_n")
+    )
+    joined = placed.withColumn("_p", part).join(parts, [*groups, "_p"])
+    return joined.select(*rows.columns, (F.col("_m") + F.col("_shift")).alias("_i"), "_n")
+
+
 class Memory:
     """Results by key, emptied when full; what it forgets is worked out again."""
 
@@ -61,6 +86,38 @@ class Memory:
         return new
 
 
+class RecentMemory:
+    """Results by key in two generations, bounded by the characters of their keys.
+
+    When the newer generation is full it becomes the older one, and what that held goes, except
+    for keys that were asked for since: those moved to the newer one. So frequent keys stay.
+    """
+
+    def __init__(self, chars: int = RECENT_CHARS):
+        self.chars = chars
+        self.held = 0
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def known(self, wanted: set, make: Callable[[str], object]) -> dict:
+        """Results of all ``wanted`` keys; those of long keys are not remembered."""
+        found = {}
+        new, old = self.new, self.old
+        for key in wanted:
+            value = new.get(key)
+            if value is None:
+                value = old.get(key)
+                if value is None:
+                    value = make(key)
+                if len(key) <= MEMORY_KEY_CHARS:
+                    new[key] = value
+                    self.held += len(key) + RECENT_ENTRY_CHARS
+            found[key] = value
+        if self.held > self.chars:
+            self.old, self.new, self.held = new, {}, 0
+        return found
+
+
 #: Things that a worker keeps between tasks. The one used longest ago goes for a new one, so the
 #: memories of operators that run one after the other do not add up.
 KEPT_PER_WORKER = 2
