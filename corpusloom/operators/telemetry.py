@@ -247,7 +247,23 @@ def numeric_boundary(records: DataFrame, dimensions: tuple[str, ...] = DIMENSION
     return _boundary(df, ["dimension", "operation"], "value", order, ~F.col("success"), reason)
 
 
-def soak_windows(records: DataFrame, samples: DataFrame, prefix: str = "soak-window-") -> DataFrame:
+SOAK_PREFIX = "soak-window-"
+# Statistics of a soak window's resource samples, and the columns they are of.
+SOAK_METRICS = {"rss": "target_rss_bytes", "vram": "target_gpu_bytes", "thread": "threads", "handle": "handles"}
+
+
+def soak_rates(windows: DataFrame) -> DataFrame:
+    """Number, error rate and throughput of each window from its counts."""
+    elapsed = F.greatest(F.col("completed_epoch") - F.col("started_epoch"), F.lit(MIN_ELAPSED))
+    return (
+        windows.withColumn("window_index", F.regexp_extract("case_id", "([0-9]+)\\z", 1).try_cast("int"))
+        .withColumn("error_rate", (F.col("request_count") - F.col("success_count")) / F.col("request_count"))
+        .withColumn("throughput", F.col("success_count") / elapsed)
+        .fillna(0, ["resource_sample_count"])
+    )
+
+
+def soak_windows(records: DataFrame, samples: DataFrame, prefix: str = SOAK_PREFIX) -> DataFrame:
     """Latency and resource statistics of each soak window.
 
     A window runs from its first start to its last end; of its samples those inside count.
@@ -264,7 +280,7 @@ def soak_windows(records: DataFrame, samples: DataFrame, prefix: str = "soak-win
     )
     bounds = w.select("case_id", "started_epoch", "completed_epoch")
     inside = samples.join(bounds, "case_id").where(F.col("epoch").between(F.col("started_epoch"), F.col("completed_epoch")))
-    metrics = {"rss": "target_rss_bytes", "vram": "target_gpu_bytes", "thread": "threads", "handle": "handles"}
+    metrics = SOAK_METRICS
     res = inside.groupBy("case_id").agg(
         F.count("*").alias("resource_sample_count"),
         *[F.avg(c).alias(f"{n}_mean") for n, c in metrics.items()],
@@ -278,13 +294,7 @@ def soak_windows(records: DataFrame, samples: DataFrame, prefix: str = "soak-win
     names = {"latency": "latency_p{}_ms", "rss": "rss_p{}", "vram": "vram_p{}"}
     wide = [F.max(F.when(F.col("m") == m, F.col(f"p{i}"))).alias(n.format(i)) for m, n in names.items() for i in (50, 95, 99)]
     out = w.join(res, "case_id", "left").join(q.groupBy("case_id").agg(*wide), "case_id", "left")
-    elapsed = F.greatest(F.col("completed_epoch") - F.col("started_epoch"), F.lit(MIN_ELAPSED))
-    return (
-        out.withColumn("window_index", F.regexp_extract("case_id", "([0-9]+)\\z", 1).try_cast("int"))
-        .withColumn("error_rate", (F.col("request_count") - F.col("success_count")) / F.col("request_count"))
-        .withColumn("throughput", F.col("success_count") / elapsed)
-        .fillna(0, ["resource_sample_count"])
-    )
+    return soak_rates(out)
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
 from corpusloom.operators.chunks import reject_rows
+from corpusloom.operators.mentions import mentioned_names
 from corpusloom.session import ensure_checkpoint_dir
 
 
@@ -178,12 +179,6 @@ def folder_tree_counts(folders: DataFrame, files: DataFrame, pairs: DataFrame) -
     return df.fillna(0, ["file_count", "total_file_count"])
 
 
-# Texts and names meet on leading grams of at most this many characters.
-NAME_GRAM = 6
-# Texts are cut into pieces of this many characters, so that work is linear in their length.
-PIECE_CHARS = 512
-
-
 def best_matching_folder(docs: DataFrame, folders: DataFrame, pairs: DataFrame) -> DataFrame:
     """Folder of each document whose own and ancestor names its text mentions most.
 
@@ -193,29 +188,13 @@ def best_matching_folder(docs: DataFrame, folders: DataFrame, pairs: DataFrame)
     mentioned ancestor), so only mentioned folders are scored. Adds ``matched_names``, the
     mentioned names on the path from the root, and ``path``, all its names.
 
-    Text and name are paired by the leading characters of the name, never as a product. A
-    row of the pairing holds a gram of a few characters; the text itself is joined back only
-    where a name is longer than its gram.
+    Texts are read once, by an automaton over the names of their owner, and only what they
+    mention is joined to the tree.
     """
-    named = folders.select("users_idx", F.col("folder_idx").alias("descendant"), F.lower("name").alias("_name"))
-    named = named.where(F.length("_name") >= 2).withColumn("_gram", F.left("_name", F.lit(NAME_GRAM)))
-    text = docs.select("doc_id", "users_idx", F.lower("text").alias("_text")).where(F.length("_text") >= 2)
-    starts = F.sequence(F.lit(1), F.length("_text"), F.lit(PIECE_CHARS))
-    # A piece reaches into the next one by as many characters as a gram may need.
-    cut = F.transform(starts, lambda at: F.substring(F.col("_text"), at, F.lit(PIECE_CHARS + NAME_GRAM - 1)))
-    pieces = text.select("doc_id", "users_idx", F.explode(cut).alias("_piece"))
-    spots = F.sequence(F.lit(1), F.greatest(F.length("_piece") - 1, F.lit(1)))
-    grams = F.flatten(
-        F.transform(spots, lambda i: F.transform(
-            F.sequence(F.lit(2), F.lit(NAME_GRAM)), lambda n: F.substring(F.col("_piece"), i, n)))
-    )
-    seen = pieces.select("doc_id", "users_idx", F.explode(F.array_distinct(grams)).alias("_gram"))
-    names = named.select("users_idx", "_name", "_gram").distinct()
-    met = seen.join(names, ["users_idx", "_gram"]).select("doc_id", "users_idx", "_name").distinct()
-    whole = F.length("_name") <= NAME_GRAM
-    long = met.where(~whole).join(text, ["doc_id", "users_idx"]).where(F.expr("contains(_text, _name)"))
-    hits = met.where(whole).unionByName(long.select("doc_id", "users_idx", "_name").distinct())
-    matched = hits.join(named.drop("_gram"), ["users_idx", "_name"]).select("doc_id", "descendant")
+    named = folders.select("users_idx", F.col("folder_idx").alias("descendant"), F.lower("name").alias("name"))
+    named = named.where(F.length("name") >= 2)
+    text = docs.select("doc_id", "users_idx", F.lower("text").alias("text")).where(F.length("text") >= 2)
+    matched = mentioned_names(text, named).join(named, ["users_idx", "name"]).select("doc_id", "descendant")
     above = matched.join(pairs, "descendant")
     also = matched.select("doc_id", F.col("descendant").alias("ancestor"))
     scored = above.join(also, ["doc_id", "ancestor"], "left_semi").groupBy("doc_id", "descendant").agg(

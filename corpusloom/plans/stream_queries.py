@@ -10,8 +10,9 @@ from corpusloom import schemas
 from corpusloom.plans.derived import DERIVED
 from corpusloom.plans.index_queries import _META_IN, _META_SQL, _SYNC_IN, _SYNCED, scratch
 from corpusloom.plans.registry import Tables, query
+from corpusloom.plans.telemetry_queries import _SOAK, soak_columns
 from corpusloom.plans.text_queries import _REDACT_SQL
-from corpusloom.streaming import admission, callbacks, upserts, windows
+from corpusloom.streaming import admission, callbacks, soak, upserts, windows
 
 HALF_DAY_US = 43_200_000_000
 
@@ -47,7 +48,7 @@ def _finish_updates(t: Tables, stream: DataFrame, keys: list[str], name: str) ->
     """
     path = scratch(t, name)
     q = (
-        stream.writeStream.foreachBatch(upserts.append_batch(path))
+        stream.writeStream.foreachBatch(upserts.update_batch(path, keys))
         .option("checkpointLocation", scratch(t, f"{name}-state"))
         .outputMode("update")
         .trigger(availableNow=True)
@@ -137,9 +138,9 @@ def _(t):
 def _(t):
     path = scratch(t, "uploads")
     batches = t("upload_batches")
-    fn = upserts.unique_upload_batch(path, batches.schema, ["users_idx", "idempotency_key"], "arrival")
+    fn = upserts.unique_upload_batch(path, batches.schema, ["users_idx", "idempotency_key"], "arrival", compact_every=2)
     _for_each(t, batches, ["arrival"], "uploads", fn)
-    kept = t.spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    kept = upserts.read_log(t.spark, path, batches.schema)
     return kept.groupBy("users_idx", "idempotency_key").agg(F.count("*").alias("kept"))
 
 
@@ -173,11 +174,26 @@ def _(t):
     )
 
 
+# A window is over when the watermark, ten minutes behind, is ten minutes past its last request.
+_CLOSED = "b + 600 < least((SELECT max(completed_epoch) FROM {records}), (SELECT max(epoch) FROM {samples})) - 600"
+
+
+@query(
+    "soak_case_stream",
+    "X6 M12",
+    f"""WITH {_SOAK} SELECT case_id, window_index, request_count, success_count, round(error_rate, 6) AS error_rate, round(throughput, 6) AS throughput, round(latency_mean_ms + 1e-9, 6) AS latency_mean_ms,
+      round(latency_p95_ms, 6) AS latency_p95_ms, resource_sample_count, round(rss_mean + 1e-9, 4) AS rss_mean, round(rss_p95 + 1e-9, 4) AS rss_p95, round(vram_p95 + 1e-9, 4) AS vram_p95, thread_max, handle_max FROM k WHERE {_CLOSED}""",
+)
+def _(t):
+    out = _finish(t, soak.soak_case_stream(_streams(t)("records"), _streams(t)("samples")), "soak-cases")
+    return soak_columns(out.withColumns({c: F.col(c).cast("long") for c in ("thread_max", "handle_max")}))
+
+
 @query("versioned_chunk_stream", "X7 L13", _SYNCED)
 def _(t):
     path = scratch(t, "sync")
     base = t("chunks").select("file_idx", F.col("index_version").cast("long").alias("index_version"), "chunk_index", "chunk_id")
-    fn = upserts.versioned_chunk_batch(base, path, scratch(t, "outcomes"))
+    fn = upserts.versioned_chunk_batch(base, path, scratch(t, "outcomes"), compact_every=2)
     _for_each(t, t.sql(_SYNC_IN), ["file_idx"], "sync", fn)
     return upserts.chunk_state(base, path)
 
@@ -187,7 +203,7 @@ def _(t):
     path = scratch(t, "metadata")
     base = t("file_metadata").select("file_idx", "summary", "extraction_status", "index_version")
     incoming = t.sql(_META_IN).groupBy("file_idx", "seq").agg(*[F.first(c).alias(c) for c in ("success", "index_version", "summary")])
-    _for_each(t, incoming, ["file_idx"], "metadata", upserts.append_batch(path))
+    _for_each(t, incoming, ["file_idx"], "metadata", upserts.metadata_batch(base, path, compact_every=2))
     return upserts.metadata_state(base, path, ["summary"], T.StructType(list(incoming.schema.fields)))
 
 

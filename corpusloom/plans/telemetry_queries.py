@@ -162,7 +162,11 @@ _SOAK = """w AS (SELECT case_id, min(started_epoch) AS a, max(completed_epoch) A
       round(latency_p95_ms, 6) AS latency_p95_ms, resource_sample_count, round(rss_mean + 1e-9, 4) AS rss_mean, round(rss_p95 + 1e-9, 4) AS rss_p95, round(vram_p95 + 1e-9, 4) AS vram_p95, thread_max, handle_max FROM k""",
 )
 def _(t):
-    w = tm.soak_windows(t("records"), t("samples"))
+    return soak_columns(tm.soak_windows(t("records"), t("samples")))
+
+
+def soak_columns(w):
+    """The columns of the twin, rounded like there."""
     w = w.select(
         "case_id", "window_index", "request_count", "success_count", "error_rate", "throughput", "latency_mean_ms", "latency_p95_ms",
         "resource_sample_count", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("rss_mean", "rss_p95", "vram_p95")], "thread_max", "handle_max",

@@ -1,7 +1,9 @@
 """Admission rules that depend on earlier admissions: rate limit and idempotent apply.
 
-Times are integer microseconds. The batch forms run on whole tables; the streaming forms
-keep their state per key in the state store and never drop it, so it grows with the users and keys.
+Times are integer microseconds. The batch forms run on whole tables. The streaming forms decide
+a request when it arrives and keep decisions per key in the state store, until the watermark has passed
+the time for which they matter; a timer then drops them, so the state follows the keys of
+the last minutes and not all keys there ever were.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ RATE_LIMIT = 20
 RATE_WINDOW_US = 60_000_000
 APPLY_TTL_US = 300_000_000
 HOUR_US = 3_600_000_000
+#: Requests may arrive this much out of order.
+DELAY = "10 minutes"
 
 
 def _admit(recent: tuple, now: int, limit: int, window: int) -> tuple[tuple, bool]:
@@ -72,50 +76,80 @@ def _in_order(rows: Iterator[pd.DataFrame], at: str, request: str) -> pd.DataFra
     return pd.concat(list(rows)).sort_values([at, request], kind="stable")
 
 
-class RateLimiter(StatefulProcessor):
-    """List state of the admitted times of one user."""
+class _Decisions(StatefulProcessor):
+    """Keeps the times of positive decisions of one key for ``span`` microseconds of event time.
 
-    def __init__(self, at: str, request: str, limit: int, window: int):
-        self.at, self.request, self.limit, self.window = at, request, limit, window
+    A request is decided against the decisions around its own time, so one that arrives out of
+    order, but not behind the watermark, isn't held against requests long after it.
+    """
+
+    flag = ""
+
+    def __init__(self, at: str, request: str, span: int):
+        self.at, self.request, self.span = at, request, span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "at bigint", ttlDurationMs=None)
+        self.handle = handle
+        self.times = handle.getListState("times", "at bigint")
+
+    def decide(self, times: list[int], now: int) -> bool:
+        raise NotImplementedError
+
+    def _needed(self, times: list[int], watermark_ms: int) -> list[int]:
+        """Times that a request which is not behind the watermark may still meet."""
+        return [t for t in times if t + self.span >= (watermark_ms - 1) * 1000]
+
+    def _keep(self, times: list[int], watermark_ms: int) -> None:
+        times = self._needed(times, watermark_ms)
+        if times:
+            self.times.put([(t,) for t in times])
+        else:
+            self.times.clear()
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _in_order(rows, self.at, self.request)
-        recent = tuple(row[0] for row in self.recent.get()) if self.recent.exists() else ()
-        admitted = []
+        times = [row[0] for row in self.times.get()] if self.times.exists() else []
+        decided = []
         for now in pdf[self.at].tolist():
-            recent, ok = _admit(recent, now, self.limit, self.window)
-            admitted.append(ok)
-        self.recent.put([(t,) for t in recent])
-        yield pdf.assign(admitted=admitted)
+            ok = self.decide(times, now)
+            if ok:
+                times.append(now)
+            decided.append(ok)
+        self._keep(times, timerValues.getCurrentWatermarkInMs())
+        if times:
+            # The first millisecond at which none of these times is needed.
+            self.handle.registerTimer((max(times) + self.span) // 1000 + 2)
+        yield pdf.assign(**{self.flag: decided})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        times = [row[0] for row in self.times.get()] if self.times.exists() else []
+        self._keep(times, timerValues.getCurrentWatermarkInMs())
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-class IdempotentApply(StatefulProcessor):
-    """Value state of the last applied time of one (user, key)."""
+class RateLimiter(_Decisions):
+    """Admits when fewer than ``limit`` admitted requests lie in the window that ends with the request."""
 
-    def __init__(self, at: str, request: str, key: str, ttl: int):
-        self.at, self.request, self.key, self.ttl = at, request, key, ttl
+    flag = "admitted"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at bigint")
+    def __init__(self, at: str, request: str, limit: int, window: int):
+        super().__init__(at, request, window)
+        self.limit = limit
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _in_order(rows, self.at, self.request)
-        last = self.last.get()[0] if self.last.exists() else None
-        applied = []
-        for now in pdf[self.at].tolist():
-            last, ok = _apply(last, now, self.ttl)
-            applied.append(ok)
-        self.last.update((last,))
-        yield pdf.assign(applied=applied)
+    def decide(self, times: list[int], now: int) -> bool:
+        return sum(0 <= now - t <= self.span for t in times) < self.limit
 
-    def close(self) -> None:
-        pass
+
+class IdempotentApply(_Decisions):
+    """Applies unless the key was applied within the time to live, before the request or after it."""
+
+    flag = "applied"
+
+    def decide(self, times: list[int], now: int) -> bool:
+        return not any(abs(now - t) < self.span for t in times)
 
 
 def _with(stream: DataFrame, flag: str) -> T.StructType:
@@ -130,26 +164,36 @@ def use_rocksdb(spark) -> None:
     )
 
 
+def _decided(stream: DataFrame, keys: list[str], processor: _Decisions, delay: str) -> DataFrame:
+    # Spark drops rows at the watermark, too; a millisecond more keeps these, and those of time 0 before there is any.
+    timed = stream.withColumn("_event_time", F.timestamp_micros(F.col(processor.at) + 1000)).withWatermark("_event_time", delay)
+    schema = _with(stream, processor.flag)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
 def rate_limit_stream(
-    stream: DataFrame, user: str, at: str, request: str, limit: int = RATE_LIMIT, window: int = RATE_WINDOW_US
+    stream: DataFrame, user: str, at: str, request: str, limit: int = RATE_LIMIT, window: int = RATE_WINDOW_US, delay: str = DELAY
 ) -> DataFrame:
+    """Add ``admitted`` to every request on arrival.
+
+    Requests may come out of order by ``delay``; Spark drops those behind the watermark. In
+    order of time the result is that of ``rate_limit``. A user's admitted times are dropped when the
+    watermark is past their window.
+    """
     use_rocksdb(stream.sparkSession)
-    schema = _with(stream, "admitted")
-    return stream.groupBy(user).transformWithStateInPandas(
-        RateLimiter(at, request, limit, window), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+    return _decided(stream, [user], RateLimiter(at, request, limit, window), delay)
 
 
 def idempotent_apply_stream(
-    stream: DataFrame, user: str, key: str, at: str, request: str, ttl: int = APPLY_TTL_US
+    stream: DataFrame, user: str, key: str, at: str, request: str, ttl: int = APPLY_TTL_US, delay: str = DELAY
 ) -> DataFrame:
-    """Rows with a blank key pass by the state; the rest is decided per (user, key)."""
+    """Add ``applied``. Rows with a blank key pass by the state; the rest is decided per (user, key).
+
+    Lateness as in ``rate_limit_stream``. A key is forgotten when the watermark is past its time to live.
+    """
     use_rocksdb(stream.sparkSession)
     blank = F.coalesce(strip(F.col(key)), F.lit("")) == ""
-    schema = _with(stream, "applied")
-    decided = stream.where(~blank).groupBy(user, key).transformWithStateInPandas(
-        IdempotentApply(at, request, key, ttl), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+    decided = _decided(stream.where(~blank), [user, key], IdempotentApply(at, request, ttl), delay)
     return decided.unionByName(stream.where(blank).withColumn("applied", F.lit(True)))
 
 

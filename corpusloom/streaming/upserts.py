@@ -1,13 +1,15 @@
-"""Version-guarded upserts and unique keys per micro-batch.
+"""Version-guarded upserts and unique keys per micro-batch, as a compacted log.
 
 A micro-batch only adds its own folder, named by the batch id, so a batch that runs again
-after a failure writes the same folder again and nothing else. The table state is the
-base table plus all folders, resolved by version when it is read. Nothing rewrites that state as
-a new base, so reads grow with the number of batches.
+after a failure writes the same folder again and nothing else. Every ``COMPACT_EVERY`` batches the
+log of all batches before the running one is resolved into one folder, and a snapshot file that names
+it is published. A reader opens the folder of the latest snapshot and the batches after it, so their
+number is bounded. Folders that two snapshots have replaced are deleted.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +17,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators.index import metadata_version_upsert, stale_version_guard
-from corpusloom.sources.sinks import has_partitions
+from corpusloom.operators.ordered import running_max
+from corpusloom.sources import snapshots
 
+#: Batches after a snapshot before there is a new one.
+COMPACT_EVERY = 20
 
-def _log(spark: SparkSession, path: str, schema) -> DataFrame:
-    """All batch folders, with their batch id; empty before the first."""
-    if not has_partitions(spark, path, "batch"):
-        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
-    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").withColumn("batch", F.col("batch").cast("long"))
+Resolve = Callable[[DataFrame], DataFrame]
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.split("=")[1]) for n in snapshots.names_in(spark, path, "batch=*"))
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all batches that still matter, with the number of their batch; none before the first."""
+    wide = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    _, held = snapshots.current(spark, f"{path}/snapshots")
+    later = [f"{path}/batch={b}" for b in _batches(spark, path) if b > held.get("upto", -1)]
+    log = spark.read.schema(wide).parquet(f"{path}/{held['folder']}") if held else spark.createDataFrame([], wide)
+    if later:
+        log = log.unionByName(spark.read.schema(wide).option("basePath", path).parquet(*later))
+    return log
+
+
+def compact(spark: SparkSession, path: str, schema: T.StructType, before: int, resolve: Resolve | None = None) -> None:
+    """Resolve all batches below ``before``, which is running and may run again, into one folder.
+
+    ``resolve`` keeps the rows that later reads need, with their batch numbers; all rows stay without it.
+    A loss between any two steps leaves the log as it was or as it will be.
+    """
+    number, held = snapshots.current(spark, f"{path}/snapshots")
+    log = read_log(spark, path, schema).where(F.col("batch") < before)
+    folder = f"data/{uuid.uuid4().hex}"
+    (resolve(log) if resolve else log).select(*schema.names, "batch").write.parquet(f"{path}/{folder}")
+    snapshots.publish(spark, f"{path}/snapshots", number + 1, {"folder": folder, "upto": before - 1})
+    used = {content["folder"] for content in snapshots.retire(spark, f"{path}/snapshots")}
+    for name in snapshots.names_in(spark, f"{path}/data", "*"):
+        if f"data/{name}" not in used:
+            snapshots.remove_folder(spark, f"{path}/data/{name}")
+    for batch in _batches(spark, path):
+        if batch <= held.get("upto", -1):
+            snapshots.remove_folder(spark, f"{path}/batch={batch}")
+
+
+def _maybe_compact(spark: SparkSession, path: str, schema: T.StructType, batch: int, every: int, resolve: Resolve | None) -> None:
+    _, held = snapshots.current(spark, f"{path}/snapshots")
+    if sum(held.get("upto", -1) < b < batch for b in _batches(spark, path)) >= every:
+        compact(spark, path, schema, batch, resolve)
+
+
+def _newest_version(log: DataFrame) -> DataFrame:
+    """Of each file the rows of its highest version, of equal ones those of the later batch."""
+    best = log.groupBy("file_idx").agg(F.max(F.struct("index_version", "batch")).alias("_v"))
+    best = best.select("file_idx", "_v.index_version", "_v.batch")
+    return log.join(best, ["file_idx", "index_version", "batch"], "left_semi")
 
 
 def chunk_state(base: DataFrame, path: str) -> DataFrame:
@@ -31,14 +80,13 @@ def chunk_state(base: DataFrame, path: str) -> DataFrame:
     The log holds accepted documents only, so a logged file is replaced by its highest
     logged version (of equal ones by the later batch); other files are untouched.
     """
-    log = _log(base.sparkSession, path, base.schema).select(*base.columns, "batch")
-    best = log.groupBy("file_idx").agg(F.max(F.struct("index_version", "batch")).alias("_v"))
-    best = best.select("file_idx", "_v.index_version", "_v.batch")
-    current = log.join(best, ["file_idx", "index_version", "batch"], "left_semi").select(*base.columns)
-    return base.join(best.select("file_idx"), "file_idx", "left_anti").select(*base.columns).unionByName(current)
+    current = _newest_version(read_log(base.sparkSession, path, base.schema)).select(*base.columns)
+    return base.join(current.select("file_idx"), "file_idx", "left_anti").select(*base.columns).unionByName(current)
 
 
-def versioned_chunk_batch(base: DataFrame, path: str, outcomes: str) -> Callable[[DataFrame, int], None]:
+def versioned_chunk_batch(
+    base: DataFrame, path: str, outcomes: str, compact_every: int = COMPACT_EVERY
+) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that applies synchronised chunks and counts the outcomes.
 
     The batch is reduced to the highest version of each file first. Stale documents are
@@ -46,9 +94,10 @@ def versioned_chunk_batch(base: DataFrame, path: str, outcomes: str) -> Callable
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        _maybe_compact(base.sparkSession, path, base.schema, batch_id, compact_every, _newest_version)
         counted = batch.groupBy("file_idx", "index_version").agg(F.count("*").alias("n_chunks"))
         newest = counted.groupBy("file_idx").agg(F.max_by(F.struct("index_version", "n_chunks"), "index_version").alias("v"))
-        log = _log(base.sparkSession, path, base.schema).where(F.col("batch") < batch_id)
+        log = read_log(base.sparkSession, path, base.schema).where(F.col("batch") < batch_id)
         versions = base.select("file_idx", "index_version").unionByName(log.select("file_idx", "index_version"))
         judged = stale_version_guard(versions, newest.select("file_idx", "v.*"))
         judged.groupBy("outcome").agg(F.count("*").alias("files")).write.mode("overwrite").parquet(f"{outcomes}/batch={batch_id}")
@@ -59,41 +108,87 @@ def versioned_chunk_batch(base: DataFrame, path: str, outcomes: str) -> Callable
     return run
 
 
+def _deciding_callbacks(base: DataFrame) -> Resolve:
+    """Of each file the callbacks that its state rests on.
+
+    These are the last that applies, the last success that applies, and one of the highest
+    version, against which later callbacks are judged. They give the same state as all.
+    """
+
+    def resolve(log: DataFrame) -> DataFrame:
+        df = log.join(base.select("file_idx", F.col("index_version").alias("_stored")), "file_idx", "left")
+        df = running_max(df, ["file_idx"], "seq", {"_before": F.col("index_version")})
+        floor = F.greatest("_stored", "_before")
+        df = df.where(F.col("index_version").isNull() | floor.isNull() | (F.col("index_version") >= floor))
+        row = F.struct(*log.columns)
+        kept = df.groupBy("file_idx").agg(
+            F.max_by(row, "seq").alias("a"),
+            F.max_by(row, F.when(F.col("success"), F.col("seq"))).alias("b"),
+            F.max_by(row, F.struct("index_version", "seq")).alias("c"),
+        )
+        rows = F.array_distinct(F.array_compact(F.array("a", "b", "c")))
+        return kept.select(F.explode(rows).alias("r")).select("r.*")
+
+    return resolve
+
+
+def metadata_batch(base: DataFrame, path: str, compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that logs callbacks (file_idx, seq, success, index_version, values)."""
+    return append_batch(path, _deciding_callbacks(base), compact_every)
+
+
 def metadata_state(base: DataFrame, path: str, values: list[str], schema) -> DataFrame:
     """Metadata after all callbacks, applied in order of batch and sequence."""
-    log = _log(base.sparkSession, path, schema)
+    log = read_log(base.sparkSession, path, schema)
     # The sequence restarts in no batch, so (batch, seq) order is a plain number.
     return metadata_version_upsert(base, log.drop("batch"), values)
 
 
-def append_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that keeps each batch in its own folder."""
+def append_batch(
+    path: str, resolve: Resolve | None = None, compact_every: int = COMPACT_EVERY
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that keeps each batch in its own folder until it is compacted."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        _maybe_compact(batch.sparkSession, path, batch.schema, batch_id, compact_every, resolve)
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return run
 
 
+def _latest(keys: list[str]) -> Resolve:
+    def resolve(log: DataFrame) -> DataFrame:
+        rest = [c for c in log.columns if c not in keys]
+        return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+
+    return resolve
+
+
+def update_batch(path: str, keys: list[str], compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function for rows that replace earlier ones of the same keys."""
+    return append_batch(path, _latest(keys), compact_every)
+
+
 def latest_rows(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
     """Of the rows that batches have added for each key, those of the last batch."""
-    rest = [f.name for f in schema.fields if f.name not in keys]
-    log = _log(spark, path, schema)
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+    return _latest(keys)(read_log(spark, path, schema)).select(*schema.names)
 
 
-def unique_upload_batch(path: str, schema, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
+def unique_upload_batch(
+    path: str, schema, keys: list[str], order: str, compact_every: int = COMPACT_EVERY
+) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that keeps the first row of each key for ever.
 
     Rows without a key are all kept. Earlier batches are looked up by an anti join.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        _maybe_compact(batch.sparkSession, path, schema, batch_id, compact_every, None)
         has_key = F.col(keys[-1]).isNotNull()
         rest = [c for c in batch.columns if c not in keys]
         first = batch.where(has_key).groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r"))
         first = first.select(*keys, "_r.*").select(*batch.columns)
-        seen = _log(batch.sparkSession, path, schema).where(F.col("batch") < batch_id).select(*keys)
+        seen = read_log(batch.sparkSession, path, schema).where(F.col("batch") < batch_id).select(*keys)
         fresh = first.join(seen, keys, "left_anti").unionByName(batch.where(~has_key))
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 

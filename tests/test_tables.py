@@ -203,7 +203,7 @@ def test_index_upserts_touch_only_their_buckets(spark, tmp_path):
     folders = lambda paths: {os.path.basename(os.path.dirname(p)) for p in paths}
     rewritten = folders(data() - files)
     assert rewritten and folders(files) - rewritten and folders(data() & files) == folders(files) - rewritten
-    own = sinks.read_index(spark, path, owners=[3], buckets=8)
+    own = sinks.read_index(spark, path, owners=[3])
     assert {r.chunk_id for r in own.collect()} == {k for k, r in want.items() if r[1] == 3}
     plan = own._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "owner_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
@@ -219,4 +219,4 @@ def test_index_buckets_that_an_upsert_empties_go(spark, tmp_path):
     # The one owner of a bucket hands over all points.
     sinks.write_index(spark.createDataFrame([("a", other, 4), ("b", other, 5)], columns), path, buckets=8)
     assert sorted(map(tuple, sinks.read_index(spark, path).collect())) == [("a", other, 4), ("b", other, 5), ("c", other, 3)]
-    assert sinks.read_index(spark, path, owners=[old], buckets=8).count() == 0
+    assert sinks.read_index(spark, path, owners=[old]).count() == 0
