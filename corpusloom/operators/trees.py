@@ -1,12 +1,14 @@
 """Folder trees and reorganisation proposals.
 
-A tree is walked level by level with plain joins. Every level is checkpointed to the
-cluster's shared folder, which cuts the lineage and lets the walk survive lost executors;
-the number of levels is the depth of the tree, whatever the number of folders.
+What needs each ancestor of a folder walks the tree level by level with plain joins; what needs
+roots, depths, cycles or paths doubles its way up. Every step is checkpointed to the cluster's
+shared folder, which cuts the lineage and lets the walk survive lost executors; the number
+of steps is the depth of the tree or its logarithm, whatever the number of folders.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -59,6 +61,57 @@ def closure(
     return reduce(DataFrame.unionByName, levels)
 
 
+def climb(
+    nodes: DataFrame,
+    node: str,
+    parent: str,
+    keys: Sequence[str] = (),
+    values: dict[str, Column] | None = None,
+    merge: Callable[[Callable[[str], Column], Callable[[str], Column]], dict[str, Column]] | None = None,
+) -> DataFrame:
+    """Root, depth and collected values of each node of a forest, by doubling its way up.
+
+    Every node holds a stretch of its way: the ancestor it has come to, and how far that is. In a round it
+    takes over what that ancestor has, so a tree of depth d takes log2(d) rounds over one row for each
+    node, instead of a row for each pair. Returns the keys, ``node``, ``root``, ``depth``,
+    ``cyclic`` and the ``values``; a parent that is no node ends the way. Nodes whose way never ends
+    are ``cyclic`` and have no root. ``nodes`` has one row for each key and node.
+
+    ``values`` are those of a node alone. ``merge(lower, upper)`` joins two stretches, the second of which
+    starts at the ancestor that the first has come to; both give a column for the name of
+    a value, or for ``depth``, the length of the stretch.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    keys, values = list(keys), values or {}
+    names = list(values)
+    known = nodes.select(*keys, F.col(node).alias("_at"), F.lit(True).alias("_known"))
+    own = nodes.select(*keys, F.col(node).alias("_node"), F.col(parent).alias("_at"), *[c.alias(n) for n, c in values.items()])
+    own = own.join(known, [*keys, "_at"], "left")
+    below = F.col("_known").isNotNull()
+    state = own.select(
+        *keys, "_node", F.when(below, F.col("_at")).otherwise(F.col("_node")).alias("_at"),
+        below.cast("long").alias("depth"), (~below).alias("_done"), *names,
+    ).checkpoint()
+    left, covered = state.where("NOT _done").count(), 1
+    while left:
+        ahead = state.select(*keys, F.col("_node").alias("_at"), F.struct("_at", "depth", "_done", *names).alias("_up"))
+        moved = state.where("NOT _done").join(ahead, [*keys, "_at"])
+        joined = merge(F.col, lambda name: F.col(f"_up.{name}")) if merge else {}
+        moved = moved.select(
+            *keys, "_node", F.col("_up._at").alias("_at"), (F.col("depth") + F.col("_up.depth")).alias("depth"),
+            F.col("_up._done").alias("_done"), *[joined[n].alias(n) for n in names],
+        )
+        state = state.where("_done").unionByName(moved).checkpoint()
+        before, left, covered = left, state.where("NOT _done").count(), 2 * covered
+        # Depths have no gaps: where no way ended in a round, those left are on cycles or lead to one.
+        # Values are collected until each has the whole cycle.
+        if left == before and (not names or covered > left):
+            break
+    return state.select(
+        *keys, F.col("_node").alias(node), F.when(F.col("_done"), F.col("_at")).alias("root"), "depth", (~F.col("_done")).alias("cyclic"), *names
+    )
+
+
 def folder_closure(folders: DataFrame) -> DataFrame:
     return closure(folders)
 
@@ -162,11 +215,16 @@ def restore_files(files: DataFrame, folders: DataFrame, chunks: DataFrame, ids:
     return _restored(df, files.columns, chunks)
 
 
-def purge_order(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Folders of the purged subtrees, children before their parents."""
-    below = pairs.join(roots.select(F.col("folder_idx").alias("ancestor")), "ancestor", "left_semi")
-    deep = below.groupBy("descendant").agg(F.max("depth").alias("depth"))
-    return deep.select(F.col("descendant").alias("folder_idx"), "depth").orderBy(F.desc("depth"), "folder_idx")
+def purge_order(folders: DataFrame, roots: DataFrame) -> DataFrame:
+    """Folders of the purged subtrees, children before their parents; depth is that below the highest root."""
+    marked = folders.join(roots.select("folder_idx", F.lit(0).cast("long").alias("_mark")).distinct(), "folder_idx", "left")
+
+    def merge(lower: Callable[[str], Column], upper: Callable[[str], Column]) -> dict[str, Column]:
+        return {"_far": F.greatest(lower("_far"), lower("depth") + upper("_far"))}
+
+    deep = climb(marked, "folder_idx", "parent_folder_idx", values={"_far": F.col("_mark")}, merge=merge)
+    deep = deep.where(F.col("_far").isNotNull()).select("folder_idx", F.col("_far").cast("int").alias("depth"))
+    return deep.orderBy(F.desc("depth"), "folder_idx")
 
 
 def folder_tree_counts(folders: DataFrame, files: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -224,33 +282,32 @@ def best_matching_folder(docs: DataFrame, folders: DataFrame, pairs: DataFrame)
 PROPOSAL = ("proposal_id",)
 
 
+def _unique_proposed(proposed: DataFrame) -> DataFrame:
+    """One row for each proposed folder; of one proposed twice, the parent that sorts first counts."""
+    return proposed.where(F.col("temp_id").isNotNull()).groupBy(*PROPOSAL, "temp_id").agg(F.min("parent_temp_id").alias("parent_temp_id"))
+
+
 def proposal_closure(proposed: DataFrame) -> DataFrame:
     """Closure of proposed folders, per proposal."""
-    unique = proposed.where(F.col("temp_id").isNotNull()).groupBy(*PROPOSAL, "temp_id").agg(
-        F.min("parent_temp_id").alias("parent_temp_id")
-    )
-    return closure(unique, "temp_id", "parent_temp_id", PROPOSAL)
+    return closure(_unique_proposed(proposed), "temp_id", "parent_temp_id", PROPOSAL)
 
 
-def proposal_cycles(proposed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Proposed folders whose chain of parents never ends.
+def proposal_depths(proposed: DataFrame) -> DataFrame:
+    """Depth of each proposed folder below the top of its chain, and whether the chain is ``cyclic``."""
+    return climb(_unique_proposed(proposed), "temp_id", "parent_temp_id", PROPOSAL)
 
-    The top of a healthy chain has no proposed parent. A node is on or above a cycle when
-    no such top is among its ancestors.
-    """
-    ids = proposed.select(*PROPOSAL, F.col("temp_id").alias("parent_temp_id")).distinct()
-    tops = proposed.join(ids, [*PROPOSAL, "parent_temp_id"], "left_anti").select(*PROPOSAL, F.col("temp_id").alias("ancestor")).distinct()
-    healthy = pairs.join(tops, [*PROPOSAL, "ancestor"], "left_semi").select(*PROPOSAL, F.col("descendant").alias("temp_id")).distinct()
-    nodes = proposed.where(F.col("temp_id").isNotNull()).select(*PROPOSAL, "temp_id").distinct()
-    return nodes.join(healthy, [*PROPOSAL, "temp_id"], "left_anti")
+
+def proposal_cycles(depths: DataFrame) -> DataFrame:
+    """Proposed folders whose chain of parents never ends."""
+    return depths.where("cyclic").select(*PROPOSAL, "temp_id")
 
 
 def validate_proposal(
-    proposed: DataFrame, mappings: DataFrame, owners: DataFrame, files: DataFrame, folders: DataFrame, pairs: DataFrame
+    proposed: DataFrame, mappings: DataFrame, owners: DataFrame, files: DataFrame, folders: DataFrame
 ) -> DataFrame:
     """Broken proposal rules as (proposal_id, rule, detail) rows; detail counts the rows.
 
-    ``owners``: proposal_id, users_idx. ``pairs`` is the proposal's closure.
+    ``owners``: proposal_id, users_idx.
     """
     p = [*PROPOSAL]
 
@@ -293,7 +350,7 @@ def validate_proposal(
         twice = df.where(F.col(c).isNotNull()).groupBy(*p, c).count().where("count > 1")
         return twice.groupBy(*p).agg(F.count("*").alias(name))
 
-    cycles = proposal_cycles(proposed, pairs).groupBy(*p).agg(F.count("*").alias("cycle"))
+    cycles = proposal_cycles(proposal_depths(proposed)).groupBy(*p).agg(F.count("*").alias("cycle"))
     every = reduce(
         lambda a, b: a.join(b, p, "left"),
         [per_folder, per_mapping, copies(proposed, "temp_id", "duplicate_temp_id"), copies(mappings, "file_id", "duplicate_file"), cycles],
@@ -332,10 +389,9 @@ def apply_mappings(files: DataFrame, mappings: DataFrame, created: DataFrame, ma
     )
 
 
-def creation_waves(pairs: DataFrame) -> DataFrame:
-    """Wave in which each proposed folder can be made: its number of proposed ancestors."""
-    waves = pairs.groupBy(*PROPOSAL, "descendant").agg(F.max("depth").alias("wave"))
-    return waves.withColumnRenamed("descendant", "temp_id")
+def creation_waves(proposed: DataFrame) -> DataFrame:
+    """Wave in which each proposed folder can be made: its number of proposed ancestors. Cyclic ones never can."""
+    return proposal_depths(proposed).where("NOT cyclic").select(*PROPOSAL, "temp_id", F.col("depth").cast("int").alias("wave"))
 
 
 def filter_proposal(mappings: DataFrame, targets: DataFrame, allow_rename: bool) -> DataFrame:
@@ -349,15 +405,9 @@ def shape_tree_paths(shapes: DataFrame, slide: list[str]) -> DataFrame:
 
     ``shapes``: the slide columns, shape_id, parent_id, ordinal.
     """
-    pairs = closure(shapes, "shape_id", "parent_id", tuple(slide))
-    ordinals = shapes.select(*slide, F.col("shape_id").alias("ancestor"), "ordinal")
-    per = pairs.join(ordinals, [*slide, "ancestor"]).groupBy(*slide, "descendant").agg(
-        F.sort_array(F.collect_list(F.struct("depth", "ordinal")), asc=False).alias("l")
-    )
-    return per.select(
-        *slide,
-        F.col("descendant").alias("shape_id"),
-        F.array_join(F.transform("l", lambda x: x["ordinal"].cast("string")), ".").alias("shape_path"),
-        F.size("l").alias("shape_depth"),
-    )
 
+    def merge(lower: Callable[[str], Column], upper: Callable[[str], Column]) -> dict[str, Column]:
+        return {"shape_path": F.concat(upper("shape_path"), F.lit("."), lower("shape_path"))}
+
+    ways = climb(shapes, "shape_id", "parent_id", slide, {"shape_path": F.col("ordinal").cast("string")}, merge)
+    return ways.select(*slide, "shape_id", "shape_path", (F.col("depth") + 1).cast("int").alias("shape_depth"))

@@ -515,7 +515,7 @@ def _(t):
     + " SELECT descendant AS folder_idx, max(depth) AS depth FROM cl WHERE ancestor IN (SELECT folder_idx FROM {folders} WHERE deleted_at IS NOT NULL) GROUP BY 1",
 )
 def _(t):
-    return tr.purge_order(_pairs(t), t("folders").where("deleted_at IS NOT NULL"))
+    return tr.purge_order(t("folders"), t("folders").where("deleted_at IS NOT NULL"))
 
 
 @query(
@@ -589,7 +589,7 @@ def _proposal_pairs(t: Tables):
 )
 def _(t):
     owners = t("orders").select(F.col("o_custkey").alias("proposal_id"), F.col("o_custkey").alias("users_idx")).distinct()
-    return tr.validate_proposal(t("proposed"), t("mappings"), owners, t("files"), t("folders"), _proposal_pairs(t))
+    return tr.validate_proposal(t("proposed"), t("mappings"), owners, t("files"), t("folders"))
 
 
 @query(
@@ -626,9 +626,7 @@ def _(t):
       SELECT proposal_id, temp_id, max(depth) AS wave FROM walk WHERE (proposal_id, temp_id) NOT IN (SELECT proposal_id, temp_id FROM bad) GROUP BY 1, 2""",
 )
 def _(t):
-    pairs = _proposal_pairs(t)
-    cycles = tr.proposal_cycles(t("proposed"), pairs)
-    return tr.creation_waves(pairs).join(cycles, ["proposal_id", "temp_id"], "left_anti")
+    return tr.creation_waves(t("proposed"))
 
 
 @query(
