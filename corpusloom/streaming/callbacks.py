@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from corpusloom.operators.ordered import forward_fill
 from corpusloom.streaming.admission import use_rocksdb
 
 # Fixed value: a callback may take ten minutes.
@@ -71,11 +72,18 @@ def callback_timeout_stream(events: DataFrame, ts: str, delay: str = "1 minute",
 
 
 def callback_timeouts(events: DataFrame, at_ms: str, now_ms: int | None = None, timeout_ms: int = CALLBACK_MS) -> DataFrame:
-    """The same on a table: hand-offs without a completion up to the timeout, as of ``now_ms``."""
-    handed = events.where("kind = 'handoff'").select("job_id", F.col(at_ms).alias("handed_off_ms"))
-    done = events.where("kind = 'completed'").select("job_id", F.col(at_ms).alias("_done"))
-    both = handed.join(done, "job_id", "left")
-    inside = F.col("_done").between(F.col("handed_off_ms"), F.col("handed_off_ms") + timeout_ms)
-    per = both.groupBy("job_id", "handed_off_ms").agg(F.coalesce(F.max(inside), F.lit(False)).alias("_ok"))
-    late = per.where(~F.col("_ok")).drop("_ok")
+    """The same on a table: hand-offs without a completion up to the timeout, as of ``now_ms``.
+
+    The completion that decides a hand-off is the next one of its job. It is found by one ordered pass
+    from the last event to the first, cut into blocks of time, so a busy job is neither paired with all
+    its events nor kept in one task. A hand-off without a job has no completion.
+    """
+    done = (F.col("kind") == "completed") & F.col("job_id").isNotNull()
+    rows = events.where(F.col("kind").isin("handoff", "completed")).select("job_id", "kind", F.col(at_ms).cast("long").alias("_at"))
+    # Backwards in time; of one moment, completions come first.
+    rows = rows.withColumn("_o", -2 * F.col("_at") + (F.col("kind") == "handoff").cast("long"))
+    block = F.floor(F.col("_o") / (2 * timeout_ms))
+    rows = forward_fill(rows, ["job_id"], "_o", F.when(done, F.col("_at")), "_next", block)
+    ok = F.coalesce(F.col("_next") <= F.col("_at") + timeout_ms, F.lit(False))
+    late = rows.where((F.col("kind") == "handoff") & ~ok).select("job_id", F.col("_at").alias("handed_off_ms")).distinct()
     return late if now_ms is None else late.where(F.col("handed_off_ms") + timeout_ms <= now_ms)
