@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import numbered
+from corpusloom.llm.common import keep, numbered
 
 BUCKETS = 10_000
 ORDERS = (1, 2)
@@ -305,7 +305,8 @@ def resample(
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("")))
     share = (F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296
     score = F.col("weight") + F.floor(-1000 * F.log(-F.log(share)))
-    told = weights(docs, gain, id_column, text).withColumn("score", score)
+    # Kept, as the bounds of the ranges are sampled from the rows before these are sorted.
+    told = keep(weights(docs, gain, id_column, text)).withColumn("score", score)
     told = told.select(F.col(id_column).alias("_id"), "n_features", "weight", "score", (F.col("n_words") < least_words).alias("_short"))
     # Documents that may be drawn come first, so their places are their ranks.
     placed = numbered(told, ["_short"], [F.desc("score"), F.asc_nulls_last("_id")])
