@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,36 +161,50 @@ def quota_check(batches: DataFrame, usage: DataFrame, quota: int) -> DataFrame:
     """Decide upload batches in arrival order: accepted, rejected, existing, or invalid.
 
     ``batches``: users_idx, arrival, idempotency_key (nullable), incoming_bytes. A key
-    that was accepted before is answered as existing and uses nothing. Only keys that
-    repeat are remembered while a user's batches stream by. A batch without an owner, or whose
+    that was accepted before is answered as existing and uses nothing. While a user's batches
+    stream by, only keys that come again are remembered, and each until its last arrival, which is
+    worked out beforehand; so what is held are the keys that are open at one time. A batch without an owner, or whose
     size is null or negative, is invalid and takes no part in the decisions.
     """
     valid = F.coalesce(F.col("users_idx").isNotNull() & (F.col("incoming_bytes") >= 0), F.lit(False))
     invalid = batches.where(~valid).withColumn("outcome", F.lit("invalid"))
     batches = batches.where(valid)
     repeats = batches.where(F.col("idempotency_key").isNotNull()).groupBy("users_idx", "idempotency_key").agg(
-        (F.count("*") > 1).alias("_repeats")
+        (F.count("*") > 1).alias("_repeats"), F.max("arrival").alias("_last")
     )
-    df = batches.join(repeats, ["users_idx", "idempotency_key"], "left").select(*batches.columns, "_repeats")
+    df = batches.join(repeats, ["users_idx", "idempotency_key"], "left").select(*batches.columns, "_repeats", "_last")
     df = df.join(usage.select("users_idx", F.col("used_bytes").alias("_used")), "users_idx", "left")
     df = df.withColumn("_used", F.coalesce("_used", F.lit(0))).withColumn("_repeats", F.coalesce("_repeats", F.lit(False)))
 
-    def step(state, values):
-        added, accepted = state
-        key, repeats, size, used = values
-        if repeats and key in accepted:
-            return state, "existing"
-        if used + added + size > quota:
-            return state, "rejected"
-        if repeats:
-            accepted.add(key)
-        return (added + size, accepted), "accepted"
-
     folded = ordered_fold(
-        df, ["users_idx"], ["arrival"], lambda: (0, set()), step,
-        ["idempotency_key", "_repeats", "incoming_bytes", "_used"], "outcome", "string",
+        df, ["users_idx"], ["arrival"], _QuotaState, lambda state, values: (state, state.decide(quota, *values)),
+        ["arrival", "idempotency_key", "_repeats", "_last", "incoming_bytes", "_used"], "outcome", "string",
     )
-    return folded.drop("_repeats", "_used").unionByName(invalid)
+    return folded.drop("_repeats", "_used", "_last").unionByName(invalid)
+
+
+class _QuotaState:
+    """Bytes that one user has added, and the accepted keys that will come again."""
+
+    def __init__(self) -> None:
+        self.added = 0
+        self.open: set[str] = set()
+        self.ends: list[tuple] = []  # heap of (last arrival, key)
+
+    def decide(self, quota: int, arrival, key: str | None, repeats: bool, last, size: int, used: int) -> str:
+        # Equal arrivals may still be of a key whose last arrival this is.
+        while self.ends and arrival is not None and self.ends[0][0] < arrival:
+            self.open.discard(heapq.heappop(self.ends)[1])
+        if repeats and key in self.open:
+            return "existing"
+        if used + self.added + size > quota:
+            return "rejected"
+        if repeats:
+            self.open.add(key)
+            if last is not None:
+                heapq.heappush(self.ends, (last, key))
+        self.added += size
+        return "accepted"
 
 
 def validate_upload(files: DataFrame, batch: str) -> DataFrame:

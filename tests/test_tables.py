@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -220,3 +221,28 @@ def test_index_buckets_that_an_upsert_empties_go(spark, tmp_path):
     sinks.write_index(spark.createDataFrame([("a", other, 4), ("b", other, 5)], columns), path, buckets=8)
     assert sorted(map(tuple, sinks.read_index(spark, path).collect())) == [("a", other, 4), ("b", other, 5), ("c", other, 3)]
     assert sinks.read_index(spark, path, owners=[old]).count() == 0
+
+
+def test_quota_forgets_keys_after_their_last_arrival(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(3), n // 2, f"k{rng.randrange(n // 2, n // 2 + 12)}" if rng.random() < 0.8 else None, rng.randrange(50)) for n in range(600)]
+    batches = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "users_idx long, arrival long, idempotency_key string, incoming_bytes long, n int")
+    out = ct.quota_check(batches.orderBy("n"), spark.createDataFrame([(1, 10)], "users_idx long, used_bytes long"), 2500).collect()
+    # Batches of one moment come in any order, so the order that was taken is replayed.
+    added, seen = {0: 0, 1: 10, 2: 0}, set()
+    for user in range(3):
+        for r in [r for r in out if r.users_idx == user]:
+            if r.idempotency_key is not None and (user, r.idempotency_key) in seen:
+                want = "existing"
+            elif added[user] + r.incoming_bytes > 2500:
+                want = "rejected"
+            else:
+                want = "accepted"
+                added[user] += r.incoming_bytes
+                seen.add((user, r.idempotency_key) if r.idempotency_key is not None else None)
+            assert r.outcome == want
+    state, most = ct._QuotaState(), 0
+    for n in range(10_000):
+        state.decide(10**9, n, f"k{n // 2}", True, n | 1, 1, 0)
+        most = max(most, len(state.open))
+    assert most <= 2
