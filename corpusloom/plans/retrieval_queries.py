@@ -260,7 +260,27 @@ def _(t):
     return vx.select_eval_scope(t("chunks"), 7, 8).select("users_idx", "file_idx")
 
 
-@query("eval_queries", "V13 N17")
+_POOL = ", ".join(f"('{q}')" for q in vx.DEFAULT_QUERIES)
+
+
+@query(
+    "eval_queries",
+    "V13 N17",
+    _EVAL
+    + r""", s AS (SELECT users_idx, file_idx FROM f WHERE users_idx IN (SELECT users_idx FROM c) ORDER BY md5('7:' || users_idx || ':' || file_idx), file_idx LIMIT 8),
+      t AS (SELECT file_idx, content FROM (SELECT *, row_number() OVER (PARTITION BY users_idx, file_idx ORDER BY md5('7:' || users_idx || ':' || file_idx || ':' || chunk_id), chunk_id) AS n
+        FROM {chunks} JOIN s USING (users_idx, file_idx)) WHERE n = 1),
+      l AS (SELECT file_idx, regexp_replace(regexp_replace(regexp_replace(content, '[\x00-\x1f\x7f]+', ' ', 'g'), '[@WS@]+', ' ', 'g'), '^[@WS@]+|[@WS@]+$', '', 'g') AS line FROM t),
+      a AS (SELECT file_idx, line, CASE WHEN regexp_matches(line, '^.*?[.!?。！？] ') THEN rtrim(regexp_extract(line, '^.*?[.!?。！？] ')) ELSE line END AS first FROM l),
+      o AS (SELECT file_idx, regexp_replace(left(CASE WHEN length(first) >= 8 THEN first ELSE line END, 180), '[@WS@]+$', '') AS query FROM a),
+      k AS (SELECT query, 0 AS t, min(file_idx) AS o, '' AS h FROM o WHERE query <> '' GROUP BY query
+        UNION ALL SELECT query, 1, 0, md5('7:' || query) FROM (VALUES """
+    + _POOL
+    + f""") v(query)
+        UNION ALL SELECT '{vx.FILLER_QUERY}' || (i + 1), 2, i, '' FROM (SELECT unnest(range(20)) AS i)),
+      m AS (SELECT query, min((t, o, h)) AS k FROM k GROUP BY query)
+      SELECT row_number() OVER (ORDER BY k) AS position, query FROM m ORDER BY k LIMIT 20""",
+)
 def _(t):
     return vx.fill_queries(vx.select_eval_scope(t("chunks"), 7, 8), 7, 20)
 

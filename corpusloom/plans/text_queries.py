@@ -65,10 +65,21 @@ def _(t):
     return t("benchmark").select("item_id", text.normalize_query(raw).alias("normalized"))
 
 
-@query("detect_encoding", "N6 N7 S2")
+# Bytes in four encodings, by language; ASCII texts of every other English document follow two Korean
+# words in the Korean code page.
+@query(
+    "detect_encoding",
+    "N6 N7 S2",
+    r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, text, regexp_matches(text, '[^\x00-\x7F]') AS wide FROM {documents}),
+      k AS (SELECT *, lang = 'en' AND doc_id % 2 = 1 AND NOT wide AS korean FROM d)
+      SELECT doc_id, CASE WHEN korean THEN 'cp949' WHEN lang = 'de' THEN 'utf-16' WHEN lang = 'es' THEN 'utf-8-sig' WHEN lang = 'fr' AND wide THEN 'cp1252' ELSE 'utf-8' END AS encoding,
+        lang IN ('de', 'es') AS has_bom, CAST(length(text) + CASE WHEN korean THEN 5 ELSE 0 END AS INTEGER) AS n_chars, FALSE AS is_binary FROM k""",
+)
 def _(t):
+    korean = (F.col("lang") == "en") & (F.col("doc_id") % 2 == 1) & ~F.regexp_like("text", F.lit(r"[^\x00-\x7F]"))
     content = (
-        F.when(F.col("lang") == "de", F.encode("text", "UTF-16"))
+        F.when(korean, F.concat(F.unhex(F.lit("C7D1B1DB20B1DB20")), F.encode("text", "UTF-8")))
+        .when(F.col("lang") == "de", F.encode("text", "UTF-16"))
         .when(F.col("lang") == "fr", F.encode("text", "ISO-8859-1"))
         .when(
             F.col("lang") == "es",
