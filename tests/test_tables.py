@@ -188,26 +188,26 @@ def test_percentiles_of_heavy_tails(spark):
 def test_index_upserts_touch_only_their_buckets(spark, tmp_path):
     import os
 
-    from corpusloom.sources import sinks
+    from corpusloom.sources import sinks, snapshots
 
     path = str(tmp_path / "index")
     rows = [(f"c{i}", i % 10, i) for i in range(200)]
     sinks.write_index(spark.createDataFrame(rows, "chunk_id string, users_idx bigint, n bigint"), path, buckets=8)
-    data = lambda: {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
-    files = data()
+    named = lambda: snapshots.current(spark, f"{path}/snapshots")[1]["folders"]
+    before = named()
     # One point changes, one is new, and one moves to another owner.
     update = [("c3", 3, -1), ("x", 3, 7), ("c4", 3, 4)]
     sinks.write_index(spark.createDataFrame(update, "chunk_id string, users_idx bigint, n bigint"), path, buckets=8)
     want = {r[0]: r for r in rows} | {r[0]: r for r in update}
     assert {r.chunk_id: tuple(r) for r in sinks.read_index(spark, path).collect()} == want
-    # Buckets of other owners keep their very files.
-    folders = lambda paths: {os.path.basename(os.path.dirname(p)) for p in paths}
-    rewritten = folders(data() - files)
-    assert rewritten and folders(files) - rewritten and folders(data() & files) == folders(files) - rewritten
+    # Buckets of other owners are read from where they were.
+    after = named()
+    rewritten = {b for b in after if after[b] != before.get(b)}
+    place = lambda owner: str(spark.range(1).select(sinks.owner_bucket(F.lit(owner), 8).alias("b")).first()["b"])
+    assert rewritten == {place(3), place(4)} and set(before) - rewritten and set(after) == set(before)
     own = sinks.read_index(spark, path, owners=[3])
     assert {r.chunk_id for r in own.collect()} == {k for k, r in want.items() if r[1] == 3}
-    plan = own._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "owner_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert {os.path.basename(os.path.dirname(f)) for f in own.inputFiles()} == {f"owner_bucket={place(3)}"}
 
 
 def test_index_buckets_that_an_upsert_empties_go(spark, tmp_path):
