@@ -14,6 +14,8 @@ where contents of one digest were found to differ, contents again.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,19 +114,21 @@ def exact_duplicates(
 def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; nulls and ties as in `exact_duplicates`."""
     stay = keep(_judged(docs, id_column, text, sha256_hex, SALTS).where(_is_best()))
-    stay = stay.select(F.col("id").alias("_id"), F.col("points").alias("_points"), "n", F.col("text_sha256").alias("_sha"))
+    # Names of this call's own, as the documents may have columns of any name.
+    own_id, own_points, own_sha = (f"_{name}_{uuid.uuid4().hex}" for name in ("id", "points", "sha"))
+    stay = stay.select(F.col("id").alias(own_id), F.col("points").alias(own_points), "n", F.col("text_sha256").alias(own_sha))
     once, again = stay.where("n = 1").drop("n"), stay.where("n > 1").drop("n")
     original = F.coalesce(F.col(text).cast("string"), F.lit(""))
     match = (
-        F.col(id_column).cast("long").eqNullSafe(F.col("_id"))
-        & (F.length(original) == F.col("_points"))
-        & (sha256_hex(normalised(F.col(text))) == F.col("_sha"))
+        F.col(id_column).cast("long").eqNullSafe(F.col(own_id))
+        & (F.length(original) == F.col(own_points))
+        & (sha256_hex(normalised(F.col(text))) == F.col(own_sha))
     )
     kept = docs.join(once, match, "left_semi")
     if again.isEmpty():
         return kept
     # Rows repeated with id and text: any one of them.
-    repeated = docs.join(again, match, "inner").dropDuplicates(["_id", "_sha"])
+    repeated = docs.join(again, match, "inner").dropDuplicates([own_id, own_sha])
     return kept.unionByName(repeated.select(*[repeated[c] for c in docs.columns]))
 
 

@@ -239,7 +239,8 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
 
     ``score`` is the posterior share of the predicted language. A null text, one without a
     letter, and any text under a model without languages are ``und`` with score 0. Ties go
-    to the language that sorts first. Nothing but the text takes part.
+    to the language that sorts first. Nothing but the text takes part. Repeated rows are
+    predicted each, and an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     name = f"scorer {uuid.uuid4().hex}"
@@ -259,7 +260,7 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
                 while at < len(texts) and (not group or size + len(texts[at] or "") <= GROUP_CHARS):
                     words = words_of(texts[at] or "")
                     size += len(texts[at] or "")
-                    group.append(words if languages and any(map(str.isalpha, words)) else [])
+                    group.append(words if languages and any(any(map(str.isalpha, w)) for w in words) else [])
                     at += 1
                 for words, scores in zip(group, scorer.scores_of(group)):
                     if not words:

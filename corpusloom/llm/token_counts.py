@@ -9,6 +9,7 @@ tokens remain when each document is cut at the limit.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator, Sequence
 
 import public_tokenizers
@@ -24,6 +25,12 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Lengths per block of the suffix sums; a block's rows meet in one task.
 BLOCK_LENGTHS = 4096
 
+#: Columns of a curve besides its groups.
+CURVE = (
+    "n_tokens", "docs", "tokens", "docs_from", "tokens_from", "docs_all", "tokens_all", "truncated_tokens", "quantile",
+)
+
+
 def encoding(path: str) -> tiktoken.Encoding:
     """The encoding of a rank file, loaded once a worker."""
 
@@ -130,5 +137,17 @@ def at_limits(curve: DataFrame, limits: Sequence[int], groups: Sequence[str] = (
 
 
 def token_counts(docs: DataFrame, text: str = "text", groups: Sequence[str] = (), path: str | None = None) -> DataFrame:
-    """Encode ``docs`` once and return the length curve of each group."""
-    return length_curve(length_histogram(document_lengths(docs, text, groups, path), groups), groups)
+    """Encode ``docs`` once and return the length curve of each group.
+
+    Groups named like columns of the curve are returned with ``_group`` after their names.
+    """
+    names: dict[str, str] = {}
+    for g in groups:
+        name = g
+        while name in CURVE or name in names.values():
+            name += "_group"
+        names[g] = name
+    own = f"_text_{uuid.uuid4().hex}"
+    renamed = docs.select(*[F.col(g).alias(n) for g, n in names.items()], F.col(text).alias(own))
+    grouped = list(names.values())
+    return length_curve(length_histogram(document_lengths(renamed, own, grouped, path), grouped), grouped)
