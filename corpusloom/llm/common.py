@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import sys
 import types
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +25,13 @@ MANY_WORDS = 500_000
 MEMORY_KEY_CHARS = 64
 
 #: Characters of keys, with an allowance for each entry, that a generation of a memory holds: about 50 MB.
-RECENT_CHARS = 16_000_000
+RECENT_CHARS = 24_000_000
 RECENT_ENTRY_CHARS = 100
 
+#: Texts of these only need no normaliser but lower-casing: letters, digits and signs of the Latin
+#: blocks are composed already, lower-cased one by one, and of the same class in every version of
+#: Unicode.
+LATIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*").fullmatch
 #: Letters of any script; digits of other kinds are told apart with ``str.isalpha``.
 LETTER_RUN = re.compile(r"[^\W\d_]+")
 
@@ -90,7 +97,7 @@ class RecentMemory:
     """Results by key in two generations, bounded by the characters of their keys.
 
     When the newer generation is full it becomes the older one, and what that held goes, except
-    for keys that were asked for since: those moved to the newer one. So frequent keys stay.
+    for keys that are asked for again: those move to the newer one. So frequent keys stay.
     """
 
     def __init__(self, chars: int = RECENT_CHARS):
@@ -98,24 +105,26 @@ class RecentMemory:
         self.held = 0
         self.new: dict = {}
         self.old: dict = {}
+        self.long: list = []
 
-    def known(self, wanted: set, make: Callable[[str], object]) -> dict:
-        """Results of all ``wanted`` keys; those of long keys are not remembered."""
-        found = {}
-        new, old = self.new, self.old
-        for key in wanted:
-            value = new.get(key)
-            if value is None:
-                value = old.get(key)
-                if value is None:
-                    value = make(key)
-                if len(key) <= MEMORY_KEY_CHARS:
-                    new[key] = value
-                    self.held += len(key) + RECENT_ENTRY_CHARS
-            found[key] = value
+    def known(self, wanted: set, make: Callable[[list], Iterable]) -> dict:
+        """Results by key, of all ``wanted`` keys at least, until the next call.
+
+        ``make`` gives those that are not remembered, in order. Long keys are forgotten at the next call.
+        """
+        for key in self.long:
+            del self.new[key]
         if self.held > self.chars:
-            self.old, self.new, self.held = new, {}, 0
-        return found
+            self.old, self.new, self.held = self.new, {}, 0
+        new, old = self.new, self.old
+        absent = wanted.difference(new)
+        again = absent.intersection(old)
+        new.update(zip(again, map(old.__getitem__, again)))
+        missing = list(absent.difference(again))
+        new.update(zip(missing, make(missing)))
+        self.long = [key for key in missing if len(key) > MEMORY_KEY_CHARS]
+        self.held += sum(map(len, absent)) + RECENT_ENTRY_CHARS * len(absent)
+        return new
 
 
 #: Things that a worker keeps between tasks. The one used longest ago goes for a new one, so the
@@ -123,6 +132,16 @@ class RecentMemory:
 KEPT_PER_WORKER = 2
 
 
+def give_back() -> None:
+    """Return memory that is no longer used to the system: Python's, Arrow's and the C library's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def once_per_worker(key: str, make: Callable[[], object]) -> object:
     """What ``make`` returns, made once in a Python worker and found again by its later tasks.
 
@@ -134,7 +153,27 @@ def once_per_worker(key: str, make: Callable[[], object]) -> object:
     if key in kept:
         kept[key] = kept.pop(key)  # now the latest
         return kept[key]
-    while len(kept) >= KEPT_PER_WORKER:
-        del kept[next(iter(kept))]
+    if len(kept) >= KEPT_PER_WORKER:
+        while len(kept) >= KEPT_PER_WORKER:
+            del kept[next(iter(kept))]
+        give_back()
     kept[key] = made = make()
     return made
+
+
+def text_groups(column: pa.Array, chars: int) -> Iterator[list[str]]:
+    """Texts of a column in groups of about so many characters; a longer text is its own group.
+
+    Only one group at a time is held as Python strings. A null text counts as empty.
+    """
+    group: list[str] = []
+    size = 0
+    for value in column:
+        text = value.as_py() or ""
+        if group and size + len(text) > chars:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group

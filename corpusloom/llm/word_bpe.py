@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm.common import MEMORY_KEY_CHARS, RecentMemory, once_per_worker, vocabulary
+from corpusloom.llm.common import LATIN, RecentMemory, once_per_worker, text_groups, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
 #: Parts up to which a word is merged by scanning its ranks.
@@ -34,10 +34,6 @@ SHORT_PARTS = 100
 NONE = 1 << 62
 #: An id of a pair's key fits into so many bits.
 ID_BITS = 24
-#: Texts of these only need no normaliser but lower-casing: letters, digits and signs of the Latin
-#: blocks are composed already, lower-cased one by one, and of the same class in every version of
-#: Unicode.
-LATIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*").fullmatch
 #: Between these no token reaches, as the pattern drops white space.
 GAPS = re.compile("[ \n\t\r]")
 #: Characters of text encoded together; a longer text is its own group.
@@ -153,7 +149,7 @@ class WordCodec:
     def encode(self, texts: Sequence[str]) -> Iterator[list[int]]:
         """Ids of each text. Words met before are remembered."""
         found = list(map(self.words, texts))
-        known = self.memory.known(set().union(*found), self.ids_of)
+        known = self.memory.known(set().union(*found), lambda words: map(self.ids_of, words))
         for words in found:
             yield list(chain.from_iterable(map(known.__getitem__, words)))
 
@@ -167,21 +163,6 @@ def word_codec(path: str) -> WordCodec:
     return once_per_worker(f"word codec {path}", lambda: WordCodec(path))
 
 
-def _groups(column: pa.Array) -> Iterator[list[str]]:
-    """Texts of a column in groups, so that only one group at a time is held as Python strings."""
-    group: list[str] = []
-    size = 0
-    for value in column:
-        text = value.as_py() or ""
-        if group and size + len(text) > GROUP_CHARS:
-            yield group
-            group, size = [], 0
-        group.append(text)
-        size += len(text)
-    if group:
-        yield group
-
-
 def encode_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """The id column and ``ids`` (array of ints) of each document.
 
@@ -195,7 +176,7 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "te
         own = word_codec(path)
         for batch in batches:
             at = 0
-            for group in _groups(batch.column(1)):
+            for group in text_groups(batch.column(1), GROUP_CHARS):
                 ids = pa.array(own.encode(group), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), ids], names=["id", "ids"])
                 at += len(group)
@@ -236,7 +217,7 @@ def round_trip_digests(docs: DataFrame, id_column: str = "doc_id", text: str = "
         own = word_codec(path)
         for batch in batches:
             at = 0
-            for group in _groups(batch.column(1)):
+            for group in text_groups(batch.column(1), GROUP_CHARS):
                 counts, coded, decoded = [], [], []
                 for ids in own.encode(group):
                     counts.append(len(ids))
