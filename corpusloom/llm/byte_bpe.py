@@ -279,7 +279,8 @@ def round_trip_digests(docs: DataFrame, id_column: str = "doc_id", text: str = "
 
     Returns the id column, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas)
     and ``decoded_sha256``. The ids stay in the task, where they are counted, decoded and
-    hashed; a null text counts as empty.
+    hashed; a null text counts as empty. Repeated rows are encoded each, an empty table gives no
+    rows, and other columns are not read.
     """
     path = path or vocabulary(VOCABULARY)
 

@@ -214,7 +214,7 @@ def nearest(
     ``is_query`` is a condition on ``vec_id``. Candidates are all usable rows but the query's own
     id; the score is the Euclidean distance of the original vectors. Equal distances rank the
     smaller id first. With fewer candidates than k, all are returned; empty tables and tables
-    without a query or a candidate give no rows.
+    without a query or a candidate give no rows. Other columns are not read, whatever their names.
     """
     rows = keep(usable(vectors, id_column, vector))
     count = rows.count()

@@ -248,7 +248,8 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str =
     """Score of each text, 0 to 1: the id column, ``extra`` columns, ``score`` and ``predicted``.
 
     The score is the mean over the classifiers. A null text counts as empty; an empty text
-    has the score of a text without any feature. Nothing but the text takes part.
+    has the score of a text without any feature. Nothing but the text takes part. Repeated
+    rows are scored each, and an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     name = f"toxicity {uuid.uuid4().hex}"
