@@ -11,6 +11,8 @@ their place by rank: the r-th piece of a length takes the r-th slot of that leng
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm.common import MANY_WORDS, MEMORY_KEY_CHARS, Memory, keep, once_per_worker, vocabulary
+from corpusloom.llm.common import LATIN, RecentMemory, keep, once_per_worker, text_groups, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -30,6 +32,9 @@ RANK_BLOCK_ROWS = 20_000
 #: Characters between which no token of this vocabulary reaches: its pattern drops white
 #: space, and these are white space to every part of the tokenizer.
 GAPS = ("\n", "\t", "\r")
+#: Signs before which a word ends, unless they stand in a run of signs, which may be one token.
+STOPS = (",", ".", ";", ":", "!", "?")
+RUN_OF_SIGNS = re.compile("[^\\w\\s][,.;:!?]|_[,.;:!?]").search
 #: A special token of the vocabulary, which cuts a text before anything else is done to it.
 SEPARATOR = "<|endoftext|>"
 #: Words joined into a text, and texts tokenised in one call.
@@ -38,14 +43,17 @@ TEXTS_PER_CALL = 200
 
 
 class WordTokenizer:
-    """Ids of a text as little-endian 32-bit integers, from the ids of its words."""
+    """Ids of a text as little-endian 32-bit integers, from the ids of its words.
+
+    The names of special tokens in a text are these tokens, as for the library itself.
+    """
 
     def __init__(self, path: str):
+        # Tasks share the cores already; threads of the library's own would only add to them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.joined = Tokenizer.from_file(path)
-        self.separator = self.joined.token_to_id(SEPARATOR)
-        self.memory = Memory(MANY_WORDS)
+        self.separator = self.tokenizer.token_to_id(SEPARATOR)
+        self.memory = RecentMemory()
 
     def _bytes_of(self, words: Sequence[str]) -> Iterator[bytes]:
         """Ids of each word. Words go to the tokenizer many at a time, with its end token between."""
@@ -56,30 +64,34 @@ class WordTokenizer:
         found: list[bytes] = []
         for k in range(0, len(groups), TEXTS_PER_CALL):
             texts = [SEPARATOR.join(g) for g in groups[k : k + TEXTS_PER_CALL]]
-            for group, e in zip(groups[k:], self.joined.encode_batch_fast(texts, add_special_tokens=False)):
+            for group, e in zip(groups[k:], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, "<u4")
                 cuts = np.flatnonzero(ids == self.separator)
                 raw, size = ids.tobytes(), len(ids)
                 starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), size]
                 assert len(starts) == len(group)
                 found.extend(raw[4 * a : 4 * b] for a, b in zip(starts, ends))
+        if not alone:
+            return iter(found)
         rest = iter(found)
-        for w in words:
-            yield alone[w] if w in alone else next(rest)
+        return (alone[w] if w in alone else next(rest) for w in words)
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
+    def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
         found = []
         for text in texts:
             for gap in GAPS:
                 text = text.replace(gap, " ")
+            # The fewer different words there are, the fewer have to be tokenised: a Latin text can be
+            # lower-cased here as well as later, and signs after a word be words of their own.
+            if LATIN(text) and "<|" not in text:
+                text = text.lower()
+                if not RUN_OF_SIGNS(text):
+                    for stop in STOPS:
+                        text = text.replace(stop, " " + stop)
             found.append(text.split(" "))
-        wanted = list(self.memory.missing(set().union(*found)))
-        known, long = self.memory.known, {}
-        for word, ids in zip(wanted, self._bytes_of(wanted)):
-            (known if len(word) <= MEMORY_KEY_CHARS else long)[word] = ids
-        if long:
-            return [b"".join(known[w] if w in known else long[w] for w in words) for words in found]
-        return [b"".join(map(known.__getitem__, words)) for words in found]
+        known = self.memory.known(set().union(*found), self._bytes_of)
+        for words in found:
+            yield b"".join(map(known.__getitem__, words))
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -106,15 +118,10 @@ def document_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_tokenizer(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) <= GROUP_CHARS):
-                    size += len(texts[upto])
-                    upto += 1
+            for group in text_groups(batch.column(1), GROUP_CHARS):
                 row, start, length, crc, total = [], [], [], [], []
-                for k, ids in enumerate(own.encode(texts[at:upto]), at):
+                for k, ids in enumerate(own.encode(group), at):
                     ids += end
                     n = len(ids) // 4
                     for s in range(0, n, capacity):
@@ -129,7 +136,7 @@ def document_pieces(
                     [batch.column(0).take(pa.array(row, pa.int64())), *longs],
                     names=["id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
-                at = upto
+                at += len(group)
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"

@@ -102,7 +102,6 @@ def test_round_trip_digests(docs, spark):
 def test_word_ids_equal_the_public_library():
     own = packing.WordTokenizer(vocabulary(packing.VOCABULARY))
     whole = Tokenizer.from_file(vocabulary(packing.VOCABULARY))
-    whole.encode_special_tokens = True
     texts = [t or "" for t in ODD] + ["a<|endoftext|>b <|startoftext|>", "Σσς ά", "x\x0b\x0cy"]
     for text, ids in zip(texts, own.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
@@ -122,7 +121,6 @@ def test_plans_hold_each_piece_once(histogram):
 
 def test_packing(docs):
     whole = Tokenizer.from_file(vocabulary(packing.VOCABULARY))
-    whole.encode_special_tokens = True
     rows = packing.pack_documents(docs, capacity=256).collect()
     want = Counter()
     for r in docs.collect():
@@ -207,3 +205,33 @@ def test_held_out_language_accuracy(spark):
     got = language_id.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(fold_of("doc_id", 5) == 0)
     rows = got.collect()
     assert len(rows) > 100 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.98
+
+
+def packed_one_by_one(histogram, capacity):
+    """Fill of each pack when pieces go, longest first, each into the pack that is filled least."""
+    fills = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            least = min(range(len(fills)), key=fills.__getitem__, default=None)
+            if least is None or fills[least] + length > capacity:
+                fills.append(length)
+            else:
+                fills[least] += length
+    return sorted(fills)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 32), st.integers(1, 15), max_size=10))
+def test_plans_follow_the_shortest_pack_first_rule(histogram):
+    plan = packing.plan_packs(histogram, 32)
+    assert sorted(sum(p) for n, p in plan for _ in range(n)) == packed_one_by_one(histogram, 32)
+
+
+def test_packing_reads_special_names_as_the_library(spark):
+    whole = Tokenizer.from_file(vocabulary(packing.VOCABULARY))
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|> Word, word. it's 3,5 a,.b É,È", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.ids_crc32, r.doc_tokens) for r in packing.document_pieces(docs).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert got[i] == (zlib.crc32(ids.tobytes()), len(ids))
