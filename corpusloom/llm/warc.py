@@ -332,7 +332,9 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = False) -> Data
                     yield _batch(rows, payloads)
 
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, problem string"
-    return files.select("file").repartition(F.col("file")).mapInArrow(run, schema + (", payload binary" if payloads else ""))
+    # A number that is given is kept; without one, so few rows would be put into one task.
+    spread = files.select("file").repartition(max(1, files.count()), F.col("file"))
+    return spread.mapInArrow(run, schema + (", payload binary" if payloads else ""))
 
 
 def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
