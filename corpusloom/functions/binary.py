@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,9 @@ from corpusloom.constants import (
 )
 from corpusloom.functions.text import strip
 
+_WORD = re.compile(r"[^\W\d_]+")
+_ASCII_LETTER = re.compile("[A-Za-z]")
+
 
 def _starts(content: Column, prefixes_hex) -> Column:
     # The longest prefix is 8 bytes; comparing hex text keeps this a plain string test.
@@ -85,25 +89,65 @@ def media_type_problem(declared: Column, family: Column) -> Column:
     )
 
 
-def _hangul(text: str) -> int:
-    return sum("가" <= ch <= "힣" for ch in text)
+def _is_hangul(ch: str) -> bool:
+    return "가" <= ch <= "힣"
+
+
+def _western_words(payload: bytes) -> bytearray:
+    """Marks the bytes of words that read well as Windows Latin.
+
+    Such a word is cased like a word and holds an ASCII letter, or begins with a capital and goes on in small letters.
+    """
+    marks = bytearray(len(payload))
+    try:
+        western = payload.decode("cp1252")
+    except UnicodeDecodeError:
+        return marks
+    if not _ASCII_LETTER.search(western):
+        return marks
+    for word in _WORD.finditer(western):
+        w = word.group()
+        capital = w[0].isupper() and w[1:].islower()
+        if capital or ((w.islower() or w.isupper()) and _ASCII_LETTER.search(w)):
+            marks[word.start() : word.end()] = b"\x01" * len(w)
+    return marks
+
+
+def _reads_korean(payload: bytes) -> bool:
+    """Whether the Korean code page yields a Hangul syllable that is not two letters of a Western word."""
+    try:
+        text = payload.decode("cp949")
+    except UnicodeDecodeError:
+        return False
+    western, at = None, 0
+    for ch in text:
+        if ch < "\x80":
+            at += 1
+            continue
+        if _is_hangul(ch):
+            # Bytes below 0xC0 are no letters, so most syllables need no look at words.
+            if payload[at + 1] < 0xC0 or payload[at] < 0xC0:
+                return True
+            western = _western_words(payload) if western is None else western
+            if not (western[at] and western[at + 1]):
+                return True
+        at += 2
+    return False
 
 
 def _guess_encoding(payload: bytes) -> str:
     """Encoding of bytes that carry no byte order mark and are not UTF-8.
 
     The Western single-byte guess loses to the Korean code page when that decodes and
-    yields more Hangul syllables.
+    yields Hangul syllables that are no accents of Western words.
     """
-    guesses = []
-    for name in ("cp949", "cp1252"):
-        try:
-            guesses.append((_hangul(payload.decode(name)), name))
-        except UnicodeDecodeError:
-            continue
-    if guesses and max(guesses)[0] > 0:
-        return max(guesses)[1]
-    return "cp1252" if any(name == "cp1252" for _, name in guesses) else "latin-1"
+    if _reads_korean(payload):
+        return "cp949"
+    try:
+        payload.decode("cp1252")
+        return "cp1252"
+    except UnicodeDecodeError:
+        return "latin-1"
 
 
 def _guess(s: pd.Series) -> pd.Series:

@@ -121,6 +121,13 @@ def test_encodings(spark):
     assert out["cp949"][1] == "안녕하세요 문서입니다" and out["utf-16"][1] == "abc"
 
 
+def test_accents_that_are_also_hangul():
+    for western in ("Çèen en vich de.", "Èçvi de, ççle oieuxan", "ÉTÉ ÇÈEN EN VICH", "Çè en vich"):
+        assert binary._guess_encoding(western.encode("latin-1")) == "cp1252"
+    for korean in ("한글 글 plain words", "한 file", "의", "file의", "희", "문서는 PDF를"):
+        assert binary._guess_encoding(korean.encode("cp949")) == "cp949"
+
+
 def test_sniff(spark):
     rows = [
         (b"%PDF-1.4 x", "PDF"),
