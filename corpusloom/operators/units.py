@@ -138,14 +138,18 @@ def range_to_row_index(ranges: DataFrame, sheet: list[str], name: str = "name")
     return rows.groupBy(*sheet, "row").agg(names.getField(name).alias("names"))
 
 
-def value_to_text(value: Column, data_type: str) -> Column:
-    """Cell value as text: ISO dates, TRUE/FALSE, empty for null."""
+def value_to_text(value: Column, data_type: str, timespec: str = "auto") -> Column:
+    """Cell value as text: ISO dates, TRUE/FALSE, empty for null.
+
+    ``timespec`` is that of Python's ``isoformat``: by default a whole second has no fraction, with
+    ``microseconds`` it has six zeros.
+    """
     if data_type == "boolean":
         text = F.when(value, F.lit("TRUE")).otherwise(F.lit("FALSE"))
     elif data_type.startswith("timestamp"):
         whole = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
         exact = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-        text = F.when(F.endswith(exact, F.lit(".000000")), whole).otherwise(exact)
+        text = exact if timespec == "microseconds" else F.when(F.endswith(exact, F.lit(".000000")), whole).otherwise(exact)
     elif data_type == "date":
         text = F.date_format(value, "yyyy-MM-dd")
     else:

@@ -267,7 +267,7 @@ def _(t):
     number = F.when(F.col("event_type") != "view", F.col("value"))
     return t("events").select(
         "event_id",
-        units.value_to_text(F.col("ts"), "timestamp_ntz").alias("ts_text"),
+        units.value_to_text(F.col("ts"), "timestamp_ntz", "microseconds").alias("ts_text"),
         units.value_to_text(F.col("value") > 10, "boolean").alias("flag_text"),
         units.value_to_text(number, "double").alias("number_text"),
         units.value_to_text(F.to_date("ts"), "date").alias("day_text"),

@@ -1,4 +1,5 @@
 import re
+import tempfile
 import unicodedata
 
 import pytest
@@ -166,3 +167,19 @@ def test_masks_of_any_type(spark):
     assert r.users == {"db_user": "[REDACTED]", "x": '{"v":"a"}'}
     assert r.v == '{"a":[{"my_api_key":"[REDACTED]","my_token":"[REDACTED]","n":null}],"t":"password=[REDACTED] ok"}'
     assert r.none is None
+
+
+def test_whole_seconds_as_text(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from corpusloom.operators.units import value_to_text
+
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT * FROM (VALUES (1, TIMESTAMP '2024-01-09 22:58:04', 'click', 11.5::DOUBLE)) e(event_id, ts, event_type, value)")
+    con.execute(f"COPY events TO '{path}/events.parquet' (FORMAT parquet)")
+    got = entry.queries()["value_to_text"](spark, path)
+    assert [tuple(r) for r in got.collect()] == con.execute(entry.oracle_sql()["value_to_text"]).fetchall()
+    auto = spark.read.parquet(f"{path}/events.parquet").select(value_to_text(F.col("ts"), "timestamp_ntz"))
+    assert auto.first()[0] == "2024-01-09T22:58:04"
