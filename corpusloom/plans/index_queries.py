@@ -418,7 +418,8 @@ def _(t):
 )
 def _(t):
     path = scratch(t, "texts")
-    t("documents").select("lang", "text").write.partitionBy("lang").text(path)
+    # A file is one document for the reader, as long as an upload may be; its size must not grow with the table.
+    t("documents").select("lang", "text").write.option("maxRecordsPerFile", 1000).partitionBy("lang").text(path)
     good, bad = readers.read_text_files(t.spark, f"{path}/*/*.txt")
     both = good.select("path", F.length("text").alias("n"), F.lit(0).alias("bad")).unionByName(
         bad.select("path", F.lit(0).alias("n"), F.lit(1).alias("bad"))

@@ -90,3 +90,19 @@ def test_csv_with_byte_order_mark(spark):
     good, rejects = readers.read_request_records(spark, path)
     assert good.first()["success"] is True and good.first()["error_type"] is None and good.count() == 1
     assert [r["bad_column"] for r in rejects.collect()] == ["success"]
+
+
+def test_text_files_stay_small(spark):
+    import glob
+
+    import __spark_entry__ as entry
+    from corpusloom.session import ensure_checkpoint_dir
+
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.lit("en").alias("lang"))
+    docs.coalesce(1).write.parquet(f"{path}/documents.parquet")
+    shared = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{shared}/texts-*"))
+    assert [tuple(r) for r in entry.queries()["read_text_files"](spark, path).collect()] == [("en", 10000, 0)]
+    (folder,) = set(glob.glob(f"{shared}/texts-*")) - before
+    assert [r["n"] for r in spark.read.text(f"{folder}/*/*.txt").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).orderBy("n").collect()] == [500, 1000, 1000]
