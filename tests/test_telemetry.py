@@ -119,3 +119,12 @@ def test_failures(spark):
     df = spark.createDataFrame(rows, "request_id int, success boolean, error_type string, error_message string")
     df = df.select("*", F.monotonically_increasing_id().alias("request_index"), F.lit("search").alias("operation"), F.lit(500).alias("status_code"), F.lit(1.0).alias("duration_ms"))
     assert {(r["category"], r["request_id"]) for r in tm.classify_failures(df).collect()} == {("timeout", 1), ("oom", 2)}
+
+
+def test_cells_are_not_broadcast(spark):
+    spans = spark.createDataFrame([(1, 0, 50), (2, 40, 40)], "event_id long, start_us long, end_us long")
+    samples = spark.createDataFrame([(10, 1.0), (40, 3.0)], "at_us long, m double")
+    out = intervals.interval_stats(spans, samples, ["event_id"], "start_us", "end_us", "at_us", ["m"], 1000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_level" in plan and "HashJoin [_level" not in plan
+    assert {r["event_id"]: (r["sample_count"], r["m_mean"]) for r in out.collect()} == {1: (2, 2.0), 2: (1, 3.0)}
