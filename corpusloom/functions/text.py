@@ -8,6 +8,8 @@ rows that hold non-ASCII text.
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -102,9 +104,26 @@ def normalize_query(c: Column) -> Column:
 
 
 def is_synthesis_query(c: Column) -> Column:
-    """True when the normalised query asks to compare or combine several documents."""
-    q = normalize_query(c)
-    return F.array_contains(F.array(*[q.rlike(p) for p in SYNTHESIS_PATTERNS]), True)
+    """True when the normalised query asks to compare or combine several documents.
+
+    The one-element array holds the normalised text: inside a condition each pattern would normalise it again.
+    """
+    korean = [p for p in SYNTHESIS_PATTERNS if any("가" <= ch <= "힣" for ch in p)]
+    english = [p for p in SYNTHESIS_PATTERNS if p not in korean]
+    # What a pattern cannot match without is looked for first; it spares the slow patterns most texts.
+    summed = [p for p in english if "analy" in p]
+
+    def asks(q: Column) -> Column:
+        def matches(patterns: list[str]) -> Column:
+            return reduce(or_, [q.rlike(p) for p in patterns])
+
+        return (
+            (q.rlike("[가-힣]") & matches(korean))
+            | matches([p for p in english if p not in summed])
+            | ((q.contains("summar") | q.contains("analy")) & matches(summed))
+        )
+
+    return F.exists(F.array(normalize_query(c)), asks)
 
 
 def single_line(c: Column) -> Column:

@@ -183,3 +183,15 @@ def test_whole_seconds_as_text(spark):
     assert [tuple(r) for r in got.collect()] == con.execute(entry.oracle_sql()["value_to_text"]).fetchall()
     auto = spark.read.parquet(f"{path}/events.parquet").select(value_to_text(F.col("ts"), "timestamp_ntz"))
     assert auto.first()[0] == "2024-01-09T22:58:04"
+
+
+def test_synthesis_normalises_once(spark):
+    asked = {
+        "각 파일": True, "모든 문서를 요약해": True, "파일 목록": False, "Compare  both": True, "SUMMARIZE each\nof the files": True,
+        "all files, an analysis": True, "summary of it": False, "comparer": False, "": False, None: None,
+    }
+    df = spark.createDataFrame([(q,) for q in asked], "q string").select("q", text.is_synthesis_query(F.col("q")).alias("got"))
+    assert {r["q"]: r["got"] for r in df.collect()} == asked
+    kind = F.when((F.length("q") > 1) & text.is_synthesis_query(F.col("q")), 1).alias("kind")
+    plan = spark.range(1).select(F.col("id").cast("string").alias("q")).select(kind)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(lower(") == 1
