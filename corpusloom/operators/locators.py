@@ -55,7 +55,7 @@ def meta_fields(meta: Column, keys) -> Column:
     return F.try_variant_get(meta, "$", f"struct<{names}>")
 
 
-def as_int(value: Column, minimum: int) -> Column:
+def as_int(value: Column, minimum: int | Column) -> Column:
     """A JSON integer of at least ``minimum``; booleans, fractions and texts give null."""
     is_int = F.schema_of_variant(value) == "BIGINT"
     number = F.when(is_int, F.try_variant_get(value, "$", "bigint"))
@@ -65,8 +65,7 @@ def as_int(value: Column, minimum: int) -> Column:
 def as_float(value: Column) -> Column:
     """A finite JSON number; booleans and texts give null."""
     kind = F.schema_of_variant(value)
-    is_number = (kind == "BIGINT") | (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))
-    number = F.when(is_number, F.try_variant_get(value, "$", "double"))
+    number = F.when(kind.rlike("^(BIGINT$|DOUBLE$|DECIMAL)"), F.try_variant_get(value, "$", "double"))
     return F.when(F.abs(number) < float("inf"), number)
 
 
@@ -115,35 +114,43 @@ def build_source_locator(
     Metadata wins; the legacy columns fill the gaps.
     """
     none_int, none_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
-    kind_of = F.lower(strip(file_type))
-    int_keys = [k for keys, _ in INT_FIELDS.values() for k in keys]
-    df = df.withColumn("_i", meta_fields(meta, [*int_keys, *TEXT_FIELDS, *_OTHER_KEYS]))
+    lows = {k: low for keys, low in INT_FIELDS.values() for k in keys}
+    lows |= {"page_number": 1, "page": 1, "slide_number": 1, "slide_no": 1, "sheet_number": 1, "sheet_index": 0}
+    text_keys = [*TEXT_FIELDS, "sheet_name", "section_title", "content_origin", "location_kind", "structure_path"]
+    given = df.columns
+    df = df.withColumn("_i", meta_fields(meta, [*lows, *TEXT_FIELDS, *_OTHER_KEYS]))
     m = F.col("_i")
-    f = {name: first_int(m, keys, low) for name, (keys, low) in INT_FIELDS.items()}
-    f |= {name: as_text(m[name]) for name in TEXT_FIELDS}
-    f["file_type"] = kind_of
-    f["page"] = F.coalesce(first_int(m, ("page_number", "page"), 1), none_int if page is None else page)
-    f["slide_no"] = F.coalesce(
-        first_int(m, ("slide_number", "slide_no"), 1), none_int if slide_no is None else slide_no
+    # Each value is read once into a column; fields of a struct would be put back, with their reads, into all that uses them.
+    # The texts are one array: a lambda keeps this step out of the one long generated method that the JVM would not compile.
+    df = df.withColumns(
+        {f"_n_{k}": F.when(F.schema_of_variant(m[k]) == "BIGINT", F.try_variant_get(m[k], "$", "bigint")) for k in lows}
+        | {"_s": F.transform(F.array(*[as_string(m[k]) for k in text_keys]), strip), "_file_type": F.lower(strip(file_type))}
     )
-    f["sheet_name"] = F.coalesce(as_text(m["sheet_name"]), none_text if sheet_name is None else sheet_name)
-    f["section_title"] = F.coalesce(
-        as_text(m["section_title"]), none_text if section_title is None else section_title
-    )
-    f["sheet_number"] = F.coalesce(
-        first_int(m, ("sheet_number",), 1), first_int(m, ("sheet_index",), 0) + 1
-    )
-    ocr = (as_text(m["content_origin"]) == "ocr") | (f["unit_type"] == "ocr_image")
+
+    def number(*keys: str) -> Column:
+        return F.coalesce(*[F.when(F.col(f"_n_{k}") >= lows[k], F.col(f"_n_{k}")) for k in keys])
+
+    def words(key: str) -> Column:
+        return F.nullif(F.get("_s", F.lit(text_keys.index(key))), F.lit(""))
+
+    f = {name: number(*keys) for name, (keys, _) in INT_FIELDS.items()}
+    f |= {name: words(name) for name in TEXT_FIELDS}
+    f["file_type"] = F.col("_file_type")
+    f["page"] = F.coalesce(number("page_number", "page"), none_int if page is None else page)
+    f["slide_no"] = F.coalesce(number("slide_number", "slide_no"), none_int if slide_no is None else slide_no)
+    f["sheet_name"] = F.coalesce(words("sheet_name"), none_text if sheet_name is None else sheet_name)
+    f["section_title"] = F.coalesce(words("section_title"), none_text if section_title is None else section_title)
+    f["sheet_number"] = F.coalesce(number("sheet_number"), number("sheet_index") + 1)
+    ocr = (words("content_origin") == "ocr") | (f["unit_type"] == "ocr_image")
     f["content_origin"] = F.when(ocr, F.lit("ocr")).otherwise(F.lit("text"))
     f["ocr_mean_confidence"] = as_float(m["ocr_mean_confidence"])
     f["cell_coordinates"] = as_texts(m["cell_coordinates"])
     f["merged_cell_ranges"] = F.coalesce(as_texts(m["merged_cell_ranges"]), as_texts(m["merged_ranges"]))
     f["image_index"] = f["image_ordinal"]
 
-    # Fields first, so that what depends on them reads columns instead of repeating reads.
-    fields = df.withColumn("_l", F.struct(*[c.alias(n) for n, c in f.items()]))
-    loc = F.col("_l")
-    declared = as_text(m["location_kind"])
+    fields = df.withColumns({f"_l_{n}": c for n, c in f.items()})
+    loc = {n: F.col(f"_l_{n}") for n in f}
+    declared = words("location_kind")
     kind = F.coalesce(
         F.when(declared.isin(*LOCATOR_KINDS), declared),
         F.when(loc["file_type"] == "pdf", F.lit("pdf_page"))
@@ -176,9 +183,9 @@ def build_source_locator(
         )
         .when(loc["file_type"] == "txt", lines)
     )
-    path = F.coalesce(as_text(m["structure_path"]), fallback)
-    full = loc.withField("kind", kind).withField("structure_path", path)
-    return fields.withColumn(out, full).drop("_l", "_i")
+    path = F.coalesce(words("structure_path"), fallback)
+    full = F.struct(*[c.alias(n) for n, c in loc.items()], kind.alias("kind"), path.alias("structure_path"))
+    return fields.withColumn(out, full).select(*given, *([] if out in given else [out]))
 
 
 def validate_locator(df: DataFrame, keys: list[str], loc: str = "locator") -> DataFrame:
