@@ -90,7 +90,8 @@ def normalize_noisy_text(c: Column, max_chars: int) -> Column:
     t = _sub(t, r" +([,.;:!?%)\]}])", "$1")
     t = _sub(t, r"([(\[{]) +", "$1")
     t = strip(_sub(t, "\n{3,}", "\n\n"))
-    return F.when(F.length(t) <= max_chars, t).otherwise(rstrip(F.left(t, F.lit(max_chars))))
+    # A short text is stripped already, so no condition is needed that would repeat all steps.
+    return rstrip(F.left(t, F.lit(max_chars)))
 
 
 def normalize_query(c: Column) -> Column:

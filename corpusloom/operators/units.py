@@ -351,7 +351,10 @@ def recognised_lines_to_text(
         F.count("*").alias("line_count"),
     )
     text = normalize_noisy_text(F.array_join(F.col("l.text"), "\n"), max_chars)
-    return texts.select(*image, text.alias("text"), "mean_confidence", "line_count").where(F.col("text") != "")
+    repaired = texts.select(*image, text.alias("_text"), "mean_confidence", "line_count")
+    # A filter would move below the repair and repeat it; an explode stays.
+    text = F.explode(F.filter(F.array("_text"), lambda x: x != "")).alias("text")
+    return repaired.select(*image, text, "mean_confidence", "line_count")
 
 
 def context_text(parts: list[Column], max_chars: int) -> Column:
