@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from corpusloom import schemas
 from corpusloom.plans.derived import DERIVED
 from corpusloom.plans.index_queries import _META_IN, _META_SQL, _SYNC_IN, _SYNCED, scratch
-from corpusloom.plans.registry import Tables, query
+from corpusloom.plans.registry import Tables, by_order, query
 from corpusloom.plans.telemetry_queries import _SOAK, soak_columns
 from corpusloom.plans.text_queries import _REDACT_SQL
 from corpusloom.streaming import admission, callbacks, soak, upserts, windows
@@ -192,10 +192,11 @@ def _(t):
 @query("versioned_chunk_stream", "X7 L13", _SYNCED)
 def _(t):
     path = scratch(t, "sync")
-    base = t("chunks").select("file_idx", F.col("index_version").cast("long").alias("index_version"), "chunk_index", "chunk_id")
-    fn = upserts.versioned_chunk_batch(base, path, scratch(t, "outcomes"), compact_every=2)
+    dealt, n = by_order(t)
+    base = dealt("chunks").select("file_idx", F.col("index_version").cast("long").alias("index_version"), "chunk_index", "chunk_id")
+    fn = upserts.versioned_chunk_batch(base, path, scratch(t, "outcomes"), compact_every=2, partitions=n)
     _for_each(t, t.sql(_SYNC_IN), ["file_idx"], "sync", fn)
-    return upserts.chunk_state(base, path)
+    return upserts.chunk_state(base, path, n)
 
 
 @query("versioned_metadata_stream", "X8 L15", _META_SQL)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.operators.dealing import deal
 from corpusloom.operators.index import metadata_version_upsert, stale_version_guard
 from corpusloom.operators.ordered import running_max
 from corpusloom.sources import snapshots
@@ -67,42 +68,54 @@ def _maybe_compact(spark: SparkSession, path: str, schema: T.StructType, batch:
         compact(spark, path, schema, batch, resolve)
 
 
-def _newest_version(log: DataFrame) -> DataFrame:
+def _newest_version(partitions: int | None) -> Resolve:
     """Of each file the rows of its highest version, of equal ones those of the later batch."""
-    best = log.groupBy("file_idx").agg(F.max(F.struct("index_version", "batch")).alias("_v"))
-    best = best.select("file_idx", "_v.index_version", "_v.batch")
-    return log.join(best, ["file_idx", "index_version", "batch"], "left_semi")
+
+    def resolve(log: DataFrame) -> DataFrame:
+        keys = ["file_idx", "index_version", "batch"]
+        best = deal(log.select(*keys), ["file_idx"], partitions).groupBy("file_idx").agg(F.max(F.struct("index_version", "batch")).alias("_v"))
+        best = best.select("file_idx", "_v.index_version", "_v.batch")
+        return deal(log, keys, partitions).join(deal(best, keys, partitions), keys, "left_semi")
+
+    return resolve
 
 
-def chunk_state(base: DataFrame, path: str) -> DataFrame:
+def chunk_state(base: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
     """Chunks after all batches.
 
     The log holds accepted documents only, so a logged file is replaced by its highest
     logged version (of equal ones by the later batch); other files are untouched.
+    ``partitions`` is the number that rows are dealt into by file.
     """
-    current = _newest_version(read_log(base.sparkSession, path, base.schema)).select(*base.columns)
-    return base.join(current.select("file_idx"), "file_idx", "left_anti").select(*base.columns).unionByName(current)
+    current = _newest_version(partitions)(read_log(base.sparkSession, path, base.schema)).select(*base.columns)
+    logged = deal(current.select("file_idx").distinct(), ["file_idx"], partitions)
+    kept = deal(base, ["file_idx"], partitions).join(logged, "file_idx", "left_anti")
+    return kept.select(*base.columns).unionByName(current)
 
 
 def versioned_chunk_batch(
-    base: DataFrame, path: str, outcomes: str, compact_every: int = COMPACT_EVERY
+    base: DataFrame, path: str, outcomes: str, compact_every: int = COMPACT_EVERY, partitions: int | None = None
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that applies synchronised chunks and counts the outcomes.
 
     The batch is reduced to the highest version of each file first. Stale documents are
-    counted and not stored; only versions are read from the state for that.
+    counted and not stored; only versions are read from the state for that. ``partitions`` is the number
+    that rows are dealt into by file.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        _maybe_compact(base.sparkSession, path, base.schema, batch_id, compact_every, _newest_version)
-        counted = batch.groupBy("file_idx", "index_version").agg(F.count("*").alias("n_chunks"))
+        _maybe_compact(base.sparkSession, path, base.schema, batch_id, compact_every, _newest_version(partitions))
+        counted = deal(batch.select("file_idx", "index_version"), ["file_idx"], partitions)
+        counted = counted.groupBy("file_idx", "index_version").agg(F.count("*").alias("n_chunks"))
         newest = counted.groupBy("file_idx").agg(F.max_by(F.struct("index_version", "n_chunks"), "index_version").alias("v"))
         log = read_log(base.sparkSession, path, base.schema).where(F.col("batch") < batch_id)
         versions = base.select("file_idx", "index_version").unionByName(log.select("file_idx", "index_version"))
+        versions = deal(versions, ["file_idx"], partitions)
         judged = stale_version_guard(versions, newest.select("file_idx", "v.*"))
         judged.groupBy("outcome").agg(F.count("*").alias("files")).write.mode("overwrite").parquet(f"{outcomes}/batch={batch_id}")
-        stored = judged.where("outcome = 'STORED'").select("file_idx", "index_version")
-        rows = batch.join(stored, ["file_idx", "index_version"], "left_semi").select(*base.columns)
+        keys = ["file_idx", "index_version"]
+        stored = deal(judged.where("outcome = 'STORED'").select(*keys), keys, partitions)
+        rows = deal(batch, keys, partitions).join(stored, keys, "left_semi").select(*base.columns)
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return run
