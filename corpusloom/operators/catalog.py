@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import escape_like, file_extension, strip
 from corpusloom.operators.chunks import reject_rows
+from corpusloom.operators.dealing import deal
 from corpusloom.operators.ordered import ordered_fold
 
 # Upload limits and metadata limits.
@@ -440,13 +441,16 @@ def cascade_delete(deleted: DataFrame, tables: dict[str, DataFrame]) -> dict[str
     return {name: df.join(ids, "file_idx", "left_anti") for name, df in tables.items()}
 
 
-def owned_row_counts(owned: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows that each table still holds for a set of (user, file) owners, with the total."""
+def owned_row_counts(owned: DataFrame, tables: dict[str, DataFrame], partitions: int | None = None) -> DataFrame:
+    """Rows that each table still holds for a set of (user, file) owners, with the total.
+
+    ``partitions`` is the number that rows are dealt into by owner.
+    """
     keys = ["users_idx", "file_idx"]
-    ids = owned.select(*keys).distinct()
+    ids = deal(owned.select(*keys), keys, partitions).distinct()
     parts = None
     for name, df in tables.items():
-        hit = df.select(*keys).join(ids, keys, "left_semi").agg(F.count("*").alias("row_count"))
+        hit = deal(df.select(*keys), keys, partitions).join(ids, keys, "left_semi").agg(F.count("*").alias("row_count"))
         row = hit.select(F.lit(name).alias("table_name"), "row_count")
         parts = row if parts is None else parts.unionByName(row)
     total = parts.agg(F.sum("row_count").alias("row_count")).select(F.lit("total").alias("table_name"), "row_count")

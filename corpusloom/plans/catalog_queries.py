@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import catalog as ct
 from corpusloom.operators import tasks as tk
 from corpusloom.operators import trees as tr
-from corpusloom.plans.registry import Tables, query
+from corpusloom.plans.registry import Tables, by_order, query
 
 NOW = "TIMESTAMP '2000-01-01 00:00:00'"
 
@@ -431,7 +431,8 @@ def _(t):
 )
 def _(t):
     owned = t("files").where("deleted_at IS NOT NULL")
-    return ct.owned_row_counts(owned, {"chunks": t("chunks"), "runs": t("index_runs")})
+    dealt, n = by_order(t)
+    return ct.owned_row_counts(owned, {"chunks": dealt("chunks"), "runs": dealt("index_runs")}, n)
 
 
 @query("folder_closure", "T1", _CLOSURE + " SELECT ancestor, descendant, depth FROM cl")

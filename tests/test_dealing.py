@@ -17,6 +17,14 @@ def dealt(spark, monkeypatch):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_owned_row_counts_are_dealt(dealt):
+    """The counts are single rows, so the plan tells how their join was dealt."""
+    plan = entry.queries()["owned_row_counts"](dealt, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    lines = dealt.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    n = dealing.partitions_for(dealt, lines)
+    assert n >= lines // 400 and f"RepartitionByExpression [users_idx" in plan and f", {n}" in plan
+
+
 @pytest.mark.parametrize(
     "name",
     [
