@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
 from corpusloom.operators.chunks import reject_rows
+from corpusloom.operators.dealing import deal
 from corpusloom.operators.ordered import running_max
 
 IDENTITY = ["file_idx", "users_idx", "file_hash", "parser_version", "embedding_model", "index_version"]
@@ -165,12 +166,14 @@ def newest_runs(runs: DataFrame, keys: list[str] = OWNER) -> DataFrame:
     return runs.groupBy(*keys).agg(F.max("run_id").alias("newest_run"))
 
 
-def mark_success_if_current(runs: DataFrame, finished: DataFrame) -> DataFrame:
+def mark_success_if_current(runs: DataFrame, finished: DataFrame, partitions: int | None = None) -> DataFrame:
     """Finished runs become SUCCESS when RUNNING and no newer run of (user, file) exists.
 
-    ``finished``: run_id, finished_at.
+    ``finished``: run_id, finished_at. ``partitions`` is the number that runs are dealt into by owner and by run.
     """
-    df = runs.join(newest_runs(runs), OWNER).join(finished.select("run_id", F.col("finished_at").alias("_at")), "run_id", "left")
+    df = deal(runs, OWNER, partitions).join(newest_runs(deal(runs, OWNER, partitions)), OWNER)
+    at = finished.select("run_id", F.col("finished_at").alias("_at"))
+    df = deal(df, ["run_id"], partitions).join(deal(at, ["run_id"], partitions), "run_id", "left")
     ok = F.col("_at").isNotNull() & (F.col("status") == "RUNNING") & (F.col("run_id") == F.col("newest_run"))
     return df.select(
         *[c for c in runs.columns if c not in ("status", "finished_at")],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import index as ix
 from corpusloom.operators import quality as dq
-from corpusloom.plans.registry import Tables, query
+from corpusloom.plans.registry import Tables, by_order, query
 from corpusloom.session import ensure_checkpoint_dir
 from corpusloom.sources import readers, sinks
 
@@ -130,9 +130,10 @@ _NEWEST = "x AS (SELECT users_idx, file_idx, max(run_id) AS newest FROM {index_r
     f"WITH {_NEWEST} SELECT run_id, CASE WHEN status = 'RUNNING' AND run_id = newest AND run_id % 3 > 0 THEN 'SUCCESS' ELSE status END AS status FROM {{index_runs}} JOIN x USING (users_idx, file_idx)",
 )
 def _(t):
-    finished = t("index_runs").where("run_id % 3 > 0").select("run_id", F.lit(1.0).alias("finished_at"))
-    runs = t("index_runs").withColumn("finished_at", F.lit(None).cast("double"))
-    return ix.mark_success_if_current(runs, finished).select("run_id", "status")
+    dealt, n = by_order(t)
+    finished = dealt("index_runs").where("run_id % 3 > 0").select("run_id", F.lit(1.0).alias("finished_at"))
+    runs = dealt("index_runs").withColumn("finished_at", F.lit(None).cast("double"))
+    return ix.mark_success_if_current(runs, finished, n).select("run_id", "status")
 
 
 _OWNERS = f"{_NEWEST}, own AS (SELECT DISTINCT rag_document_idx FROM {{index_runs}} JOIN x USING (users_idx, file_idx) WHERE status = 'SUCCESS' AND run_id = newest)"
