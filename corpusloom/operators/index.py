@@ -182,16 +182,20 @@ def mark_success_if_current(runs: DataFrame, finished: DataFrame, partitions: in
     )
 
 
-def _current_owners(runs: DataFrame) -> DataFrame:
-    """Documents whose run succeeded and is the newest of its (user, file)."""
-    ok = runs.where(F.col("status") == "SUCCESS").join(newest_runs(runs), OWNER)
-    return ok.where(F.col("run_id") == F.col("newest_run")).select("rag_document_idx").distinct()
+def _current_owners(runs: DataFrame, partitions: int | None) -> DataFrame:
+    """Documents whose run succeeded and is the newest of its (user, file), dealt by document."""
+    ok = deal(runs.where(F.col("status") == "SUCCESS"), OWNER, partitions).join(newest_runs(deal(runs, OWNER, partitions)), OWNER)
+    ok = ok.where(F.col("run_id") == F.col("newest_run")).select("rag_document_idx")
+    return deal(ok, ["rag_document_idx"], partitions).distinct()
 
 
-def mark_document_indexed_if_current(documents: DataFrame, runs: DataFrame) -> DataFrame:
-    """Documents that own the newest, successful run become INDEXED and live."""
-    owners = _current_owners(runs).withColumn("_owner", F.lit(True))
-    df = documents.join(owners, "rag_document_idx", "left")
+def mark_document_indexed_if_current(documents: DataFrame, runs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Documents that own the newest, successful run become INDEXED and live.
+
+    ``partitions`` is the number that rows are dealt into by owner and by document.
+    """
+    owners = _current_owners(runs, partitions).withColumn("_owner", F.lit(True))
+    df = deal(documents, ["rag_document_idx"], partitions).join(owners, "rag_document_idx", "left")
     mine = F.coalesce("_owner", F.lit(False))
     return df.select(
         *[c for c in documents.columns if c not in ("index_status", "deleted_at")],
@@ -203,7 +207,7 @@ def mark_document_indexed_if_current(documents: DataFrame, runs: DataFrame) -> D
 def soft_delete_superseded(documents: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
     """Delete other live INDEXED documents of a (user, file) with a current document."""
     live = (F.col("index_status") == "INDEXED") & F.col("deleted_at").isNull()
-    current = documents.where(live).join(_current_owners(runs), "rag_document_idx")
+    current = documents.where(live).join(_current_owners(runs, None), "rag_document_idx")
     current = current.groupBy(*OWNER).agg(F.max("rag_document_idx").alias("_current"))
     df = documents.join(current, OWNER, "left")
     gone = live & F.col("_current").isNotNull() & (F.col("rag_document_idx") != F.col("_current"))

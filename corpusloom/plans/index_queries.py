@@ -146,7 +146,8 @@ _OWNERS = f"{_NEWEST}, own AS (SELECT DISTINCT rag_document_idx FROM {{index_run
       CASE WHEN o.rag_document_idx IS NULL THEN deleted_at END AS deleted_at FROM {{index_documents}} d LEFT JOIN own o ON d.rag_document_idx = o.rag_document_idx""",
 )
 def _(t):
-    return ix.mark_document_indexed_if_current(t("index_documents"), t("index_runs")).select("rag_document_idx", "index_status", "deleted_at")
+    dealt, n = by_order(t)
+    return ix.mark_document_indexed_if_current(dealt("index_documents"), dealt("index_runs"), n).select("rag_document_idx", "index_status", "deleted_at")
 
 
 @query(
