@@ -204,12 +204,15 @@ def mark_document_indexed_if_current(documents: DataFrame, runs: DataFrame, part
     )
 
 
-def soft_delete_superseded(documents: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
-    """Delete other live INDEXED documents of a (user, file) with a current document."""
+def soft_delete_superseded(documents: DataFrame, runs: DataFrame, now: Column, partitions: int | None = None) -> DataFrame:
+    """Delete other live INDEXED documents of a (user, file) with a current document.
+
+    ``partitions`` is the number that rows are dealt into by owner and by document.
+    """
     live = (F.col("index_status") == "INDEXED") & F.col("deleted_at").isNull()
-    current = documents.where(live).join(_current_owners(runs, None), "rag_document_idx")
-    current = current.groupBy(*OWNER).agg(F.max("rag_document_idx").alias("_current"))
-    df = documents.join(current, OWNER, "left")
+    current = deal(documents.where(live), ["rag_document_idx"], partitions).join(_current_owners(runs, partitions), "rag_document_idx")
+    current = deal(current.select(*OWNER, "rag_document_idx"), OWNER, partitions).groupBy(*OWNER).agg(F.max("rag_document_idx").alias("_current"))
+    df = deal(documents, OWNER, partitions).join(current, OWNER, "left")
     gone = live & F.col("_current").isNotNull() & (F.col("rag_document_idx") != F.col("_current"))
     return df.select(
         *[c for c in documents.columns if c != "deleted_at"],

@@ -159,7 +159,8 @@ def _(t):
 )
 def _(t):
     now = F.expr("TIMESTAMP_NTZ '2005-01-01 00:00:00'")
-    return ix.soft_delete_superseded(t("index_documents"), t("index_runs"), now).select("rag_document_idx", "deleted_at")
+    dealt, n = by_order(t)
+    return ix.soft_delete_superseded(dealt("index_documents"), dealt("index_runs"), now, n).select("rag_document_idx", "deleted_at")
 
 
 @query(
