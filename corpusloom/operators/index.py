@@ -257,11 +257,14 @@ def activate_documents(points: DataFrame, activations: DataFrame) -> DataFrame:
     )
 
 
-def stale_version_guard(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def stale_version_guard(stored: DataFrame, incoming: DataFrame, partitions: int | None = None) -> DataFrame:
     """Outcome per incoming (file, version): STALE below the stored version, NO_DATA, or STORED.
 
     ``incoming``: file_idx, index_version, n_chunks. ``stored``: file_idx, index_version.
+    ``partitions`` is the number that rows are dealt into by file.
     """
+    stored = deal(stored.select("file_idx", "index_version"), ["file_idx"], partitions)
+    incoming = deal(incoming, ["file_idx"], partitions)
     current = stored.groupBy("file_idx").agg(F.max("index_version").alias("stored_version"))
     outcome = (
         F.when(F.col("index_version").isNull() | (F.coalesce("n_chunks", F.lit(0)) == 0), F.lit("NO_DATA"))

@@ -203,10 +203,11 @@ _SYNC_IN = "SELECT l_orderkey AS file_idx, l_suppkey % 50 AS index_version, l_li
       SELECT i.file_idx, i.index_version, CASE WHEN index_version IS NULL THEN 'NO_DATA' WHEN index_version < v THEN 'STALE' ELSE 'STORED' END AS outcome FROM i LEFT JOIN s ON i.file_idx = s.file_idx""",
 )
 def _(t):
+    dealt, n = by_order(t)
     v = F.col("index_version")
-    incoming = t.sql(_SYNC_IN).withColumn("index_version", F.when(v != 13, v))
+    incoming = dealt.sql(_SYNC_IN).withColumn("index_version", F.when(v != 13, v))
     incoming = incoming.groupBy("file_idx", "index_version").agg(F.count("*").alias("n_chunks"))
-    return ix.stale_version_guard(t("chunks"), incoming).select("file_idx", "index_version", "outcome")
+    return ix.stale_version_guard(dealt("chunks"), incoming, n).select("file_idx", "index_version", "outcome")
 
 
 _SYNCED = f"""WITH i AS ({_SYNC_IN}), w AS (SELECT file_idx, max(index_version) AS v FROM i GROUP BY 1), s AS (SELECT file_idx, max(index_version) AS sv FROM {{chunks}} GROUP BY 1),
