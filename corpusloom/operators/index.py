@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import strip
 from corpusloom.operators.chunks import reject_rows
 from corpusloom.operators.dealing import deal
-from corpusloom.operators.ordered import running_max
+from corpusloom.operators.ordered import by_group_size, running_max, running_max_small
 
 IDENTITY = ["file_idx", "users_idx", "file_hash", "parser_version", "embedding_model", "index_version"]
 OWNER = ["users_idx", "file_idx"]
@@ -303,29 +303,44 @@ def validate_callback(callbacks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def metadata_version_upsert(stored: DataFrame, incoming: DataFrame, values: list[str]) -> DataFrame:
+def summarize_applicable(stored: DataFrame, incoming: DataFrame, aggs: list[Column], partitions: int | None = None) -> DataFrame:
+    """Aggregates, per file, of the callbacks that apply: those not older than any version before them.
+
+    ``stored``: file_idx, index_version. The version reached before a callback is a running maximum, in
+    one window for a file of few callbacks, in blocks for a large one.
+    """
+    base = deal(stored.select("file_idx", F.col("index_version").alias("_stored")), ["file_idx"], partitions)
+    small, large = by_group_size(deal(incoming, ["file_idx"], partitions), ["file_idx"])
+    reached = {"_before": F.col("index_version")}
+
+    def summary(df: DataFrame) -> DataFrame:
+        floor = F.greatest("_stored", "_before")
+        applies = F.col("index_version").isNull() | floor.isNull() | (F.col("index_version") >= floor)
+        return df.where(applies).groupBy("file_idx").agg(*aggs)
+
+    few = summary(running_max_small(small.join(base, "file_idx", "left"), ["file_idx"], "seq", reached))
+    many = summary(running_max(large.join(base, "file_idx", "left"), ["file_idx"], "seq", reached))
+    return few.unionByName(many)
+
+
+def metadata_version_upsert(stored: DataFrame, incoming: DataFrame, values: list[str], partitions: int | None = None) -> DataFrame:
     """Metadata after a batch of callbacks, guarded by version.
 
     ``incoming``: file_idx, seq, success, index_version and the value columns. A callback
     applies when it has no version, when none is stored, or when it is not older than the
     stored one; a failure changes only the status. Callbacks of one file apply in order,
-    so the last applicable one decides the status and the last success the values. The
-    version reached before each callback is a running maximum.
+    so the last applicable one decides the status and the last success the values.
+    ``partitions`` is the number that rows are dealt into by file.
     """
-    base = stored.select("file_idx", F.col("index_version").alias("_stored"))
-    df = incoming.join(base, "file_idx", "left")
-    df = running_max(df, ["file_idx"], "seq", {"_before": F.col("index_version")})
-    floor = F.greatest("_stored", "_before")
-    applies = F.col("index_version").isNull() | floor.isNull() | (F.col("index_version") >= floor)
-    df = df.withColumn("_applies", applies).where("_applies")
     done = F.col("success")
-    last = df.groupBy("file_idx").agg(
+    aggs = [
         F.max_by("success", "seq").alias("_ok"),
         F.max("index_version").alias("_version"),
         F.max_by(F.struct(*values), F.when(done, F.col("seq"))).alias("_new"),
         F.max(F.when(done, F.col("seq"))).alias("_any"),
-    )
-    both = stored.join(last, "file_idx", "full")
+    ]
+    last = deal(summarize_applicable(stored, incoming, aggs, partitions), ["file_idx"], partitions)
+    both = deal(stored, ["file_idx"], partitions).join(last, "file_idx", "full")
     hit = F.col("_ok").isNotNull()
     return both.select(
         "file_idx",

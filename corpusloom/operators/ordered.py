@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
+#: Rows from which a key counts as large.
+LARGE_GROUP = 100_000
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -75,6 +77,18 @@ def running_max(
     return _running(df, keys, order, maxima, block, inclusive, F.max, F.greatest)
 
 
+def by_group_size(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of keys with up to ``LARGE_GROUP`` rows, and those of the few larger keys."""
+    large = df.groupBy(*keys).count().where(F.col("count") > LARGE_GROUP).select(*keys)
+    return df.join(F.broadcast(large), list(keys), "left_anti"), df.join(F.broadcast(large), list(keys), "left_semi")
+
+
+def running_max_small(df: DataFrame, keys: Sequence[str], order: str, maxima: dict[str, Column]) -> DataFrame:
+    """``running_max`` in one window, for keys of few rows: no shuffle where rows are dealt by key."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.select(*df.columns, *[F.max(e).over(before).alias(n) for n, e in maxima.items()])
+
+
 def forward_fill(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, block: Column | None = None
 ) -> DataFrame:

@@ -254,8 +254,9 @@ _META_SQL = f"""WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY f
 @query("metadata_version_upsert", "L15", _META_SQL)
 def _(t):
     stored = t("file_metadata").select("file_idx", "summary", "extraction_status", "index_version")
-    incoming = t.sql(_META_IN).groupBy("file_idx", "seq").agg(*[F.first(c).alias(c) for c in ("success", "index_version", "summary")])
-    return ix.metadata_version_upsert(stored, incoming, ["summary"])
+    dealt, n = by_order(t)
+    incoming = dealt.sql(_META_IN).groupBy("file_idx", "seq").agg(*[F.first(c).alias(c) for c in ("success", "index_version", "summary")])
+    return ix.metadata_version_upsert(stored, incoming, ["summary"], n)
 
 
 @query(

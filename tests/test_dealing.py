@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from corpusloom.operators import dealing
+from corpusloom.operators import dealing, index, ordered
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -33,8 +33,21 @@ def test_owned_row_counts_are_dealt(dealt):
         "mark_document_indexed_if_current",
         "soft_delete_superseded",
         "stale_version_guard",
+        "metadata_version_upsert",
     ],
 )
 def test_partitions_follow_rows(dealt, name):
     lines = dealt.read.parquet(f"{SMALL}/lineitem.parquet").count()
     assert entry.queries()[name](dealt, SMALL).rdd.getNumPartitions() >= lines // 400
+
+
+def test_small_and_large_files_agree(spark, monkeypatch):
+    """Callbacks give the same metadata whether a file's versions run in one window or in blocks."""
+    stored = spark.createDataFrame([(1, "a", "READY", 2), (2, None, "PROCESSING", None)], "file_idx bigint, summary string, extraction_status string, index_version int")
+    calls = [(1, 10, True, 1, "old"), (1, 9000, True, 3, "b"), (1, 20000, False, 2, "late"), (1, 30000, False, None, "x"), (2, 5, True, 4, "c"), (3, 1, True, 1, "none")]
+    incoming = spark.createDataFrame(calls, "file_idx bigint, seq bigint, success boolean, index_version int, summary string")
+    want = [(1, "b", "FAILED", 3), (2, "c", "READY", 4), (3, "none", "READY", 1)]
+    for most in (0, 3, 100):
+        monkeypatch.setattr(ordered, "LARGE_GROUP", most)
+        for n in (None, 5):
+            assert sorted(map(tuple, index.metadata_version_upsert(stored, incoming, ["summary"], n).collect())) == want
