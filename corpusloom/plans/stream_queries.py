@@ -203,9 +203,10 @@ def _(t):
 def _(t):
     path = scratch(t, "metadata")
     base = t("file_metadata").select("file_idx", "summary", "extraction_status", "index_version")
-    incoming = t.sql(_META_IN).groupBy("file_idx", "seq").agg(*[F.first(c).alias(c) for c in ("success", "index_version", "summary")])
-    _for_each(t, incoming, ["file_idx"], "metadata", upserts.metadata_batch(base, path, compact_every=2))
-    return upserts.metadata_state(base, path, ["summary"], T.StructType(list(incoming.schema.fields)))
+    dealt, n = by_order(t)
+    incoming = dealt.sql(_META_IN).groupBy("file_idx", "seq").agg(*[F.first(c).alias(c) for c in ("success", "index_version", "summary")])
+    _for_each(t, incoming, ["file_idx"], "metadata", upserts.metadata_batch(base, path, compact_every=2, partitions=n))
+    return upserts.metadata_state(base, path, ["summary"], T.StructType(list(incoming.schema.fields)), n)
 
 
 @query(

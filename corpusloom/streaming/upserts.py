@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators.dealing import deal
-from corpusloom.operators.index import metadata_version_upsert, stale_version_guard
-from corpusloom.operators.ordered import running_max
+from corpusloom.operators.index import metadata_version_upsert, stale_version_guard, summarize_applicable
 from corpusloom.sources import snapshots
 
 #: Batches after a snapshot before there is a new one.
@@ -121,7 +120,7 @@ def versioned_chunk_batch(
     return run
 
 
-def _deciding_callbacks(base: DataFrame) -> Resolve:
+def _deciding_callbacks(base: DataFrame, partitions: int | None) -> Resolve:
     """Of each file the callbacks that its state rests on.
 
     These are the last that applies, the last success that applies, and one of the highest
@@ -129,32 +128,31 @@ def _deciding_callbacks(base: DataFrame) -> Resolve:
     """
 
     def resolve(log: DataFrame) -> DataFrame:
-        df = log.join(base.select("file_idx", F.col("index_version").alias("_stored")), "file_idx", "left")
-        df = running_max(df, ["file_idx"], "seq", {"_before": F.col("index_version")})
-        floor = F.greatest("_stored", "_before")
-        df = df.where(F.col("index_version").isNull() | floor.isNull() | (F.col("index_version") >= floor))
         row = F.struct(*log.columns)
-        kept = df.groupBy("file_idx").agg(
+        aggs = [
             F.max_by(row, "seq").alias("a"),
             F.max_by(row, F.when(F.col("success"), F.col("seq"))).alias("b"),
             F.max_by(row, F.struct("index_version", "seq")).alias("c"),
-        )
+        ]
+        kept = summarize_applicable(base, log, aggs, partitions)
         rows = F.array_distinct(F.array_compact(F.array("a", "b", "c")))
         return kept.select(F.explode(rows).alias("r")).select("r.*")
 
     return resolve
 
 
-def metadata_batch(base: DataFrame, path: str, compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
+def metadata_batch(
+    base: DataFrame, path: str, compact_every: int = COMPACT_EVERY, partitions: int | None = None
+) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that logs callbacks (file_idx, seq, success, index_version, values)."""
-    return append_batch(path, _deciding_callbacks(base), compact_every)
+    return append_batch(path, _deciding_callbacks(base, partitions), compact_every)
 
 
-def metadata_state(base: DataFrame, path: str, values: list[str], schema) -> DataFrame:
+def metadata_state(base: DataFrame, path: str, values: list[str], schema, partitions: int | None = None) -> DataFrame:
     """Metadata after all callbacks, applied in order of batch and sequence."""
     log = read_log(base.sparkSession, path, schema)
     # The sequence restarts in no batch, so (batch, seq) order is a plain number.
-    return metadata_version_upsert(base, log.drop("batch"), values)
+    return metadata_version_upsert(base, log.drop("batch"), values, partitions)
 
 
 def append_batch(

@@ -34,6 +34,7 @@ def test_owned_row_counts_are_dealt(dealt):
         "soft_delete_superseded",
         "stale_version_guard",
         "metadata_version_upsert",
+        "versioned_metadata_stream",
     ],
 )
 def test_partitions_follow_rows(dealt, name):
