@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,31 +39,44 @@ _OUT = (
 
 def percentile_of_counts(counts: Sequence[tuple[float, int]], percent: float) -> float | None:
     """Linear interpolation at (n - 1) * p / 100 over (value, count) pairs in order of value."""
-    total = sum(n for _, n in counts)
-    if not total:
+    values, numbers = np.asarray(counts, np.float64).reshape(-1, 2).T
+    upto = np.cumsum(numbers)
+    if not len(upto):
         return None
-    at = (total - 1) * (percent / 100.0)
-    wanted, found = [math.floor(at), math.ceil(at)], []
-    before = 0
-    for value, n in counts:
-        while len(found) < 2 and wanted[len(found)] < before + n:
-            found.append(value)
-        before += n
-    return found[0] + (found[1] - found[0]) * (at - wanted[0])
+    at = (int(upto[-1]) - 1) * (percent / 100.0)
+    low, high = (float(values[np.searchsorted(upto, k, side="right")]) for k in (math.floor(at), math.ceil(at)))
+    return low + (high - low) * (at - math.floor(at))
 
 
-def _counts(pairs: Iterator[tuple[float, int]]) -> list[tuple[float, int]]:
-    out: dict[float, int] = {}
-    for value, n in pairs:
-        if value is not None and not math.isnan(value):
-            out[value] = out.get(value, 0) + n
-    return sorted(out.items())
+def _equal(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, without those that are missing, and how often each occurs."""
+    there = ~np.isnan(values)
+    found, where = np.unique(values[there], return_inverse=True)
+    return found, np.bincount(where, counts[there], len(found)).astype(np.int64)
+
+
+def _mean(values: np.ndarray, counts: np.ndarray) -> float | None:
+    n = int(counts.sum())
+    return math.fsum(values * counts) / n if n else None
+
+
+def _block(rows: np.ndarray) -> bytes:
+    """Equal rows as one with their number, as bytes; a missing value is NaN."""
+    rows = np.ascontiguousarray(rows, np.float64)
+    same = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
+    _, first, n = np.unique(same, return_index=True, return_counts=True)
+    return np.column_stack([rows[first], n.astype(np.float64)]).tobytes()
+
+
+def _rows(blocks, width: int) -> np.ndarray:
+    read = [np.frombuffer(b[0], np.float64).reshape(-1, width) for b in blocks]
+    return np.concatenate(read) if read else np.empty((0, width))
 
 
 class SoakWindow(StatefulProcessor):
     """Counts of equal latencies and samples of one window, until it is over.
 
-    Each micro-batch appends what it saw, equal values as one. When the watermark has passed the last request by
+    Each batch of rows appends one block of numbers to the state, equal rows as one. When the watermark has passed the last request by
     the pause, the window's row is made from the counts and the state is dropped; so is that of
     samples to which no request ever came.
     """
@@ -73,8 +87,8 @@ class SoakWindow(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.bounds = handle.getValueState("bounds", "started double, ended double, requests bigint, successes bigint, last_sample double")
-        self.latencies = handle.getListState("latencies", "ms double, n bigint")
-        self.samples = handle.getListState("samples", ", ".join(f"{c} double" for c in _SAMPLE) + ", n bigint")
+        self.latencies = handle.getListState("latencies", "block binary")
+        self.samples = handle.getListState("samples", "block binary")
 
     def handleInputRows(self, key, rows, timerValues):
         started, ended, requests, successes, last = self.bounds.get() if self.bounds.exists() else (None, None, 0, 0, -math.inf)
@@ -85,13 +99,12 @@ class SoakWindow(StatefulProcessor):
                 ended = max(asked["ended"].max(), -math.inf if ended is None else ended)
                 requests += len(asked)
                 successes += int((asked["success"] == True).sum())  # noqa: E712  nulls are no successes
-                equal = asked["ms"].dropna().value_counts()
-                if len(equal):
-                    self.latencies.appendList(list(zip(map(float, equal.index), map(int, equal))))
+                ms = asked[["ms"]].dropna().to_numpy(np.float64)
+                if len(ms):
+                    self.latencies.appendValue((_block(ms),))
             if len(sampled):
                 last = max(last, float(sampled["epoch"].max()))
-                equal = sampled[_SAMPLE].value_counts(dropna=False)
-                self.samples.appendList([(*(None if pd.isna(v) else float(v) for v in values), int(n)) for values, n in equal.items()])
+                self.samples.appendValue((_block(sampled[_SAMPLE].to_numpy(np.float64)),))
         self.bounds.update((started, ended, requests, successes, last))
         self.handle.registerTimer(self._over(ended, last))
         yield from ()
@@ -112,20 +125,19 @@ class SoakWindow(StatefulProcessor):
 
     def _row(self, case_id: str, started: float, ended: float, requests: int, successes: int) -> dict:
         row = {"case_id": case_id, "started_epoch": started, "completed_epoch": ended, "request_count": requests, "success_count": successes}
-        counts = _counts((r[0], r[1]) for r in self.latencies.get())
-        n = sum(c for _, c in counts)
-        row["latency_mean_ms"] = math.fsum(v * c for v, c in counts) / n if n else None
-        row["latency_max_ms"] = counts[-1][0] if counts else None
-        row |= {f"latency_p{p}_ms": percentile_of_counts(counts, p) for p in PERCENTS}
-        inside = [tuple(r) for r in self.samples.get() if started <= r[0] <= ended]
-        row["resource_sample_count"] = sum(r[-1] for r in inside)
+        values, counts = _equal(*_rows(self.latencies.get(), 2).T)
+        row["latency_mean_ms"] = _mean(values, counts)
+        row["latency_max_ms"] = float(values[-1]) if len(values) else None
+        row |= {f"latency_p{p}_ms": percentile_of_counts(np.column_stack([values, counts]), p) for p in PERCENTS}
+        inside = _rows(self.samples.get(), len(_SAMPLE) + 1)
+        inside = inside[(inside[:, 0] >= started) & (inside[:, 0] <= ended)]
+        row["resource_sample_count"] = int(inside[:, -1].sum())
         for i, name in enumerate(SOAK_METRICS, 1):
-            counts = _counts((r[i], r[-1]) for r in inside)
-            n = sum(c for _, c in counts)
-            row[f"{name}_mean"] = math.fsum(v * c for v, c in counts) / n if n else None
-            row[f"{name}_max"] = counts[-1][0] if counts else None
+            values, counts = _equal(inside[:, i], inside[:, -1])
+            row[f"{name}_mean"] = _mean(values, counts)
+            row[f"{name}_max"] = float(values[-1]) if len(values) else None
             if name in ("rss", "vram"):
-                row |= {f"{name}_p{p}": percentile_of_counts(counts, p) for p in PERCENTS}
+                row |= {f"{name}_p{p}": percentile_of_counts(np.column_stack([values, counts]), p) for p in PERCENTS}
         return row
 
     def close(self) -> None:

@@ -75,3 +75,13 @@ def test_closed_windows_equal_the_batch(spark):
     left = spark.read.format("statestore").option("path", state).option("stateVarName", "latencies").load()
     cases = {r.key.case_id for r in left.select("key").distinct().collect()}
     assert not cases & want.keys() and "soak-window-9" in cases
+
+
+def test_state_holds_equal_rows_once():
+    """A batch of rows is one block of the state, in which equal rows and missing values count."""
+    rows = np.array([[1.0, np.nan], [1.0, np.nan], [2.0, 5.0], [1.0, np.nan]])
+    back = soak._rows([(soak._block(rows),), (soak._block(rows[2:3]),)], 3)
+    assert sorted(map(str, back)) == sorted(map(str, np.array([[1.0, np.nan, 3.0], [2.0, 5.0, 1.0], [2.0, 5.0, 1.0]])))
+    values, counts = soak._equal(back[:, 1], back[:, 2])
+    assert values.tolist() == [5.0] and counts.tolist() == [2]
+    assert soak._equal(*soak._rows([], 2).T)[0].tolist() == [] and soak._mean(values, counts) == 5.0
