@@ -16,27 +16,26 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
 from corpusloom.operators.chunks import reject_rows
+from corpusloom.operators.dealing import deal
 from corpusloom.operators.mentions import mentioned_names
 from corpusloom.session import ensure_checkpoint_dir
 
 
 def closure(
-    nodes: DataFrame, node: str = "folder_idx", parent: str = "parent_folder_idx", keys: tuple[str, ...] = ()
+    nodes: DataFrame, node: str = "folder_idx", parent: str = "parent_folder_idx", keys: tuple[str, ...] = (), partitions: int | None = None
 ) -> DataFrame:
     """Every (ancestor, descendant, depth) pair of a forest, each node with itself at depth 0.
 
     ``keys`` separate independent forests. A cycle is walked once: a step back to a node
-    already on the path is not taken. A parent that is no node ends the path.
+    already on the path is not taken. A parent that is no node ends the path. ``partitions`` is
+    the number that rows are dealt into by node.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     keys = list(keys)
-    ids = nodes.select(*keys, F.col(node).alias("_parent"))
-    links = (
-        nodes.where(F.col(parent).isNotNull())
-        .select(*keys, F.col(node).alias("ancestor"), F.col(parent).alias("_parent"))
-        .join(ids, [*keys, "_parent"], "left_semi")
-        .checkpoint()
-    )
+    ids = deal(nodes.select(*keys, F.col(node).alias("_parent")), [*keys, "_parent"], partitions)
+    links = nodes.where(F.col(parent).isNotNull()).select(*keys, F.col(node).alias("ancestor"), F.col(parent).alias("_parent"))
+    links = deal(links, [*keys, "_parent"], partitions).join(ids, [*keys, "_parent"], "left_semi")
+    links = deal(links, [*keys, "ancestor"], partitions).checkpoint()
     # The path holds one id per level.
     level = nodes.select(
         *keys,
@@ -48,7 +47,7 @@ def closure(
     levels = []
     while True:
         levels.append(level.drop("_path"))
-        up = level.join(links, [*keys, "ancestor"]).where(~F.array_contains("_path", F.col("_parent")))
+        up = deal(level, [*keys, "ancestor"], partitions).join(deal(links, [*keys, "ancestor"], partitions), [*keys, "ancestor"]).where(~F.array_contains("_path", F.col("_parent")))
         level = up.select(
             *keys,
             F.col("_parent").alias("ancestor"),
@@ -287,9 +286,9 @@ def _unique_proposed(proposed: DataFrame) -> DataFrame:
     return proposed.where(F.col("temp_id").isNotNull()).groupBy(*PROPOSAL, "temp_id").agg(F.min("parent_temp_id").alias("parent_temp_id"))
 
 
-def proposal_closure(proposed: DataFrame) -> DataFrame:
+def proposal_closure(proposed: DataFrame, partitions: int | None = None) -> DataFrame:
     """Closure of proposed folders, per proposal."""
-    return closure(_unique_proposed(proposed), "temp_id", "parent_temp_id", PROPOSAL)
+    return closure(_unique_proposed(proposed), "temp_id", "parent_temp_id", PROPOSAL, partitions)
 
 
 def proposal_depths(proposed: DataFrame) -> DataFrame:
@@ -360,11 +359,17 @@ def validate_proposal(
     return reject_rows(every, p, [(n, F.col(n) > 0, F.col(n)) for n in names])
 
 
-def needed_new_folders(proposed: DataFrame, mappings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Proposed folders that kept mappings use, with all their ancestors."""
-    used = mappings.where(F.col("target_temp_id").isNotNull()).select(*PROPOSAL, F.col("target_temp_id").alias("descendant")).distinct()
-    needed = pairs.join(used, [*PROPOSAL, "descendant"], "left_semi").select(*PROPOSAL, F.col("ancestor").alias("temp_id")).distinct()
-    return proposed.join(needed, [*PROPOSAL, "temp_id"], "left_semi")
+def needed_new_folders(proposed: DataFrame, mappings: DataFrame, pairs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Proposed folders that kept mappings use, with all their ancestors.
+
+    ``partitions`` is the number that rows are dealt into by folder.
+    """
+    below, own = [*PROPOSAL, "descendant"], [*PROPOSAL, "temp_id"]
+    used = mappings.where(F.col("target_temp_id").isNotNull()).select(*PROPOSAL, F.col("target_temp_id").alias("descendant"))
+    used = deal(used, below, partitions).distinct()
+    needed = deal(pairs.select(*below, "ancestor"), below, partitions).join(used, below, "left_semi")
+    needed = deal(needed.select(*PROPOSAL, F.col("ancestor").alias("temp_id")), own, partitions).distinct()
+    return deal(proposed, own, partitions).join(needed, own, "left_semi")
 
 
 def apply_mappings(files: DataFrame, mappings: DataFrame, created: DataFrame, max_name: int = 200) -> DataFrame:

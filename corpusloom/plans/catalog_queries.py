@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import catalog as ct
 from corpusloom.operators import tasks as tk
 from corpusloom.operators import trees as tr
-from corpusloom.plans.registry import Tables, by_order, query
+from corpusloom.plans.registry import DealtTables, Tables, by_order, query
 
 NOW = "TIMESTAMP '2000-01-01 00:00:00'"
 
@@ -563,10 +563,6 @@ _PROPOSAL = """WITH RECURSIVE nodes AS (SELECT proposal_id, temp_id, min(parent_
       JOIN nodes p ON p.proposal_id = n.proposal_id AND p.temp_id = n.parent_temp_id WHERE w.depth < 30)"""
 
 
-def _proposal_pairs(t: Tables):
-    return tr.proposal_closure(t("proposed"))
-
-
 @query(
     "validate_proposal",
     "T9",
@@ -600,7 +596,10 @@ def _(t):
     + """ SELECT DISTINCT w.proposal_id, w.cur AS temp_id FROM walk w JOIN {mappings} m ON m.proposal_id = w.proposal_id AND m.target_temp_id = w.temp_id""",
 )
 def _(t):
-    return tr.needed_new_folders(t("proposed"), t("mappings"), _proposal_pairs(t)).select("proposal_id", "temp_id").distinct()
+    n = t.partitions("orders")
+    t = DealtTables(t, {"orders": "o_custkey"}, n)
+    pairs = tr.proposal_closure(t("proposed"), n)
+    return tr.needed_new_folders(t("proposed"), t("mappings"), pairs, n).select("proposal_id", "temp_id").distinct()
 
 
 @query(

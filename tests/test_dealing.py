@@ -17,9 +17,10 @@ def dealt(spark, monkeypatch):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_owned_row_counts_are_dealt(dealt):
+def test_owned_row_counts_are_dealt(dealt, capsys):
     """The counts are single rows, so the plan tells how their join was dealt."""
-    plan = entry.queries()["owned_row_counts"](dealt, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    entry.queries()["owned_row_counts"](dealt, SMALL).explain(True)
+    plan = capsys.readouterr().out
     lines = dealt.read.parquet(f"{SMALL}/lineitem.parquet").count()
     n = dealing.partitions_for(dealt, lines)
     assert n >= lines // 400 and f"RepartitionByExpression [users_idx" in plan and f", {n}" in plan
@@ -42,6 +43,12 @@ def test_partitions_follow_rows(dealt, name):
     assert entry.queries()[name](dealt, SMALL).rdd.getNumPartitions() >= lines // 400
 
 
+def test_folders_of_proposals_are_dealt(dealt, monkeypatch):
+    monkeypatch.setattr(dealing, "ROWS_PER_PARTITION", 150)
+    orders = dealt.read.parquet(f"{SMALL}/orders.parquet").count()
+    assert entry.queries()["needed_new_folders"](dealt, SMALL).rdd.getNumPartitions() >= orders // 150
+
+
 def test_small_and_large_files_agree(spark, monkeypatch):
     """Callbacks give the same metadata whether a file's versions run in one window or in blocks."""
     stored = spark.createDataFrame([(1, "a", "READY", 2), (2, None, "PROCESSING", None)], "file_idx bigint, summary string, extraction_status string, index_version int")
