@@ -111,6 +111,24 @@ def climb(
     )
 
 
+def endless(nodes: DataFrame, node: str, parent: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Keys and ``node`` of the nodes whose way up never ends: those on a cycle or below one.
+
+    Doubles as ``climb`` does, but keeps no stretch of a way that ends: a round has only the nodes whose way is still
+    open, and what they ask for is among these, or their way ends too. ``nodes`` has one row for each key and node.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    keys = list(keys)
+    way = nodes.select(*keys, F.col(node).alias("_node"), F.col(parent).alias("_at")).where(F.col("_at").isNotNull()).checkpoint()
+    left, before = way.count(), None
+    # As in ``climb``: where no way ended in a round, none of those left does.
+    while left and left != before:
+        ahead = way.select(*keys, F.col("_node").alias("_at"), F.col("_at").alias("_next"))
+        way = way.join(ahead, [*keys, "_at"]).select(*keys, "_node", F.col("_next").alias("_at")).checkpoint()
+        left, before = way.count(), left
+    return way.select(*keys, F.col("_node").alias(node))
+
+
 def folder_closure(folders: DataFrame) -> DataFrame:
     return closure(folders)
 
@@ -302,59 +320,72 @@ def proposal_cycles(depths: DataFrame) -> DataFrame:
 
 
 def validate_proposal(
-    proposed: DataFrame, mappings: DataFrame, owners: DataFrame, files: DataFrame, folders: DataFrame
+    proposed: DataFrame, mappings: DataFrame, owners: DataFrame, files: DataFrame, folders: DataFrame, partitions: int | None = None
 ) -> DataFrame:
     """Broken proposal rules as (proposal_id, rule, detail) rows; detail counts the rows.
 
-    ``owners``: proposal_id, users_idx.
+    ``owners``: proposal_id, users_idx. ``partitions`` is the number that the first three tables are dealt
+    into by proposal; rows that were looked up elsewhere are dealt back, and all counting stays in place.
     """
     p = [*PROPOSAL]
 
     def blank(c: str) -> Column:
         return F.coalesce(strip(F.col(c)), F.lit("")) == ""
 
-    ids = proposed.select(*p, F.col("temp_id").alias("_id"), F.lit(True).alias("_known")).where(F.col("_id").isNotNull()).distinct()
-    mine = folders.where(F.col("deleted_at").isNull()).select(F.col("folder_idx").alias("_folder"), F.col("users_idx").alias("_owner"))
+    def given(c: str) -> Column:
+        return F.col(c).isNotNull()
 
-    def owned(df: DataFrame, c: str) -> DataFrame:
-        return df.join(mine, F.col(c) == F.col("_folder"), "left").withColumn(
-            f"{c}_ok", F.col(c).isNull() | F.coalesce(F.col("_owner") == F.col("users_idx"), F.lit(False))
-        ).drop("_folder", "_owner")
-
-    f = proposed.join(owners, p)
-    f = f.join(ids.withColumnRenamed("_id", "parent_temp_id").withColumnRenamed("_known", "_parent_known"), [*p, "parent_temp_id"], "left")
-    f = owned(f, "parent_folder_id")
-    per_folder = f.groupBy(*p).agg(
-        F.count_if(blank("temp_id")).alias("blank_temp_id"),
-        F.count_if(blank("name")).alias("blank_name"),
-        F.count_if(F.col("parent_temp_id").isNotNull() & F.col("parent_folder_id").isNotNull()).alias("two_parents"),
-        F.count_if(F.col("parent_temp_id").isNotNull() & F.col("_parent_known").isNull()).alias("unknown_parent"),
-        F.count_if(~F.col("parent_folder_id_ok")).alias("foreign_parent_folder"),
-    )
-    m = mappings.join(owners, p)
-    m = m.join(ids.withColumnRenamed("_id", "target_temp_id").withColumnRenamed("_known", "_target_known"), [*p, "target_temp_id"], "left")
+    mine = folders.where(F.col("deleted_at").isNull()).select(F.col("folder_idx").alias("_folder"), F.col("users_idx").alias("_owner"))
     live = files.where(F.col("deleted_at").isNull()).select(F.col("file_idx").alias("file_id"), F.col("users_idx").alias("_file_owner"))
-    m = owned(m.join(live, "file_id", "left"), "target_folder_id")
-    foreign = F.col("file_id").isNotNull() & ~F.coalesce(F.col("_file_owner") == F.col("users_idx"), F.lit(False))
-    per_mapping = m.groupBy(*p).agg(
-        F.count_if(F.col("file_id").isNull()).alias("missing_file"),
-        F.count_if(foreign).alias("foreign_file"),
-        F.count_if(F.col("target_folder_id").isNotNull() & F.col("target_temp_id").isNotNull()).alias("two_targets"),
-        F.count_if(F.col("target_temp_id").isNotNull() & F.col("_target_known").isNull()).alias("unknown_target"),
-        F.count_if(~F.col("target_folder_id_ok")).alias("foreign_target_folder"),
-        F.count_if(~F.coalesce(F.col("confidence").between(0, 1), F.lit(True))).alias("confidence_range"),
-    )
-
-    def copies(df: DataFrame, c: str, name: str) -> DataFrame:
-        twice = df.where(F.col(c).isNotNull()).groupBy(*p, c).count().where("count > 1")
-        return twice.groupBy(*p).agg(F.count("*").alias(name))
 
-    cycles = proposal_cycles(proposal_depths(proposed)).groupBy(*p).agg(F.count("*").alias("cycle"))
-    every = reduce(
-        lambda a, b: a.join(b, p, "left"),
-        [per_folder, per_mapping, copies(proposed, "temp_id", "duplicate_temp_id"), copies(mappings, "file_id", "duplicate_file"), cycles],
-        owners,
+    def owned(df: DataFrame, c: str) -> DataFrame:
+        """Rows without a folder have nothing to look up, and would all meet in one task."""
+        found = df.where(given(c)).join(owners, p).join(mine, F.col(c) == F.col("_folder"), "left")
+        found = found.select(*df.columns, F.coalesce(F.col("_owner") == F.col("users_idx"), F.lit(False)).alias(f"{c}_ok"))
+        return df.where(~given(c)).withColumn(f"{c}_ok", F.lit(True)).unionByName(deal(found, p, partitions))
+
+    def rows(df: DataFrame, temp_id: str, **rules: Column) -> DataFrame:
+        return df.select(*p, F.col(temp_id).alias("_id"), *[F.coalesce(c, F.lit(False)).cast("long").alias(n) for n, c in rules.items()])
+
+    f = owned(proposed, "parent_folder_id")
+    m = deal(owned(mappings, "target_folder_id").join(live, "file_id", "left"), p, partitions).join(owners, p)
+    counted = [
+        rows(proposed, "temp_id", _made=given("temp_id")),
+        rows(
+            f,
+            "parent_temp_id",
+            _under=given("parent_temp_id"),
+            blank_temp_id=blank("temp_id"),
+            blank_name=blank("name"),
+            two_parents=given("parent_temp_id") & given("parent_folder_id"),
+            foreign_parent_folder=~F.col("parent_folder_id_ok"),
+        ),
+        rows(
+            m,
+            "target_temp_id",
+            _into=given("target_temp_id"),
+            missing_file=~given("file_id"),
+            foreign_file=given("file_id") & ~F.coalesce(F.col("_file_owner") == F.col("users_idx"), F.lit(False)),
+            two_targets=given("target_folder_id") & given("target_temp_id"),
+            foreign_target_folder=~F.col("target_folder_id_ok"),
+            confidence_range=~F.coalesce(F.col("confidence").between(0, 1), F.lit(True)),
+        ),
+    ]
+    counts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), counted)
+    # What a temporary id was made, and used, for meets in one row.
+    sums = [c for c in counts.columns if c not in (*p, "_id")]
+    ids = counts.groupBy(*p, "_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
+    unknown = F.col("_made") == 0
+    per_proposal = ids.groupBy(*p).agg(
+        F.count_if(F.col("_made") > 1).alias("duplicate_temp_id"),
+        F.sum(F.when(unknown, F.col("_under"))).alias("unknown_parent"),
+        F.sum(F.when(unknown, F.col("_into"))).alias("unknown_target"),
+        *[F.sum(c).alias(c) for c in sums if not c.startswith("_")],
     )
+    twice = mappings.where(given("file_id")).groupBy(*p, "file_id").count().where("count > 1")
+    files_twice = twice.groupBy(*p).agg(F.count("*").alias("duplicate_file"))
+    cycles = endless(_unique_proposed(proposed), "temp_id", "parent_temp_id", PROPOSAL).groupBy(*p).agg(F.count("*").alias("cycle"))
+    every = reduce(lambda a, b: a.join(b, p, "left"), [per_proposal, files_twice, deal(cycles, p, partitions)], owners)
     names = [c for c in every.columns if c not in (*p, "users_idx")]
     return reject_rows(every, p, [(n, F.col(n) > 0, F.col(n)) for n in names])
 

@@ -585,8 +585,10 @@ _PROPOSAL = """WITH RECURSIVE nodes AS (SELECT proposal_id, temp_id, min(parent_
       SELECT proposal_id, rule, count(*) AS detail FROM r GROUP BY ALL""",
 )
 def _(t):
-    owners = t("orders").select(F.col("o_custkey").alias("proposal_id"), F.col("o_custkey").alias("users_idx")).distinct()
-    return tr.validate_proposal(t("proposed"), t("mappings"), owners, t("files"), t("folders"))
+    n = t.partitions("orders")
+    dealt = DealtTables(t, {"orders": "o_custkey"}, n)
+    owners = dealt("orders").select(F.col("o_custkey").alias("proposal_id"), F.col("o_custkey").alias("users_idx")).distinct()
+    return tr.validate_proposal(dealt("proposed"), dealt("mappings"), owners, t("files"), t("folders"), n)
 
 
 @query(
